@@ -6,11 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from speechloom.params import Hysteresis
-from speechloom.plans.blocks import Scan, blocked_scan, chained_fold
+from speechloom.plans.blocks import Scan, blocked_scan, chained_fold, checkpointed, in_blocks, whole_rows
 
 CLASS_KEYS = ["recording_id", "class"]
 FRAME_ORDER = ["t_us", "event_id"]
@@ -26,42 +26,60 @@ def hysteresis(
 ) -> DataFrame:
     """Regions ``(recording_id, class, region_idx, start_us, end_us)`` of frames held active by two thresholds.
 
-    A frame above onset or below offset fixes the state, others inherit it; state, edges and numbering are
-    blocked scans, and only edge frames go on to the grouping. A region still active ends at the last frame;
-    one without length is dropped.
+    A frame above onset or below offset fixes the state, others inherit it. Inside a block the state and its
+    rises come from windows; one summary row per block (first and last fixed state, rises seen) tells every
+    block the state it is entered with and the number of its first region. Only edge frames are grouped into
+    regions. A region still active ends at the last frame, and one without length is dropped.
     """
     score = F.nanvl(F.col("score"), F.lit(None).cast("double"))
-    known = frames.withColumn("_fix", F.when(score > params.onset, 1).when(score < params.low, 0))
-    held = blocked_scan(
-        known, CLASS_KEYS, time_block("t_us", block_us), order,
-        [Scan("_on", "last", F.col("_fix")), Scan("_was", "prev", F.col("_fix")),
-         Scan("_more", "next", F.lit(1))],
-    )
-    on, was = F.coalesce("_on", F.lit(0)), F.coalesce("_was", F.lit(0))
-    edge = (
-        F.when((on == 1) & (was == 0), 1)
-        .when((on == 0) & (was == 1), 0)
-    )
-    # A rise on the very last frame has no length; an active last frame closes its region itself.
-    marked = held.select(*CLASS_KEYS, *order, edge.alias("_edge"),
-                         ((on == 1) & F.col("_more").isNull()).alias("_tail"))
-    edges = marked.filter(F.col("_edge").isNotNull() | F.col("_tail"))
-    rise = (F.col("_edge") == 1).cast("int")
-    numbered = blocked_scan(
-        edges, CLASS_KEYS, time_block("t_us", block_us), order, [Scan("_region", "sum", F.coalesce(rise, F.lit(0)))])
-    regions = numbered.groupBy(*CLASS_KEYS, "_region").agg(
-        F.min(F.when(F.col("_edge") == 1, F.col("t_us"))).alias("start_us"),
-        F.max(F.when((F.col("_edge") == 0) | F.col("_tail"), F.col("t_us"))).alias("end_us"),
-    ).filter(F.col("end_us") > F.col("start_us"))
-    return number_regions(
-        regions.select(*CLASS_KEYS, (F.col("start_us") - params.pad_onset).alias("start_us"),
-                       (F.col("end_us") + params.pad_offset).alias("end_us")), block_us=block_us)
+    base = in_blocks(frames.select(
+        *CLASS_KEYS, *order, F.when(score > params.onset, 1).when(score < params.low, 0).alias("_fix"),
+    ), CLASS_KEYS, time_block("t_us", block_us))
+    inside = Window.partitionBy(*CLASS_KEYS, "_block").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = base.withColumns({
+        "_known": F.last("_fix", ignorenulls=True).over(before),
+        "_end": F.lead(F.lit(1)).over(inside).isNull(),
+    })
+    fixed = F.coalesce("_fix", "_known")
+    local = local.withColumn("_rise", ((F.col("_fix") == 1) & (F.col("_known") == 0)).cast("int"))
+    summary = local.groupBy(*CLASS_KEYS, "_block").agg(
+        F.max(F.when(F.col("_known").isNull(), F.col("_fix"))).alias("_first"),
+        F.max(F.when(F.col("_end"), fixed)).alias("_last"),
+        F.sum(F.coalesce("_rise", F.lit(0))).alias("_rises"), whole_rows(base),
+    ).filter(F.col("_all").isNotNull())
+    chain = Window.partitionBy(*CLASS_KEYS).orderBy("_block")
+    earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
+    entered = F.coalesce(F.last("_last", ignorenulls=True).over(earlier), F.lit(0))
+    carried = summary.select(
+        *CLASS_KEYS, "_block", "_rises", entered.alias("_entry"),
+        F.lead("_block").over(chain).isNull().alias("_final"),
+        ((F.col("_first") == 1) & (entered == 0)).cast("int").alias("_opens"),
+    ).withColumn("_opens", F.coalesce("_opens", F.lit(0)))
+    carried = carried.withColumn(
+        "_base", F.coalesce(F.sum(F.col("_rises") + F.col("_opens")).over(earlier), F.lit(0)) + F.col("_opens"))
+
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = local.withColumn("_n", F.sum(F.coalesce("_rise", F.lit(0))).over(upto))
+    placed = counted.join(carried.drop("_rises", "_opens"), [*CLASS_KEYS, "_block"])
+    on, was = F.coalesce(fixed, F.col("_entry")), F.coalesce("_known", "_entry")
+    rise, fall = (on == 1) & (was == 0), (on == 0) & (was == 1)
+    tail = F.col("_end") & F.col("_final") & (on == 1)
+    edges = placed.filter(rise | fall | tail)
+    regions = edges.groupBy(*CLASS_KEYS, (F.col("_base") + F.col("_n") - 1).cast("bigint").alias("region_idx")).agg(
+        F.min(F.when(rise, F.col("t_us"))).alias("start_us"),
+        F.max(F.when(fall | tail, F.col("t_us"))).alias("end_us"))
+    # Only the last region of a key can lack length, so the numbering stays dense.
+    return regions.filter(F.col("end_us") > F.col("start_us")).select(
+        *CLASS_KEYS, "region_idx", (F.col("start_us") - params.pad_onset).alias("start_us"),
+        (F.col("end_us") + params.pad_offset).alias("end_us"))
 
 
 def number_regions(regions: DataFrame, keys: list[str] = CLASS_KEYS, block_us: int = BLOCK_US) -> DataFrame:
     """0-based ``region_idx`` in time order."""
     numbered = blocked_scan(
-        regions, keys, time_block("start_us", block_us), ["start_us", "end_us"], [Scan("_n", "sum", F.lit(1))])
+        regions.select(*keys, "start_us", "end_us"), keys, time_block("start_us", block_us), ["start_us", "end_us"],
+        [Scan("_n", "sum", F.lit(1))])
     return numbered.select(*keys, (F.col("_n") - 1).cast("bigint").alias("region_idx"), "start_us", "end_us")
 
 
@@ -70,15 +88,14 @@ def fill_gaps(
 ) -> DataFrame:
     """Merge regions that overlap or lie at most ``collar_us`` apart."""
     seen = blocked_scan(
-        regions, keys, time_block("start_us", block_us), ["start_us", "end_us"],
+        regions.select(*keys, "start_us", "end_us"), keys, time_block("start_us", block_us), ["start_us", "end_us"],
         [Scan("_reach", "max_before", F.col("end_us"))])
     new = F.col("_reach").isNull() | (F.col("start_us") > F.col("_reach") + collar_us)
     islands = blocked_scan(
-        seen.withColumn("_new", new.cast("int")), keys, time_block("start_us", block_us), ["start_us", "end_us"],
+        seen.select(*keys, "start_us", "end_us", new.cast("int").alias("_new")), keys, time_block("start_us", block_us), ["start_us", "end_us"],
         [Scan("_island", "sum", F.col("_new"))])
-    merged = islands.groupBy(*keys, "_island").agg(
+    return islands.groupBy(*keys, (F.col("_island") - 1).cast("bigint").alias("region_idx")).agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
-    return number_regions(merged.drop("_island"), keys, block_us)
 
 
 def drop_short(regions: DataFrame, min_us: int) -> DataFrame:
@@ -97,13 +114,15 @@ MIN_CUT_FIELDS = StructType([StructField("start_us", LongType()), StructField("e
 
 def min_cut(
     frames: DataFrame, params: Hysteresis, max_us: int, order: list[str] = FRAME_ORDER,
-    block_us: int = BLOCK_US,
+    block_us: int | None = None,
 ) -> DataFrame:
     """Hysteresis regions where one longer than ``max_us`` is cut at the lowest score of its later half.
 
     Where a cut falls depends on the cut before, so this is a fold; its state is the open region and the
-    scores since the last cut, which ``max_us`` bounds.
+    scores since the last cut, which ``max_us`` bounds. Blocks span many such stretches, so that what a block
+    leaves rarely depends on how it was entered.
     """
+    block_us = block_us or 64 * max_us
     if params.pad_onset or params.pad_offset:
         raise ValueError("padding cannot be combined with a maximum duration")
     cut = _cutter(params.onset, params.low, max_us)
@@ -151,7 +170,7 @@ PACK_FIELDS = StructType([
     StructField("start_us", LongType()), StructField("end_us", LongType()), StructField("opens", LongType())])
 
 
-def pack_chunks(regions: DataFrame, chunk_us: int, block_us: int = 90 * BLOCK_US) -> DataFrame:
+def pack_chunks(regions: DataFrame, chunk_us: int, block_us: int | None = None) -> DataFrame:
     """Pack consecutive regions into chunks of at most ``chunk_us``; a longer single region stays whole.
 
     Returns ``recording_id, chunk_idx, start_us, end_us, segments`` with the member intervals. The fold only
@@ -159,8 +178,10 @@ def pack_chunks(regions: DataFrame, chunk_us: int, block_us: int = 90 * BLOCK_US
     """
     if chunk_us <= 0:
         raise ValueError("chunk size must be positive")
+    block_us = block_us or 64 * chunk_us
+    # Regions are few beside the frames they come from; written once, they are not derived anew per reader.
     opened = chained_fold(
-        regions.select("recording_id", "start_us", "end_us"), ["recording_id"], time_block("start_us", block_us),
+        checkpointed(regions.select("recording_id", "start_us", "end_us")), ["recording_id"], time_block("start_us", block_us),
         ["start_us", "end_us"], _opener(chunk_us), PACK_FIELDS)
     numbered = blocked_scan(
         opened, ["recording_id"], time_block("start_us", block_us), ["start_us", "end_us"],

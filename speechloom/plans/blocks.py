@@ -37,15 +37,33 @@ class Scan:
     value: Column
 
 
+def in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Rows with their ``_block``, shuffled once on (keys, block).
+
+    Rows without a key or a position belong to no recording. Filtering them here also keeps Spark from
+    pushing a null filter into only one of two readers, which would stop it from sharing the shuffle.
+    """
+    placed = df.withColumn("_block", block)
+    for name in (*keys, "_block"):
+        placed = placed.filter(F.col(name).isNotNull())
+    return placed.repartition(*keys, "_block")
+
+
+def whole_rows(base: DataFrame) -> Column:
+    """An aggregate that reads every column, so that a summary shares the shuffle of the detail rows."""
+    return F.max(F.xxhash64(*base.columns)).alias("_all")
+
+
 def blocked_scan(
     df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], scans: Iterable[Scan],
 ) -> DataFrame:
     """Add running values over ``keys`` in ``order`` without a window over whole keys.
 
-    ``block`` must not decrease along ``order``; rows of one block must fit one task.
+    ``block`` must not decrease along ``order``; rows of one block must fit one task. Pass only the columns
+    needed later: then both readers of the shuffled rows ask for the same ones and share it.
     """
     scans = list(scans)
-    base = df.withColumn("_block", block)
+    base = in_blocks(df, keys, block)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -83,8 +101,9 @@ def blocked_scan(
 
     # A block's summary is a couple of values, so scanning all blocks of the largest key stays small.
     summary = base.groupBy(*keys, "_block").agg(
-        *[summarise[s.kind](s.value).alias(f"_s_{s.name}") for s in scans]
-    )
+        *[summarise[s.kind](s.value).alias(f"_s_{s.name}") for s in scans],
+        whole_rows(base),
+    ).filter(F.col("_all").isNotNull())
     carried = summary.select(
         *keys, "_block", *[carry[s.kind](F.col(f"_s_{s.name}")).alias(f"_c_{s.name}") for s in scans]
     )

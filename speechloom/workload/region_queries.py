@@ -59,7 +59,7 @@ MIN_CUT_SQL = f"""
         count(*) OVER (PARTITION BY recording_id, class) AS n FROM score_frames),
     st AS (
       SELECT recording_id, class, i, n, t AS s0, y > 60 AS active, [t] AS kt, [y] AS ky,
-        CAST(NULL AS BIGINT) AS out_s, CAST(NULL AS BIGINT) AS out_e, t AS at
+        CAST(NULL AS BIGINT) AS out_s, CAST(NULL AS BIGINT) AS out_e, t AS seen_at
       FROM f WHERE i = 1
       UNION ALL
       SELECT recording_id, class, i, n,
@@ -80,7 +80,7 @@ MIN_CUT_SQL = f"""
         FROM st JOIN f ON f.recording_id = st.recording_id AND f.class = st.class AND f.i = st.i + 1)),
     pieces AS (
       SELECT recording_id, class, out_s AS start_us, out_e AS end_us FROM st WHERE out_s IS NOT NULL
-      UNION ALL SELECT recording_id, class, s0, at FROM st WHERE i = n AND active)
+      UNION ALL SELECT recording_id, class, s0, seen_at FROM st WHERE i = n AND active)
     SELECT recording_id, class, CAST(row_number() OVER (PARTITION BY recording_id, class ORDER BY start_us, end_us)
       - 1 AS BIGINT) AS region_idx, start_us, end_us FROM pieces WHERE end_us > start_us"""
 

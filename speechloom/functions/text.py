@@ -18,7 +18,7 @@ def strip(text: Column) -> Column:
 
 def spaceless(lang: Column) -> Column:
     """True for languages written without spaces between words."""
-    return F.coalesce(lang.isin(LANGUAGES_WITHOUT_SPACES), F.lit(False))
+    return F.coalesce(lang.isin(*LANGUAGES_WITHOUT_SPACES), F.lit(False))
 
 
 def joiner(lang: Column) -> Column:

@@ -53,7 +53,7 @@ def format_seconds(seconds: Column, always_hours: bool = False, marker: str = ".
 
 def seconds_text(ms: Column) -> Column:
     """Plain decimal text of ``ms / 1000`` with at least one fraction digit, never in exponent form."""
-    fraction = F.rtrim(F.lit("0"), F.lpad((F.abs(ms) % 1000).cast("string"), 3, "0"))
+    fraction = F.rtrim(F.lpad((F.abs(ms) % 1000).cast("string"), 3, "0"), F.lit("0"))
     return F.concat(
         F.when(ms < 0, F.lit("-")).otherwise(F.lit("")),
         F.floor(F.abs(ms) / 1000).cast("string"), F.lit("."),

@@ -1,4 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from speechloom.workload import region_queries, speaker_queries, word_queries  # noqa: F401
+from speechloom.workload import (  # noqa: F401
+    cue_queries, region_queries, speaker_queries, word_queries, writer_queries,
+)  # noqa: F401
 from speechloom.workload.registry import ORACLES, QUERIES  # noqa: F401

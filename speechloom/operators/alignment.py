@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from speechloom.functions.text import characters, spaceless
 from speechloom.functions.time import round3
 from speechloom.operators import words as wd
+from speechloom.plans.blocks import shuffle_width
 
 SEGMENT = ["recording_id", "segment_idx"]
 WILDCARD = -1
@@ -67,6 +68,11 @@ def wildcard_score(logp: Column, blank: int = 0) -> Column:
     return F.array_max(F.filter(logp, lambda _, i: i != blank))
 
 
+def spread(segments: DataFrame) -> DataFrame:
+    """Segments over all shuffle partitions: the next stage costs compute, while adaptive coalescing counts bytes."""
+    return segments.repartition(shuffle_width(segments), *SEGMENT)
+
+
 Model = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 EMISSION_FIELDS = "n_frames int, n_classes int, logits array<float>"
 MODEL_KINDS = ("tuple", "logits")
@@ -81,7 +87,7 @@ def emit_with(segments: DataFrame, model: Model, kind: str = "logits") -> DataFr
     if kind not in MODEL_KINDS:
         raise NotImplementedError(f"alignment model of kind {kind} is not supported")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields)
-    return segments.mapInPandas(model, f"{columns}, {EMISSION_FIELDS}")
+    return spread(segments).mapInPandas(model, f"{columns}, {EMISSION_FIELDS}")
 
 
 def best_path(logp: np.ndarray, tokens: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:

@@ -6,15 +6,12 @@ A *nested segment* row is ``recording_id, segment_idx, speaker, lang, text, star
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from speechloom.functions.text import cue_text, joiner, speaker_prefix, strip, underline
 from speechloom.params import CueLimits
-from speechloom.plans.blocks import Scan, blocked_scan, chained_fold, index_block
+from speechloom.plans.blocks import Scan, blocked_scan, chained_annotation, index_block
 
 SEGMENT = ["recording_id", "segment_idx"]
 SEGMENTS_PER_BLOCK = 4096
@@ -86,9 +83,7 @@ def cues_by_segment(nested: DataFrame, limits: CueLimits = CueLimits()) -> DataF
         F.concat(speaker_prefix(F.col("speaker")), body).alias("text"))
 
 
-BREAK_FIELDS = StructType([
-    StructField("segment_idx", LongType()), StructField("pos", IntegerType()),
-    StructField("new_line", IntegerType()), StructField("new_cue", IntegerType())])
+BREAKS = StructType([StructField("new_line", IntegerType()), StructField("new_cue", IntegerType())])
 
 
 def cues_limited(nested: DataFrame, limits: CueLimits, segments_per_block: int = SEGMENTS_PER_BLOCK) -> DataFrame:
@@ -106,11 +101,10 @@ def cues_limited(nested: DataFrame, limits: CueLimits, segments_per_block: int =
         F.posexplode("words").alias("pos", "_w")).select(
         *SEGMENT, "pos", "speaker", "lang", "seg_start", "seg_end", F.col("_w.word").alias("word"),
         F.col("_w.start_ms").alias("start_ms"), F.col("_w.end_ms").alias("end_ms"))
-    sizes = flat.select(
-        *SEGMENT, "pos", F.length("word").alias("n"), F.length(strip(F.col("word"))).alias("n_bare"), "start_ms")
-    breaks = chained_fold(sizes, ["recording_id"], index_block("segment_idx", segments_per_block),
-                          ["segment_idx", "pos"], _breaker(limits), BREAK_FIELDS)
-    marked = flat.join(breaks, [*SEGMENT, "pos"])
+    sized = flat.withColumns({"n": F.length("word"), "n_bare": F.length(strip(F.col("word")))})
+    marked = chained_annotation(
+        sized, ["recording_id"], index_block("segment_idx", segments_per_block), ["segment_idx", "pos"],
+        _breaker(limits), ["pos", "n", "n_bare", "start_ms"], BREAKS).drop("n", "n_bare")
     numbered = blocked_scan(marked, ["recording_id"], index_block("segment_idx", segments_per_block),
                             ["segment_idx", "pos"], [Scan("_cue", "sum", F.col("new_cue"))])
     shown = F.when(F.col("new_line") == 1, F.concat(F.lit("\n"), strip(F.col("word")))).when(
@@ -138,12 +132,10 @@ def _breaker(limits: CueLimits):
     """Fold that marks, per word, a new cue (1) and a line start: 0 none, 1 behind a line break, 2 first in a cue."""
     width, count, pause, keep = limits.width, limits.max_line_count, limits.long_pause_ms, limits.by_segment
 
-    def mark(entry: str | None, rows: pd.DataFrame, final: bool) -> tuple[pd.DataFrame, str]:
-        used, lines, filled, seen = (0, 1, False, None) if entry is None else json.loads(entry)
-        starts = [None if pd.isna(s) else int(s) for s in rows["start_ms"]]
+    def mark(state, rows: dict[str, list], final: bool):
+        used, lines, filled, seen = state or (0, 1, False, None)
         line_marks, cue_marks = [], []
-        columns = (rows[c].tolist() for c in ("pos", "n", "n_bare"))
-        for pos, n, bare, start in zip(*columns, starts):
+        for pos, n, bare, start in zip(rows["pos"], rows["n"], rows["n_bare"], rows["start_ms"]):
             paused = not keep and start is not None and seen is not None and start - seen > pause
             leaves = keep and filled and pos == 0
             if used > 0 and used + n <= width and not paused and not leaves:
@@ -158,9 +150,7 @@ def _breaker(limits: CueLimits):
             seen = seen if start is None else start
             line_marks.append(line)
             cue_marks.append(cue)
-        out = rows[["segment_idx", "pos"]].copy()
-        out["new_line"], out["new_cue"] = line_marks, cue_marks
-        return out, json.dumps([used, lines, filled, seen])
+        return {"new_line": line_marks, "new_cue": cue_marks}, [used, lines, filled, seen]
 
     return mark
 

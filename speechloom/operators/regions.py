@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from speechloom.params import Hysteresis
-from speechloom.plans.blocks import Scan, blocked_scan, chained_fold, checkpointed, in_blocks, whole_rows
+from speechloom.plans.blocks import (
+    Scan, blocked_scan, chained_annotation, chained_fold, checkpointed, in_blocks, whole_rows,
+)
 
 CLASS_KEYS = ["recording_id", "class"]
 FRAME_ORDER = ["t_us", "event_id"]
@@ -122,7 +123,7 @@ def min_cut(
     scores since the last cut, which ``max_us`` bounds. Blocks span many such stretches, so that what a block
     leaves rarely depends on how it was entered.
     """
-    block_us = block_us or 64 * max_us
+    block_us = block_us or 256 * max_us
     if params.pad_onset or params.pad_offset:
         raise ValueError("padding cannot be combined with a maximum duration")
     cut = _cutter(params.onset, params.low, max_us)
@@ -132,17 +133,15 @@ def min_cut(
 
 
 def _cutter(onset: float, low: float, max_us: int):
-    def cut(entry: str | None, rows: pd.DataFrame, final: bool) -> tuple[pd.DataFrame, str]:
-        times, scores = rows["t_us"].tolist(), rows["score"].tolist()
-        found: list[tuple[int, int]] = []
-        if entry is None:
-            start, active = times[0], scores[0] > onset
-            kept_t, kept_s = [times[0]], [scores[0]]
-            first = 1
-        else:
-            start, active, kept_t, kept_s = json.loads(entry)
-            first = 0
-        for t, y in zip(times[first:], scores[first:]):
+    unknown = float("nan")
+
+    def cut(state, rows: dict[str, list], final: bool):
+        times = rows["t_us"]
+        scores = [unknown if y is None else y for y in rows["score"]]
+        starts, ends = [], []
+        skip = state is None
+        start, active, kept_t, kept_s = (times[0], scores[0] > onset, times[:1], scores[:1]) if skip else state
+        for t, y in zip(times[skip:], scores[skip:]):
             if not active:
                 if y > onset:
                     start, active = t, True
@@ -150,24 +149,25 @@ def _cutter(onset: float, low: float, max_us: int):
             if t - start > max_us:
                 half = len(kept_s) // 2
                 at = min(range(half, len(kept_s)), key=kept_s.__getitem__)
-                found.append((start, kept_t[at]))
+                starts.append(start)
+                ends.append(kept_t[at])
                 start = kept_t[at]
                 kept_t, kept_s = kept_t[at + 1:], kept_s[at + 1:]
             elif y < low:
-                found.append((start, t))
+                starts.append(start)
+                ends.append(t)
                 start, active, kept_t, kept_s = t, False, [], []
             kept_t.append(t)
             kept_s.append(y)
         if final and active:
-            found.append((start, times[-1]))
-        return pd.DataFrame(found, columns=["start_us", "end_us"], dtype="int64"), json.dumps(
-            [start, active, kept_t, kept_s])
+            starts.append(start)
+            ends.append(times[-1])
+        return {"start_us": starts, "end_us": ends}, [start, active, kept_t, kept_s]
 
     return cut
 
 
-PACK_FIELDS = StructType([
-    StructField("start_us", LongType()), StructField("end_us", LongType()), StructField("opens", LongType())])
+OPENS = StructType([StructField("opens", LongType())])
 
 
 def pack_chunks(regions: DataFrame, chunk_us: int, block_us: int | None = None) -> DataFrame:
@@ -178,11 +178,11 @@ def pack_chunks(regions: DataFrame, chunk_us: int, block_us: int | None = None)
     """
     if chunk_us <= 0:
         raise ValueError("chunk size must be positive")
-    block_us = block_us or 64 * chunk_us
+    block_us = block_us or 256 * chunk_us
     # Regions are few beside the frames they come from; written once, they are not derived anew per reader.
-    opened = chained_fold(
-        checkpointed(regions.select("recording_id", "start_us", "end_us")), ["recording_id"], time_block("start_us", block_us),
-        ["start_us", "end_us"], _opener(chunk_us), PACK_FIELDS)
+    opened = chained_annotation(
+        checkpointed(regions.select("recording_id", "start_us", "end_us")), ["recording_id"],
+        time_block("start_us", block_us), ["start_us", "end_us"], _opener(chunk_us), ["start_us", "end_us"], OPENS)
     numbered = blocked_scan(
         opened, ["recording_id"], time_block("start_us", block_us), ["start_us", "end_us"],
         [Scan("_n", "sum", F.col("opens"))])
@@ -194,24 +194,20 @@ def pack_chunks(regions: DataFrame, chunk_us: int, block_us: int | None = None)
 
 
 def _opener(chunk_us: int):
-    def opens(entry: str | None, rows: pd.DataFrame, final: bool) -> tuple[pd.DataFrame, str]:
-        begin, reach = (None, None) if entry is None else json.loads(entry)
+    def opens(state, rows: dict[str, list], final: bool):
+        begin, reach = state or (None, None)
         flags = []
-        for start, end in zip(rows["start_us"].tolist(), rows["end_us"].tolist()):
-            new = begin is None or (end - begin > chunk_us and reach - begin > 0)
+        for start, end in zip(rows["start_us"], rows["end_us"]):
+            new = begin is None or (end - begin > chunk_us and reach > begin)
             if new:
                 begin = start
             reach = end
             flags.append(int(new))
-        out = rows[["start_us", "end_us"]].copy()
-        out["opens"] = flags
-        return out, json.dumps([begin, reach])
+        return {"opens": flags}, [begin, reach]
 
     return opens
 
 
-SEGMENTS_TYPE = ArrayType(StructType([StructField("start_us", LongType()), StructField("end_us", LongType())]))
-
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 

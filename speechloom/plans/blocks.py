@@ -7,11 +7,14 @@ state over, and only those summary rows are scanned per recording.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 ROWS_PER_BLOCK = 65_536
@@ -46,7 +49,16 @@ def in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
     placed = df.withColumn("_block", block)
     for name in (*keys, "_block"):
         placed = placed.filter(F.col(name).isNotNull())
-    return placed.repartition(*keys, "_block")
+    return placed.repartition(shuffle_width(df), *keys, "_block")
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """The session's number of shuffle partitions.
+
+    Given explicitly, it keeps adaptive coalescing, which weighs bytes only, from packing compute-heavy stages
+    into a few tasks.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def whole_rows(base: DataFrame) -> Column:
@@ -127,7 +139,7 @@ def blocked_scan(
     return joined.select(*df.columns, *[combine(s).alias(s.name) for s in scans])
 
 
-Fold = Callable[[str | None, pd.DataFrame, bool], tuple[pd.DataFrame, str]]
+Fold = Callable[[Any, dict[str, list], bool], tuple[dict[str, list], Any]]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -149,70 +161,67 @@ def chained_fold(
 ) -> DataFrame:
     """A sequential fold along ``order`` of every key, run block by block in parallel.
 
-    ``fold(entry, rows, final)`` gets the state text a block is entered with (``None`` at the start of a key),
-    the ordered rows of that block and whether the key ends with it; it returns output rows and the state it
-    leaves. Every block is first folded
-    from a guessed fresh start. A block whose predecessor leaves another state than was assumed is folded
-    again, until no state changes: each round settles at least one further block of every key, and since such
-    folds forget their start quickly, all blocks settle after a few. Keys of a single block skip all this.
+    ``fold(state, rows, final)`` gets the state left by the rows before (``None`` at the start of a key), the
+    next rows as lists per column and whether the key ends with them; it returns output columns and the new state,
+    which must be fit for JSON. Rows are sorted by Spark and streamed through the tasks, so neither a key nor a
+    block is ever held whole.
+
+    Every block is first folded from a guessed fresh start. A block whose predecessor leaves another state than
+    was assumed is folded again, until no state changes: each round settles at least one further block of every
+    key, and since such folds forget their start quickly, all blocks settle after a few. Keys of a single block
+    skip all this.
     """
-    keys, order = list(keys), list(order)
+    blocked, entries = _entered(df, list(keys), block, list(order), fold)
+    schema = StructType([*[blocked.schema[k] for k in keys], *out_schema.fields])
+    return _streamed(blocked, entries, list(keys), list(order), fold, schema, exits=False)
+
+
+def chained_annotation(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], fold: Fold,
+    reads: Sequence[str], added: StructType,
+) -> DataFrame:
+    """A ``chained_fold`` that gives every row some new columns.
+
+    Only the columns in ``reads`` become Python values; all others pass through as Arrow arrays.
+    """
+    narrow = df.select(*dict.fromkeys([*keys, *order, *reads]))
+    _, entries = _entered(narrow, list(keys), block, list(order), fold)
+    blocked = df.withColumn("_block", block)
+    schema = StructType([*df.schema.fields, *added.fields])
+    return _streamed(blocked, entries, list(keys), list(order), fold, schema, exits=False,
+                     reads=list(reads), added=[f.name for f in added.fields])
+
+
+def _entered(
+    df: DataFrame, keys: list[str], block: Column, order: list[str], fold: Fold,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with their blocks, and the settled entry states if any key has several blocks."""
     blocked = df.withColumn("_block", block)
     group = [*keys, "_block"]
     # Only keys reaching past their first block need the chain; the narrow count decides it.
     chain = Window.partitionBy(*keys).orderBy("_block")
-    blocks = blocked.select(*group).groupBy(*group).agg(F.count("*").alias("_n"))
+    blocks = blocked.select(*group).distinct()
     blocks = blocks.select(*group, F.lag("_block").over(chain).alias("_prev"),
                            F.lead("_block").over(chain).isNull().alias("_final"))
     links = blocks.filter(F.col("_prev").isNotNull() | ~F.col("_final"))
-    entries = None if links.isEmpty() else _settle(blocked, keys, links, order, fold)
-    schema = StructType([*[blocked.schema[k] for k in keys], *out_schema.fields])
-    width = len(keys)
-
-    def attach(key: tuple, out: pd.DataFrame) -> pd.DataFrame:
-        for position, name in enumerate(keys):
-            out[name] = key[position]
-        return out[[f.name for f in schema.fields]]
-
-    if entries is None:
-        def whole(key, rows):
-            out, _ = fold(None, rows.sort_values(order, kind="stable", ignore_index=True), True)
-            return attach(key[:width], out)
-
-        return blocked.groupBy(*group).applyInPandas(whole, schema)
-
-    def resumed(key, rows, state):
-        if rows.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        entry, final = (state["_entry"].iloc[0], bool(state["_final"].iloc[0])) if len(state) else (None, True)
-        out, _ = fold(entry, rows.sort_values(order, kind="stable", ignore_index=True), final)
-        return attach(key[:width], out)
-
-    return blocked.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(resumed, schema)
+    return blocked, None if links.isEmpty() else _settle(blocked, keys, links, order, fold)
 
 
 def _settle(blocked: DataFrame, keys: list[str], links: DataFrame, order: list[str], fold: Fold) -> DataFrame:
+    """``keys, _block, _entry, _final`` of all blocks of longer keys, with the state each is entered with."""
     group = [*keys, "_block"]
     exit_schema = StructType([*[blocked.schema[g] for g in group], StructField("_exit", StringType())])
-    width = len(group)
-
-    def leave(key, rows, state):
-        if rows.empty or state.empty:
-            return pd.DataFrame({f.name: [] for f in exit_schema.fields})
-        entry = state["_entry"].iloc[0]
-        _, left = fold(entry, rows.sort_values(order, kind="stable", ignore_index=True), False)
-        return pd.DataFrame([[*key[:width], left]], columns=[f.name for f in exit_schema.fields])
 
     def exits(todo: DataFrame) -> DataFrame:
         rows = blocked.join(todo.select(*group), group, "left_semi")
-        return rows.groupBy(*group).cogroup(todo.groupBy(*group)).applyInPandas(leave, exit_schema)
+        return _streamed(rows, todo.withColumn("_final", F.lit(False)), keys, order, fold, exit_schema, exits=True)
 
     links = checkpointed(links)
     linked = links.filter(F.col("_prev").isNotNull())
+    fresh = F.lit(None).cast("string").alias("_entry")
     # The last block's exit is never read, so only blocks with a successor are folded here.
-    sources = linked.select(*keys, F.col("_prev").alias("_block")).distinct()
-    known = checkpointed(exits(sources.withColumn("_entry", F.lit(None).cast("string"))).withColumn(
-        "_entry", F.lit(None).cast("string")))
+    sources = linked.select(*keys, F.col("_prev").alias("_block"), fresh)
+    known = checkpointed(exits(sources).select(*group, "_exit", fresh))
     while True:
         entered = linked.join(
             known.select(*keys, F.col("_block").alias("_prev"), F.col("_exit").alias("_entry")),
@@ -220,13 +229,103 @@ def _settle(blocked: DataFrame, keys: list[str], links: DataFrame, order: list[s
         ).select(*group, "_entry")
         seen = known.select(*group, F.col("_entry").alias("_used"))
         changed = checkpointed(
-            entered.join(seen, group).filter(~F.col("_entry").eqNullSafe(F.col("_used")))
-            .select(*group, "_entry")
-        )
+            entered.join(seen, group).filter(~F.col("_entry").eqNullSafe(F.col("_used"))).select(*group, "_entry"))
         if changed.isEmpty():
             return links.select(*group, "_final").join(entered, group, "left")
         redone = exits(changed).join(changed, group)
         known = checkpointed(
             known.join(changed.select(*group), group, "left_anti").select(*group, "_exit", "_entry")
-            .unionByName(redone.select(*group, "_exit", "_entry"))
-        )
+            .unionByName(redone.select(*group, "_exit", "_entry")))
+
+
+def _streamed(
+    blocked: DataFrame, entries: DataFrame | None, keys: list[str], order: list[str], fold: Fold,
+    schema: StructType, *, exits: bool, reads: list[str] | None = None, added: list[str] | None = None,
+) -> DataFrame:
+    """Fold the sorted rows of every block. A known entry state travels as an extra row ahead of its block."""
+    group = [*keys, "_block"]
+    columns = [c for c in blocked.columns if c not in group]
+    rows = blocked.withColumns({
+        "_mark": F.lit(1), "_entry": F.lit(None).cast("string"), "_final": F.lit(True)})
+    if entries is not None:
+        heads = entries.select(
+            *group, "_entry", "_final", F.lit(0).alias("_mark"),
+            *[F.lit(None).cast(blocked.schema[c].dataType).alias(c) for c in columns])
+        rows = rows.unionByName(heads)
+    ordered = rows.repartition(shuffle_width(blocked), *group).sortWithinPartitions(*group, "_mark", *order)
+    names = [f.name for f in schema.fields]
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        key, state, final, waiting = None, None, True, None
+        out = {name: [] for name in names}
+
+        def step(ends):
+            nonlocal state
+            made, state = fold(state, waiting, ends and final)
+            if not exits:
+                count = len(next(iter(made.values())))
+                for name, value in zip(keys, key):
+                    out[name].extend([value] * count)
+                for name, values in made.items():
+                    out[name].extend(values)
+            elif ends:
+                for name, value in zip(group, key):
+                    out[name].append(value)
+                out["_exit"].append(json.dumps(state))
+
+        for batch in batches:
+            data = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            idents = list(zip(*[data[g] for g in group]))
+            size, at = len(idents), 0
+            while at < size:
+                if idents[at] != key:
+                    if waiting is not None:
+                        step(True)
+                    key, state, final, waiting = idents[at], None, True, None
+                if data["_mark"][at] == 0:
+                    final = data["_final"][at]
+                    state = None if data["_entry"][at] is None else json.loads(data["_entry"][at])
+                    at += 1
+                    continue
+                until = at + 1
+                while until < size and idents[until] == key:
+                    until += 1
+                if waiting is not None:
+                    step(False)
+                waiting = {c: data[c][at:until] for c in columns}
+                at = until
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+            out = {name: [] for name in names}
+        if waiting is not None:
+            step(True)
+        yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    def annotate(batches):
+        key, state = None, None
+        for batch in batches:
+            data = {name: batch.column(name).to_pylist() for name in [*group, *reads, "_mark", "_entry"]}
+            idents = list(zip(*[data[g] for g in group]))
+            made = {name: [] for name in added}
+            size, at = len(idents), 0
+            while at < size:
+                if idents[at] != key:
+                    key, state = idents[at], None
+                if data["_mark"][at] == 0:
+                    state = None if data["_entry"][at] is None else json.loads(data["_entry"][at])
+                    at += 1
+                    continue
+                until = at + 1
+                while until < size and idents[until] == key:
+                    until += 1
+                values, state = fold(state, {c: data[c][at:until] for c in reads}, False)
+                for name in added:
+                    made[name].extend(values[name])
+                at = until
+            kept = pa.array([m == 1 for m in data["_mark"]])
+            passed = [batch.column(f.name).filter(kept).cast(f.type) for f in arrow if f.name not in added]
+            yield pa.RecordBatch.from_arrays(
+                [*passed, *[pa.array(made[f.name], type=f.type) for f in arrow if f.name in added]], schema=arrow)
+
+    ready = ordered.select(*group, "_mark", "_entry", "_final", *columns)
+    return ready.mapInArrow(run if reads is None else annotate, schema)

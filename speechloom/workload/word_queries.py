@@ -89,11 +89,11 @@ TABLES["filled_sentences"] = (("rolled_sentences",), interpolation_sql(
 
 def timed_segments(spark, sf_dir):
     """Turns with a time for every letter and blank."""
-    known = lambda c: F.lower(c).rlike("^[a-z ]$")
-    times = F.transform(characters(F.col("text")), lambda c, i: F.struct(
-        F.when(known(c), F.col("start_ms") + 60 * i).cast("bigint").alias("start_ms"),
-        F.when(known(c), F.col("start_ms") + 60 * i + 60).cast("bigint").alias("end_ms"),
-        F.when(known(c), (F.ascii(c) * 37 + i * 11) % 1000 / 1000).alias("score")))
+    nothing = F.lit(None).cast(wd.TIME)
+    times = F.transform(characters(F.col("text")), lambda c, i: F.when(F.lower(c).rlike("^[a-z ]$"), F.struct(
+        (F.col("start_ms") + 60 * i).cast("bigint").alias("start_ms"),
+        (F.col("start_ms") + 60 * i + 60).cast("bigint").alias("end_ms"),
+        ((F.ascii(c) * 37 + i * 11) % 1000 / 1000).alias("score"))).otherwise(nothing))
     return corpus.utterances(spark, sf_dir).select("recording_id", "segment_idx", "text", times.alias("times"))
 
 

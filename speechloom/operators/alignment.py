@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from speechloom.functions.text import characters, spaceless
 from speechloom.functions.time import round3
 from speechloom.operators import words as wd
-from speechloom.plans.blocks import shuffle_width
+from speechloom.plans.blocks import checkpointed, shuffle_width
 
 SEGMENT = ["recording_id", "segment_idx"]
 WILDCARD = -1
@@ -100,18 +100,19 @@ def best_path(logp: np.ndarray, tokens: np.ndarray, blank: int) -> tuple[np.ndar
         return None
     column = np.concatenate(([0.0], np.cumsum(logp[:, blank], dtype=np.float32))).astype(np.float32)
     column[frames + 1 - count:] = np.inf
-    token_logp, blank_logp = logp[:, tokens], logp[:, blank]
-    score = np.full(count, -np.inf, dtype=np.float32)
+    token_logp, blank_logp = np.ascontiguousarray(logp[:, tokens]), logp[:, blank].tolist()
+    # row[0] is the state before the first token, row[1:] the tokens.
+    row = np.full(count + 1, -np.inf, dtype=np.float32)
+    moved, stayed = np.empty(count, dtype=np.float32), np.empty(count, dtype=np.float32)
     advanced = np.empty((frames, count), dtype=bool)
-    final = np.empty(frames + 1, dtype=np.float32)
-    final[0] = -np.inf
-    left = np.empty(count, dtype=np.float32)
+    final = np.full(frames + 1, -np.inf, dtype=np.float32)
     for t in range(frames):
-        left[0], left[1:] = column[t], score[:-1]
-        moved, stayed = left + token_logp[t], score + blank_logp[t]
+        row[0] = column[t]
+        np.add(row[:-1], token_logp[t], out=moved)
+        np.add(row[1:], np.float32(blank_logp[t]), out=stayed)
         np.greater(moved, stayed, out=advanced[t])
-        score = np.maximum(moved, stayed)
-        final[t + 1] = score[-1]
+        np.maximum(moved, stayed, out=row[1:])
+        final[t + 1] = row[-1]
     at, j = int(final.argmax()), count - 1
     where, when, how = [], [], []
     for t in range(at - 1, -1, -1):
@@ -246,7 +247,9 @@ def align_corpus(segments: DataFrame, model: Model, dictionary: dict[str, int],
     """
     blank = next((n for s, n in reversed(list(dictionary.items())) if s in PAD_NAMES), 0)
     tokenised = fail_reason(with_tokens(segments, dictionary))
-    tried = align_characters(emit_with(tokenised.filter(F.col("fail_reason").isNull()), model), blank)
+    # Model and path search are the costly part and have several readers: written once, they survive lost executors.
+    tried = checkpointed(align_characters(emit_with(tokenised.filter(F.col("fail_reason").isNull()), model), blank)
+                         .select(*SEGMENT, "lang", "text", "start_ms", "end_ms", "aligned", "times"))
     given_up = tokenised.filter(F.col("fail_reason").isNotNull()).select(
         *SEGMENT, "text", "start_ms", "end_ms", "fail_reason").unionByName(
         tried.filter(~F.col("aligned")).select(*SEGMENT, "text", "start_ms", "end_ms", F.lit("no_path").alias("fail_reason")))

@@ -8,6 +8,8 @@ state over, and only those summary rows are scanned per recording.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -143,16 +145,19 @@ Fold = Callable[[Any, dict[str, list], bool], tuple[dict[str, list], Any]]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="speechloom-ckpt-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Cut the lineage by writing a table into the shared checkpoint folder of the session and reading it back.
+
+    Unlike ``DataFrame.checkpoint`` this computes the rows once and readers take only the columns they need. A
+    temporary folder is made only where the session names none.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="speechloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def chained_fold(

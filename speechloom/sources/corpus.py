@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, spread over the cores where the scan has fewer splits than there are; a large scan stays as it is."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
@@ -114,7 +121,7 @@ def token_id(word: Column) -> Column:
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``recording_id, pos, word`` of all documents."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("recording_id"), F.posexplode(F.split("text", " ", -1)).alias("pos", "word"),
     )
 
@@ -129,8 +136,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``recording_id, chunk_idx, tokens, score, no_speech_prob``."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("recording_id"), F.lit(0).cast("bigint").alias("chunk_idx"),
         F.transform(F.split("text", " ", -1), token_id).alias("tokens"),
         (-(F.col("n_chars") % 300) / 100.0).alias("score"),

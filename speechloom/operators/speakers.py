@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from speechloom.plans.blocks import Scan, blocked_scan
+from speechloom.plans.blocks import Scan, blocked_scan, checkpointed
+from speechloom.plans.lookups import lookup
 
 BUCKET_MS = 30_000
 MIDPOINT_BUCKET = 600_000
@@ -150,8 +151,8 @@ def assign_speakers(
 
 
 def attach_embeddings(speakers: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Embedding vector of every (recording, speaker)."""
-    return speakers.join(embeddings, ["recording_id", "speaker"], "left")
+    """Embedding vector of every (recording, speaker), also where one speaker has most of the rows."""
+    return lookup(speakers, embeddings, ["recording_id", "speaker"], salts=8)
 
 
 def cluster_speakers(
@@ -165,6 +166,8 @@ def cluster_speakers(
     if num is None and not 1 < low <= high:
         raise ValueError("speaker bounds must satisfy 1 < low <= high")
     features = embeddings.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    # Every k and every iteration reads the vectors again.
+    features = checkpointed(features)
     best = None
     for k in [num] if num is not None else range(low, high + 1):
         model = KMeans(k=k, seed=seed, maxIter=15).fit(features)

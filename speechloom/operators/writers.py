@@ -137,11 +137,15 @@ def _speaker_window():
 
 
 def _listed(rows: DataFrame, section: int) -> DataFrame:
-    """Elements of a JSON list; all but the first of a recording are led by a comma."""
-    first = rows.groupBy("recording_id").agg(F.min(F.struct("segment_idx", "pos")).alias("_first"))
-    joined = rows.join(first, "recording_id")
-    lead = F.when((F.col("_first.segment_idx") == F.col("segment_idx")) & (F.col("_first.pos") == F.col("pos")), "")
-    return _lines(joined, [section, "segment_idx", "pos"], F.concat(lead.otherwise(", "), "doc"))
+    """Elements of a JSON list; all but the first of a recording are led by a comma.
+
+    The first element is found by its whole key, so that joining the mark spreads like the elements themselves.
+    """
+    key = ["recording_id", "segment_idx", "pos"]
+    first = rows.groupBy("recording_id").agg(F.min(F.struct("segment_idx", "pos")).alias("f")).select(
+        "recording_id", "f.*", F.lit("").alias("_lead"))
+    joined = rows.join(first, key, "left")
+    return _lines(joined, [section, "segment_idx", "pos"], F.concat(F.coalesce("_lead", F.lit(", ")), "doc"))
 
 
 def _cues_of(nested: DataFrame) -> DataFrame:

@@ -110,7 +110,9 @@ def blank_id(spark, sf_dir):
                                    F.col("n_chars").alias("token_id"), F.col("doc_id").alias("ordinal")))
 
 
-@query("plugin_emissions")
+@query("plugin_emissions", f"""
+    SELECT recording_id, segment_idx, CAST(2 * length(text) + 2 AS INTEGER) AS n_frames, {N_CLASSES} AS n_classes,
+      CAST((2 * length(text) + 2) * {N_CLASSES} AS INTEGER) AS n_logits FROM utterances""", using=("utterances",))
 def plugin_emissions(spark, sf_dir):
     ready = al.emit_with(al.with_tokens(segments(spark, sf_dir), DICTIONARY), peaks)
     return ready.select("recording_id", "segment_idx", "n_frames", "n_classes", F.size("logits").alias("n_logits"))

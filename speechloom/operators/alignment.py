@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from speechloom.functions.text import characters, spaceless
 from speechloom.functions.time import round3
 from speechloom.operators import words as wd
-from speechloom.plans.blocks import checkpointed, shuffle_width
+from speechloom.plans.blocks import Scan, blocked_scan, checkpointed, index_block, shuffle_width
 
 SEGMENT = ["recording_id", "segment_idx"]
 WILDCARD = -1
@@ -261,4 +261,33 @@ def align_corpus(segments: DataFrame, model: Model, dictionary: dict[str, int],
     # Sentence times are filled in either mode that fills; without filling, unknown ones drop out in the merge.
     filled = wd.interpolate_sentences(sentences.repartition(*SEGMENT), method)
     merged = wd.merge_equal_sentences(filled, F.col("lang"))
-    return wd.with_fallbacks(merged, given_up), words
+    parts = merged.select(*SEGMENT, F.col("first_idx").cast("bigint").alias("part"),
+                          F.explode("members").alias("sentence_idx"))
+    return wd.with_fallbacks(merged, given_up), words.join(parts, [*SEGMENT, "sentence_idx"])
+
+
+def aligned_segments(sentences: DataFrame, words: DataFrame, lang: Column | None = None) -> DataFrame:
+    """The result of ``align_corpus`` as nested segments for cues and writers, one per sentence.
+
+    Segments are numbered anew in order; those passed through have no words. ``speaker`` columns of either table,
+    as added by speaker assignment, are kept.
+    """
+    named = "speaker" in words.columns
+    fields = ["word", "start_ms", "end_ms", "score", *(["speaker"] if named else [])]
+    lists = words.groupBy(*SEGMENT, "part").agg(
+        F.sort_array(F.collect_list(F.struct("sentence_idx", "word_idx", *fields))).alias("_w"))
+    joined = sentences.join(lists, [*SEGMENT, "part"], "left")
+    speaker = F.col("speaker") if "speaker" in sentences.columns else F.lit(None).cast("string")
+    numbered = blocked_scan(
+        joined.select(*SEGMENT, "part", speaker.alias("speaker"), "text", "start_ms", "end_ms", "_w"), ["recording_id"],
+        index_block("segment_idx", 4096), ["segment_idx", "part"], [Scan("_n", "sum", F.lit(1))])
+    kept = F.transform("_w", lambda w: F.struct(*[w[f].alias(f) for f in fields]))
+    return numbered.select(
+        "recording_id", (F.col("_n") - 1).cast("bigint").alias("segment_idx"), "speaker",
+        (F.lit(None).cast("string") if lang is None else lang).alias("lang"), "text", "start_ms", "end_ms",
+        F.coalesce(kept, F.array().cast(_word_type(named))).alias("words"))
+
+
+def _word_type(named: bool) -> str:
+    speaker = ",speaker:string" if named else ""
+    return f"array<struct<word:string,start_ms:bigint,end_ms:bigint,score:double{speaker}>>"

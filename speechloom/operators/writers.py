@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from speechloom.functions.text import json_string, label_prefix, one_line, speaker_prefix, strip
-from speechloom.functions.time import format_ms, seconds_text
+from speechloom.functions.time import format_ms, seconds_text, seconds_to_ms
 from speechloom.operators import cues as cu
 from speechloom.params import CueLimits
 
@@ -91,23 +91,38 @@ def _text_field(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), _field(name, json_string(value)))
 
 
-def _word_json(w: Column) -> Column:
-    return _object(_text_field("word", w["word"]), _field("start", seconds_text(w["start_ms"])),
-                   _field("end", seconds_text(w["end_ms"])))
+def _timed_json(name: str, names: list[str]) -> Callable[[Column], Column]:
+    """JSON of a word or character; its score and speaker appear if the table has them."""
+
+    def doc(w: Column) -> Column:
+        fields = [_text_field(name, w[name]), _field("start", seconds_text(w["start_ms"])),
+                  _field("end", seconds_text(w["end_ms"]))]
+        if "score" in names:
+            fields.append(_field("score", seconds_text(seconds_to_ms(w["score"]))))
+        if "speaker" in names:
+            fields.append(_text_field("speaker", w["speaker"]))
+        return _object(*fields)
+
+    return doc
 
 
 def json_lines(nested: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
     """One JSON document per recording, spread over lines: a document is never held whole by a task.
 
-    Unknown values have no key. ``embeddings`` (recording_id, speaker, embedding) adds ``speaker_embeddings``.
+    Unknown values have no key. A ``chars`` column adds the aligned characters, ``embeddings`` (recording_id, speaker, embedding) adds ``speaker_embeddings``.
     """
-    words = F.array_join(F.transform("words", _word_json), ", ")
+    word_json = _timed_json("word", nested.schema["words"].dataType.elementType.names)
+    words = F.array_join(F.transform("words", word_json), ", ")
+    chars = []
+    if "chars" in nested.columns:
+        char_json = _timed_json("char", nested.schema["chars"].dataType.elementType.names)
+        chars = [F.concat(F.lit('"chars": ['), F.array_join(F.transform("chars", char_json), ", "), F.lit("]"))]
     segment = _object(
         _field("start", seconds_text(F.col("start_ms"))), _field("end", seconds_text(F.col("end_ms"))),
         _text_field("text", F.col("text")), F.concat(F.lit('"words": ['), words, F.lit("]")),
-        _text_field("speaker", F.col("speaker")))
+        *chars, _text_field("speaker", F.col("speaker")))
     flat = nested.select("recording_id", "segment_idx", F.posexplode("words").alias("pos", "_w"))
-    word_rows = flat.select("recording_id", "segment_idx", "pos", _word_json(F.col("_w")).alias("doc"))
+    word_rows = flat.select("recording_id", "segment_idx", "pos", word_json(F.col("_w")).alias("doc"))
     parts = [
         _once(nested, [0, 0, 0], '{"segments": ['),
         _listed(nested.select("recording_id", "segment_idx", F.lit(0).alias("pos"), segment.alias("doc")), 1),

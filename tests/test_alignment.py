@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechloom.operators import alignment as al, words as wd
+from speechloom.operators import alignment as al, speakers as sp, words as wd, writers as wr
 
 SIGNS = ["<pad>", *"abcdefghiklmnoprstuw", "|"]
 DICTIONARY = {s: i for i, s in enumerate(SIGNS)}
@@ -107,6 +108,28 @@ def test_best_path_is_the_best(spark):
     assert al.best_path(np.zeros((3, 2), dtype=np.float32), np.ones(5, dtype=np.int64), 0) is None
 
 
+def test_aligned_corpus_to_files(spark):
+    """Align, assign speakers to sentences and words, and write."""
+    rows = [("r", 0, "en", "the cat. was it", 0, 5000, 9000), ("r", 1, "en", "", 5000, 6000, 9000),
+            ("r", 2, "en", "a 43 k", 6000, 8000, 9000)]
+    table = spark.createDataFrame(rows, "recording_id string, segment_idx bigint, lang string, text string, "
+                                        "start_ms bigint, end_ms bigint, audio_ms bigint")
+    sentences, words = al.align_corpus(table, model_for(100), DICTIONARY)
+    turns = spark.createDataFrame([("r", 0, "A", 0, 5500), ("r", 1, "B", 5500, 9000)],
+                                  "recording_id string, turn_idx bigint, speaker string, start_ms bigint, end_ms bigint")
+    sentences = sp.assign_speakers(sentences, turns, ("segment_idx", "part"))
+    words = sp.assign_speakers(words, turns, ("segment_idx", "part", "sentence_idx", "word_idx"))
+    nested = al.aligned_segments(sentences, words, F.lit("en")).orderBy("segment_idx").cache()
+    got = nested.collect()
+    assert [r.segment_idx for r in got] == list(range(len(got)))
+    assert [(r.text, r.speaker) for r in got] == [("the cat.", "A"), ("was it", "A"), ("", "A"), ("a 43 k", "B")]
+    assert [[w.word for w in r.words] for r in got] == [["the", "cat."], ["was", "it"], [], ["a", "43", "k"]]
+    doc = json.loads("".join(r.line for r in wr.json_lines(nested).orderBy("ord").collect()))
+    assert [w["speaker"] for w in doc["word_segments"]] == ["A"] * 4 + ["B"] * 3
+    assert all({"word", "start", "end", "score"} <= set(w) for w in doc["word_segments"])
+    assert len(wr.WRITERS["srt"](nested).collect()) == 3 and len(wr.txt_lines(nested).collect()) == 4
+
+
 def test_unknown_model_kind(spark):
     with pytest.raises(NotImplementedError):
         al.emit_with(spark.range(1), None, kind="other")

@@ -148,11 +148,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing a table into the shared checkpoint folder of the session and reading it back.
 
     Unlike ``DataFrame.checkpoint`` this computes the rows once and readers take only the columns they need. A
-    temporary folder is made only where the session names none.
+    temporary folder is made only for a local session that names none; on a cluster a missing folder is an error.
     """
     spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="speechloom-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/table-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import speechloom
-from speechloom.llm import mixing, quality_rules
+from speechloom.llm import mixing, piece_sampling, quality_rules, workload
 from speechloom.plans.blocks import checkpointed
 
 cloudpickle.register_pickle_by_value(speechloom)
@@ -27,7 +27,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_copies(docs).select(*docs.columns)
 
 
-STAGES = [("quality_rules", keep_good), ("source_mixing", mix_sources)]
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, checked by decoding."""
+    return piece_sampling.sampled_pieces(docs, workload.piece_model())
+
+
+STAGES = [("quality_rules", keep_good), ("source_mixing", mix_sources), ("sentence_pieces", encode_pieces)]
 #: Hash-seeded sampling by library vocabularies and shard suffix arrays have no SQL form; tests hold brute force instead.
 ORACLE_SQL = None
 

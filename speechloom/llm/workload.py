@@ -5,17 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechloom.llm import mixing, quality_rules, token_counts
-
-BYTE_BPE = "byte_bpe_50k.json"
+from speechloom.llm import mixing, piece_sampling, quality_rules, token_counts, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def piece_model() -> str:
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), byte_tokenizer())
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +32,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_facts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_source_mixing, op7_quality_rules)}
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sampled_pieces(_table(spark, sf_dir, "documents"), piece_model())
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(_table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op6_source_mixing, op7_quality_rules, op8_piece_sampling, op9_token_store)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE, "op7_quality_rules": quality_rules.ORACLE}

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import speechloom
-from speechloom.llm import mixing, piece_sampling, quality_rules, workload
+from speechloom.llm import jaccard_join, mixing, piece_sampling, quality_rules, substring_dedup, workload
 from speechloom.plans.blocks import checkpointed
 
 cloudpickle.register_pickle_by_value(speechloom)
@@ -22,6 +22,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by their word shingles, the one with the smallest id."""
+    return jaccard_join.first_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has."""
+    return substring_dedup.cut_texts(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in random order."""
     return mixing.mixed_copies(docs).select(*docs.columns)
@@ -32,7 +42,10 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return piece_sampling.sampled_pieces(docs, workload.piece_model())
 
 
-STAGES = [("quality_rules", keep_good), ("source_mixing", mix_sources), ("sentence_pieces", encode_pieces)]
+STAGES = [
+    ("quality_rules", keep_good), ("jaccard_join", drop_near_copies), ("suffix_dedup", cut_repeats),
+    ("source_mixing", mix_sources), ("sentence_pieces", encode_pieces),
+]
 #: Hash-seeded sampling by library vocabularies and shard suffix arrays have no SQL form; tests hold brute force instead.
 ORACLE_SQL = None
 

@@ -138,3 +138,20 @@ def binary_array(data: np.ndarray | bytes, offsets: np.ndarray, kind: pa.DataTyp
     offsets = np.ascontiguousarray(offsets, np.int64 if wide else np.int32)
     body = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body)])
+
+
+def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key from batches sorted by integer ``keys``; only the rows of the key in progress are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        columns = [rows.column(k).to_numpy() for k in keys]
+        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        cut = np.flatnonzero(new).tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield rows.slice(a, b - a)
+        held = rows.slice(cut[-1]).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechloom.llm import jaccard_join, mixing, piece_sampling, quality_rules, substring_dedup, token_counts, token_store, vector_join
+from speechloom.llm import jaccard_join, mixing, piece_sampling, quality_rules, substring_dedup, token_counts, token_store, url_filter, vector_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_table(spark, sf_dir, "documents"), byte_tokenizer())
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_jaccard_join, op3_vector_join, op5_suffix_dedup, op6_source_mixing, op7_quality_rules, op8_piece_sampling, op9_token_store)}
-ORACLES = {"op3_vector_join": vector_join.ORACLE, "op6_source_mixing": mixing.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+    op1_token_counts, op2_jaccard_join, op3_vector_join, op5_suffix_dedup, op6_source_mixing, op7_quality_rules, op8_piece_sampling, op9_token_store, op10_url_filter)}
+ORACLES = {"op3_vector_join": vector_join.ORACLE, "op6_source_mixing": mixing.ORACLE, "op7_quality_rules": quality_rules.ORACLE,
+           "op10_url_filter": url_filter.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechloom.llm import jaccard_join, mixing, piece_sampling, quality_rules, substring_dedup, token_counts, token_store, url_filter, vector_join
+from speechloom.llm import jaccard_join, language_id, mixing, piece_sampling, quality_rules, substring_dedup, token_counts, token_store, url_filter, vector_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.linked_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.page_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_cuts(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_jaccard_join, op3_vector_join, op5_suffix_dedup, op6_source_mixing, op7_quality_rules, op8_piece_sampling, op9_token_store, op10_url_filter)}
+    op1_token_counts, op2_jaccard_join, op3_vector_join, op4_language_id,
+    op5_suffix_dedup, op6_source_mixing, op7_quality_rules, op8_piece_sampling, op9_token_store, op10_url_filter)}
 ORACLES = {"op3_vector_join": vector_join.ORACLE, "op6_source_mixing": mixing.ORACLE, "op7_quality_rules": quality_rules.ORACLE,
            "op10_url_filter": url_filter.ORACLE}

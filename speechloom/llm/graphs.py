@@ -8,7 +8,7 @@ from speechloom.plans.blocks import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node that each node of ``edges`` (``a, b``) reaches; nodes without edges are absent.
+    """``node, component``: the smallest node that each node of ``edges`` (``a, b``) reaches, for all nodes that reach a smaller one.
 
     Alternates two contractions: every node hangs its larger neighbours, then its smaller ones, on the smallest. The number
     of edges never grows and the number of rounds is logarithmic in the longest path. Each round is written to the

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, mixed, ragged, seeded, sliced, words_of
+from speechloom.llm.batches import RangeHash, flat, key_runs, mixed, ragged, sliced, words_of
 from speechloom.llm.graphs import components
 from speechloom.plans.blocks import checkpointed
 
@@ -40,7 +40,7 @@ FLUSH = 1 << 20
 SEEN = 1 << 20
 TILE = 512
 STAR = 1024
-SKETCH_WORDS = 8
+MIN_BITS = 7
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
         np.uint64(0x27D4EB2F165667C5), np.uint64(0xD6E8FEB86659FD93)]
 
@@ -84,13 +84,47 @@ def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, names, 0)
 
 
-def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Parity sketches: two sets differ in at least as many elements as their sketches differ in bits."""
-    bits = SKETCH_WORDS * 64
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity sketches, with at least as many bits as elements: sets differ in at least as many elements as their sketches
+    differ in bits. Bits go by the leading bits of a hash, so a sketch folds to half its size."""
+    power = np.maximum(MIN_BITS, np.ceil(np.log2(np.maximum(sizes, 1)))).astype(np.int64)
+    ends = np.cumsum(1 << power)
     rows, _ = ragged(sizes)
-    at = rows * bits + (mixed(hashes ^ _ODD[3]) >> np.uint64(64 - 9)).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(sizes) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(sizes), bits), axis=1)
+    at = (ends - (1 << power))[rows] + (mixed(hashes ^ _ODD[3]) >> (64 - power)[rows].astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8)
+    body = np.packbits(odd).tobytes()
+    return [body[a >> 3: b >> 3] for a, b in zip((ends - (1 << power)).tolist(), ends.tolist(), strict=True)]
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches (rows of bytes) of half the size."""
+    pairs = np.unpackbits(bits, axis=1).reshape(len(bits), -1, 2)
+    return np.packbits(pairs[:, :, 0] ^ pairs[:, :, 1], axis=1)
+
+
+def may_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Which pairs of rows may link, by their sizes ``n`` and sketches; a pair that links is never refused."""
+    on = (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+    size = np.array([len(x) for x in marks])
+    out = np.zeros(len(i), bool)
+    place = np.zeros(len(size), np.int64)
+    table = {}
+    for width in np.unique(size).tolist():
+        rows = np.flatnonzero(size == width)
+        place[rows] = np.arange(len(rows))
+        table[width] = np.frombuffer(b"".join(marks[r] for r in rows.tolist()), np.uint8).reshape(len(rows), width)
+    for low in table:
+        for high in (low, 2 * low):
+            if high not in table:
+                continue
+            wide = table[high] if high == low else folded(table[high])
+            for x, y in ((i, j),) if high == low else ((i, j), (j, i)):
+                at = np.flatnonzero(on & (size[x] == low) & (size[y] == high))
+                for k in range(0, len(at), step := max(1, (8 << 20) // low)):
+                    part = at[k: k + step]
+                    differ = np.bitwise_count(table[low][place[x[part]]] ^ wide[place[y[part]]]).sum(axis=1, dtype=np.int64)
+                    out[part] = 7 * differ <= n[x[part]] + n[y[part]]
+    return out
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +186,14 @@ def set_table(docs: DataFrame) -> DataFrame:
             bits = sketches(hashes, sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(set_names(hashes, sizes)),
-                 pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "n_shingles", "name", "sketch"])
+                 pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "name", "sketch"])
 
     return docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, name bigint, sketch binary")
 
 
 def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, block``: packed (signature, name) rows; negative buckets hold (signature, name, centre) found in one task."""
+    """``bucket, block``: packed (signature, name, whether others in the task have it) rows; negative buckets hold the
+    (signature, name, centre) rows of those others."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -179,13 +214,13 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             if shared.any():
                 keys.append(-1 - turn % 64)
                 blocks.append(np.concatenate([sig[shared].view(np.int64), name[shared], centre[shared]]).astype("<i8").tobytes())
-            sig, name = sig[first], name[first]
+            sig, name, more = sig[first], name[first], (run > 1).astype(np.uint8)
             bucket = ((sig >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             six = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sig)], strict=True):
                 keys.append(int(bucket[a]))
-                blocks.append(six[a:b].tobytes() + name[a:b].astype("<i8").tobytes())
+                blocks.append(six[a:b].tobytes() + name[a:b].astype("<i8").tobytes() + more[a:b].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
         for batch in sliced(batches, "_text"):
@@ -207,32 +242,47 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _members(table: pa.Table) -> pa.Table:
-    """Rows of signatures that several sets share, each with the smallest name as centre."""
-    sigs, names, centres = [], [], []
-    if table.num_rows and table.column("bucket")[0].as_py() < 0:
-        for block in table.column("block").to_pylist():
-            sig, name, centre = np.frombuffer(block, "<i8").reshape(3, -1)
-            sigs.append(sig)
-            names.append(name)
-            centres.append(centre)
-    else:
-        own_sig, own_name = [], []
-        for block in table.column("block").to_pylist():
-            n = len(block) // 14
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(block, np.uint8, 6 * n).reshape(n, 6)
-            own_sig.append(wide.view("<i8").ravel())
-            own_name.append(np.frombuffer(block, "<i8", n, 6 * n))
-        sig, name = np.concatenate(own_sig), np.concatenate(own_name)
-        order = np.lexsort((name, sig))
-        sig, name = sig[order], name[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))
-        sig, name = sig[new], name[new]
-        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        run = np.diff(np.append(first, len(sig)))
-        shared = np.repeat(run > 1, run)
-        sigs, names, centres = [sig[shared]], [name[shared]], [np.repeat(name[first], run)[shared]]
-    return pa.table({"sig": np.concatenate(sigs), "name": np.concatenate(names), "centre": np.concatenate(centres)})
+    """Rows of signatures that several sets share, each with the smallest name as centre. ``more``: the signature may have
+    members beyond a single pair."""
+    blocks = table.column("block").to_pylist()
+    if blocks and table.column("bucket")[0].as_py() < 0:
+        sig, name, centre = (np.concatenate(x) for x in zip(*[np.frombuffer(b, "<i8").reshape(3, -1) for b in blocks], strict=True))
+        return pa.table({"sig": sig, "name": name, "centre": centre, "more": np.ones(len(sig), bool)})
+    sigs, names, more = [], [], []
+    for block in blocks:
+        n = len(block) // 15
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(block, np.uint8, 6 * n).reshape(n, 6)
+        sigs.append(wide.view("<i8").ravel())
+        names.append(np.frombuffer(block, "<i8", n, 6 * n))
+        more.append(np.frombuffer(block, np.uint8, n, 14 * n))
+    sig, name, more = np.concatenate(sigs), np.concatenate(names), np.concatenate(more)
+    order = np.lexsort((name, sig))
+    sig, name, more = sig[order], name[order], more[order]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    any_more = np.maximum.reduceat(more, first) > 0
+    new = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))
+    sig, name = sig[new], name[new]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    run = np.diff(np.append(first, len(sig)))
+    shared = np.repeat(run > 1, run)
+    return pa.table({"sig": sig[shared], "name": name[shared], "centre": np.repeat(name[first], run)[shared],
+                     "more": np.repeat(any_more | (run > 2), run)[shared]})
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a, b``) whose sizes and sketches do not rule a link out."""
+    side = lambda c: sets.select(F.col("name").alias(c), F.col("n_shingles").alias("n_" + c), F.col("sketch").alias("s_" + c))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.num_rows
+            n = np.concatenate([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()])
+            marks = batch.column("s_a").to_pylist() + batch.column("s_b").to_pylist()
+            on = may_link(np.arange(count), np.arange(count, 2 * count), n, marks) if count else np.zeros(0, bool)
+            yield batch.select(["a", "b"]).filter(pa.array(on))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -290,62 +340,40 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of sets that share a signature, lie in different components and may differ little enough."""
-    placed = members.select("sig", "name").distinct().join(parts, "name", "left").withColumn(
-        "part", F.coalesce("component", "name")).drop("component")
+    """Pairs of sets that share a signature with at least a third, lie in different components and may link."""
+    placed = members.where("more").select("sig", "name").join(parts, "name", "left").select(
+        "sig", "name", F.coalesce("component", "name").alias("part"))
     many = placed.groupBy("sig").agg(F.count("*").alias("_n"), F.min("part").alias("_low"), F.max("part").alias("_high")).where(
-        "_low < _high").select("sig", F.ceil(F.col("_n") / TILE).cast("int").alias("_tiles"))
+        "_n > 2 and _low < _high").select("sig", F.ceil(F.col("_n") / TILE).cast("int").alias("_tiles"))
     own = F.pmod(F.xxhash64("name"), F.col("_tiles").cast("bigint")).cast("int")
-    tiled = placed.join(many, "sig").join(sets, "name").withColumn("own", own).select(
+    tiled = checkpointed(placed.join(many, "sig")).join(sets, "name").withColumn("own", own).select(
         "sig", "name", "part", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("other"))
     tiled = tiled.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def pairs(rows: pa.Table) -> list[tuple[int, int]]:
-            name, part = rows.column("name").to_numpy(), rows.column("part").to_numpy()
-            n, own = rows.column("n_shingles").to_numpy(), rows.column("own").to_numpy()
-            low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-            bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(name), -1)
-            out = []
-            for i in range(len(name)):
-                other = part != part[i]
-                other &= (own != own[i]) if low != high else (np.arange(len(name)) > i)
-                other &= (name > name[i]) if low != high else True
-                other &= (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n)
-                j = np.flatnonzero(other)
-                if len(j):
-                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                    out += [(min(name[i], x), max(name[i], x)) for x in name[j[7 * differ <= n[j] + n[i]]].tolist()]
-            return out
-
-        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            found = set()
-            keys = [rows.column(c).to_numpy() for c in ("sig", "low", "high")]
-            new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
-            cut = [*np.flatnonzero(new).tolist(), rows.num_rows]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if b - a > 1:
-                    found.update(pairs(rows.slice(a, b - a)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([int(v) for v in x], pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        seen: set[tuple[int, int]] = set()
+        for rows in key_runs(batches, ["sig", "low", "high"]):
+            name, part, own = (rows.column(c).to_numpy() for c in ("name", "part", "own"))
+            if rows.num_rows < 2 or (part == part[0]).all():
                 continue
-            rows = pa.Table.from_batches([*held, batch])
-            # What may go on in the next batch waits: the rows of the last key, at most two tiles.
-            keys = [rows.column(c).to_numpy() for c in ("sig", "low", "high")]
-            last = np.logical_and.reduce([k == k[-1] for k in keys])
-            rest = int(last.sum())
-            yield from done(rows.slice(0, rows.num_rows - rest)) if rest < rows.num_rows else ()
-            held = rows.slice(rows.num_rows - rest).combine_chunks().to_batches()
-        if held:
-            yield from done(pa.Table.from_batches(held))
+            if rows.column("low")[0].as_py() == rows.column("high")[0].as_py():
+                i, j = np.triu_indices(len(name), 1)
+            else:
+                first = own == own[0]
+                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
+            on = part[i] != part[j]
+            i, j = i[on], j[on]
+            on = may_link(i, j, rows.column("n_shingles").to_numpy(), rows.column("sketch").to_pylist())
+            low, high = np.minimum(name[i[on]], name[j[on]]), np.maximum(name[i[on]], name[j[on]])
+            found = set(zip(low.tolist(), high.tolist(), strict=True)) - seen
+            if len(seen) > SEEN:
+                seen.clear()
+            seen |= found
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = tiled.repartition(width, "sig", "low", "high").sortWithinPartitions("sig", "low", "high", "name")
+    met = tiled.drop("other").repartition(width, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
     return met.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -365,16 +393,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-int(total) // (2 * FLUSH)))
     members = checkpointed(signature_blocks(docs, buckets).groupBy("bucket").applyInArrow(
-        _members, "sig bigint, name bigint, centre bigint"))
+        _members, "sig bigint, name bigint, centre bigint, more boolean"))
     bounds = sets.select("name", "n_shingles", "sketch")
     reps = sets.select("name", "rep")
-    stars = members.where("name <> centre").select(F.col("centre").alias("a"), F.col("name").alias("b")).distinct()
-    side = lambda c: bounds.select(F.col("name").alias(c), F.col("n_shingles").alias("n_" + c), F.col("sketch").alias("s_" + c))
-    near = checkpointed(stars.join(side("a"), "a").join(side("b"), "b").where(
-        "4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a").where(_differing() * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b"))
-    links = verified(near, reps, docs)
+    stars = checkpointed(members.where("name <> centre").select(F.col("centre").alias("a"), F.col("name").alias("b")).distinct())
+    links = verified(checkpointed(near_pairs(stars, bounds)), reps, docs)
     parts = components(links).withColumnRenamed("node", "name")
-    rest = checkpointed(across(members, parts, bounds).join(near, ["a", "b"], "left_anti"))
+    # What a star has decided needs no second look.
+    rest = checkpointed(across(members, parts, bounds).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(verified(rest, reps, docs))
         parts = components(links).withColumnRenamed("node", "name")
@@ -385,15 +411,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _differing():
-    """Bits in which two sketches differ."""
-    total = F.lit(0)
-    for i in range(SKETCH_WORDS):
-        word = lambda c: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("bigint")  # noqa: B023, E731
-        total = total + F.bit_count(word("s_a").bitwiseXOR(word("s_b")))
-    return total
-
-
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the smallest of their component, with their own columns; of rows with equal id all stay."""
     kept = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()

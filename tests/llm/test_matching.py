@@ -237,9 +237,18 @@ def test_vector_join_of_odd_rows(spark):
 
 
 def test_sketches_bound_the_difference():
+    """Pairs that link are never refused, also where the sketches have different sizes; disjoint sets are."""
     rng = np.random.default_rng(6)
-    pool = np.unique(rng.integers(0, 2**63, 600, dtype=np.uint64))
-    for _ in range(50):
-        a, b = (np.sort(rng.choice(pool, int(rng.integers(1, 300)), replace=False)) for _ in range(2))
-        bits = jj.sketches(np.concatenate([a, b]), np.array([len(a), len(b)])).view(np.uint64)
-        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
+    for _ in range(300):
+        union = int(rng.integers(2, 700))
+        common = -(-75 * union // 100)
+        pool = rng.integers(0, 2**63, union, dtype=np.uint64)
+        cut = common + int(rng.integers(0, union - common + 1))
+        a, b = np.unique(pool[:cut]), np.unique(np.concatenate([pool[:common], pool[cut:]]))
+        n = np.array([len(a), len(b)])
+        marks = jj.sketches(np.concatenate([a, b]), n)
+        assert jj.may_link(np.array([0]), np.array([1]), n, marks).tolist() == [True]
+        other = np.unique(rng.integers(0, 2**63, max(len(a), 40), dtype=np.uint64))
+        n = np.array([len(other), len(other)])
+        far = jj.sketches(np.concatenate([other, np.unique(rng.integers(0, 2**63, len(other), dtype=np.uint64))]), n)
+        assert jj.may_link(np.array([0]), np.array([1]), n, far).tolist() == [False]

@@ -40,6 +40,13 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start, end - start)
 
 
+def in_rows(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``rows``, for compressed texts, whose size shows only when they are expanded."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def offsets_of(column: pa.Array) -> np.ndarray:
     """Start of every text in the data buffer, with the end of the last one; a null is empty."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

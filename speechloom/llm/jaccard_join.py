@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, key_runs, mixed, ragged, sliced, words_of
+from speechloom.llm.batches import RangeHash, flat, in_rows, key_runs, mixed, ragged, sliced, words_of
 from speechloom.llm.graphs import components
 from speechloom.plans.blocks import checkpointed
 
@@ -315,7 +315,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
         expand = zstandard.ZstdDecompressor().decompress
         key, base = None, None
-        for batch in batches:
+        for batch in in_rows(batches):
             texts = pa.array([expand(p) if p else b"" for p in batch.column("packed").to_pylist()], pa.binary()).cast(pa.string())
             a, tile, b = (batch.column(c).to_pylist() for c in ("a", "tile", "b"))
             found, at = [], 0

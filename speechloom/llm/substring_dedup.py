@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, ragged, sliced
+from speechloom.llm.batches import RangeHash, flat, in_rows, ragged, sliced
 from speechloom.llm.suffix_arrays import permuted_lcp, suffix_array
 from speechloom.plans.blocks import checkpointed
 
@@ -29,8 +29,8 @@ LENGTH = 50
 GRAM = 16
 FLUSH = 1 << 20
 SEEN = 1 << 20
-SEGMENT_FLUSH = 16 << 20
-SHARD_BYTES = 3 << 19
+SEGMENT_FLUSH = 8 << 20
+SHARD_BYTES = 3 << 18
 
 
 def segments_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,12 +225,10 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
                     start[at].astype("<u4").tobytes(), length[at].astype("u1").tobytes(), body[begin[at][rows] + off].tobytes()]))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_rows(batches):
             raw = pa.array([expand(x) for x in batch.column("packed").to_pylist()], pa.binary())
             whole = pa.record_batch({"t": raw, "doc": batch.column("doc_id"), "name": batch.column("name"), "grams": batch.column("grams")})
-            for part in sliced([whole], "t"):
+            for part in sliced([whole], "t", 1 << 20):
                 data, offsets = flat(part.column("t"))
                 first, last, gram, text = segments_of(data, offsets)
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()
@@ -285,7 +283,7 @@ def _ranges(table: pa.Table) -> pa.Table:
     at = begin[first][rows] + np.minimum(off, size[rows] - 1)
     ends = off == size[rows]
     data = np.where(ends, np.uint8(0xFF), body[at])
-    text = np.append(np.where(ends, 1, data.astype(np.int64) + 2), 0)
+    text = np.append(np.where(ends, 1, data.astype(np.int16) + 2), 0).astype(np.int16)
     order = suffix_array(text, LENGTH)
     window = np.zeros(len(text), bool)
     window[:-1] = off + LENGTH <= size[rows]
@@ -368,7 +366,7 @@ def _results(cut: DataFrame, texts: bool) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in in_rows(batches):
             rows = [_kept(expand(p), r) for p, r in zip(batch.column("packed").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
             columns = [batch.column("name"), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
                        pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())]

@@ -19,7 +19,7 @@ def _grouped(chars: np.ndarray, values: np.ndarray, queues: list[list[np.ndarray
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, heads: list[np.ndarray], size: int) -> np.ndarray:
@@ -60,7 +60,7 @@ def _induce(text: np.ndarray, small: np.ndarray, heads: list[np.ndarray], size:
         out.append(_joined(placed))
         out.append(down)
     # The last character, the only smallest one, is induced by nothing.
-    out.append(np.array([len(text) - 1]))
+    out.append(np.array([len(text) - 1], np.int32))
     return np.concatenate(out)[::-1]
 
 
@@ -80,9 +80,10 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rises = text[change] < text[change + 1]
     nxt = np.searchsorted(change, np.arange(n - 1))
     small = np.append(rises[nxt], True)  # the last two characters differ, so there is always a change
-    first = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    del change, rises, nxt
+    first = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(first):
-        first = np.array([n - 1])
+        first = np.array([n - 1], np.int32)
 
     def heads(order: np.ndarray) -> list[np.ndarray]:
         chars = text[order]
@@ -90,10 +91,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         return np.split(order[rank], np.searchsorted(chars[rank], np.arange(1, size)))
 
     order = _induce(text, small, heads(first), size)
-    place = np.full(n, -1)
+    place = np.full(n, -1, np.int32)
     place[first] = np.arange(len(first))
     sub = place[order]
     sub = sub[sub >= 0]
+    del place, order
     # Equal neighbours in this order are equal substrings; hashes of 64 bits tell.
     stop = np.append(first[1:] + 1, n)
     power = np.full(n + 1, np.uint64(0x9E3779B97F4A7C15))
@@ -104,6 +106,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
     print_ = mixed((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))[sub]
+    del power, sums, inverse
     names = np.empty(len(first), np.int64)
     names[sub] = np.cumsum(np.append(0, print_[1:] != print_[:-1]))
     span = 1
@@ -124,9 +127,9 @@ def permuted_lcp(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     Returned as an array over all positions of ``data`` (0 for the first and for those outside ``order``). ``data`` must go
     on for ``cap`` bytes behind every position of ``order``.
     """
-    phi = np.full(len(data), -1, np.int64)
+    phi = np.full(len(data), -1, np.int32)
     phi[order[1:]] = order[:-1]
-    out = np.zeros(len(data), np.int64)
+    out = np.zeros(len(data), np.int16)
     at = np.flatnonzero(phi >= 0)
     words = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
     words = np.ascontiguousarray(words).view("<u8").ravel()

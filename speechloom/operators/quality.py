@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from speechloom.functions.text import compression_ratio
 from speechloom.params import QualityLimits
 from speechloom.plans.blocks import Scan, blocked_scan, index_block
-from speechloom.plans.lookups import lookup
 
 CHUNK = ["recording_id", "chunk_idx"]
 NUMERAL_SIGNS = "[0-9%$£]"
@@ -35,9 +34,13 @@ def suppressed_tokens(numerals: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def detokenize(rows: DataFrame, vocabulary: DataFrame, eot: int) -> DataFrame:
-    """Text of the token lists, special ids left out; unknown ids give nothing."""
+    """Text of the token lists, special ids left out; unknown ids give nothing.
+
+    The vocabulary is joined as it is: adaptive execution sends it along where it turns out small, and splits the
+    partitions of frequent words where not.
+    """
     flat = rows.select(*CHUNK, F.posexplode(strip_special(F.col("tokens"), eot)).alias("pos", "token_id"))
-    found = lookup(flat, vocabulary.select("token_id", "token"), ["token_id"], how="inner", spread=CHUNK + ["pos"])
+    found = flat.join(vocabulary.select("token_id", "token"), "token_id")
     texts = found.groupBy(*CHUNK).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "").alias("text"))
     return rows.select(*CHUNK).join(texts, CHUNK, "left").withColumn("text", F.coalesce("text", F.lit("")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -30,7 +31,8 @@ def hysteresis(
     A frame above onset or below offset fixes the state, others inherit it. Inside a block the state and its
     rises come from windows; one summary row per block (first and last fixed state, rises seen) tells every
     block the state it is entered with and the number of its first region. Only edge frames are grouped into
-    regions. A region still active ends at the last frame, and one without length is dropped.
+    regions. A region still active ends at the last frame. Padding comes first; what has no length then is dropped, and
+    the rest is numbered.
     """
     score = F.nanvl(F.col("score"), F.lit(None).cast("double"))
     base = in_blocks(frames.select(
@@ -70,10 +72,9 @@ def hysteresis(
     regions = edges.groupBy(*CLASS_KEYS, (F.col("_base") + F.col("_n") - 1).cast("bigint").alias("region_idx")).agg(
         F.min(F.when(rise, F.col("t_us"))).alias("start_us"),
         F.max(F.when(fall | tail, F.col("t_us"))).alias("end_us"))
-    # Only the last region of a key can lack length, so the numbering stays dense.
-    return regions.filter(F.col("end_us") > F.col("start_us")).select(
-        *CLASS_KEYS, "region_idx", (F.col("start_us") - params.pad_onset).alias("start_us"),
-        (F.col("end_us") + params.pad_offset).alias("end_us"))
+    padded = regions.select(*CLASS_KEYS, (F.col("start_us") - params.pad_onset).alias("start_us"),
+                            (F.col("end_us") + params.pad_offset).alias("end_us"))
+    return number_regions(padded.filter(F.col("end_us") > F.col("start_us")), block_us=block_us)
 
 
 def number_regions(regions: DataFrame, keys: list[str] = CLASS_KEYS, block_us: int = BLOCK_US) -> DataFrame:
@@ -133,36 +134,59 @@ def min_cut(
 
 
 def _cutter(onset: float, low: float, max_us: int):
-    unknown = float("nan")
+    """The fold of ``min_cut`` over frames in order, from event to event.
+
+    Rises, falls and the frame at which a region gets too long are looked up in sorted positions; what may be cut at is a range
+    of frames (with the last fall, or the first frame, in front of it). The state keeps those frames only.
+    """
 
     def cut(state, rows: dict[str, list], final: bool):
-        times = rows["t_us"]
-        scores = [unknown if y is None else y for y in rows["score"]]
-        starts, ends = [], []
-        skip = state is None
-        start, active, kept_t, kept_s = (times[0], scores[0] > onset, times[:1], scores[:1]) if skip else state
-        for t, y in zip(times[skip:], scores[skip:]):
+        if state is None:
+            held, start, active, idle = [[], []], None, None, 0
+        else:
+            held, start, active, idle = state
+        seen = len(held[0])
+        times = np.array(held[0] + rows["t_us"], np.int64)
+        scores = np.array(held[1] + rows["score"], np.float64)
+        depth = np.where(np.isnan(scores), np.inf, scores)
+        rises, falls = np.flatnonzero(scores > onset), np.flatnonzero(scores < low)
+        after = lambda places, at: int(places[k]) if (k := np.searchsorted(places, at)) < len(places) else len(times)
+        if active is None:
+            start, active, seen = int(times[0]), bool(scores[0] > onset), 1
+        # Frames [idle, idle + 1) and [first, at) may be cut at; idle is None once a cut has passed it.
+        first, at, starts, ends = (0 if idle is None else 1), seen, [], []
+        if active and idle == 0 and state is None:
+            first, idle = 0, None
+        while at < len(times):
             if not active:
-                if y > onset:
-                    start, active = t, True
+                at = after(rises, at)
+                if at < len(times):
+                    start, active, first, at = int(times[at]), True, at + 1, at + 1
                 continue
-            if t - start > max_us:
-                half = len(kept_s) // 2
-                at = min(range(half, len(kept_s)), key=kept_s.__getitem__)
-                starts.append(start)
-                ends.append(kept_t[at])
-                start = kept_t[at]
-                kept_t, kept_s = kept_t[at + 1:], kept_s[at + 1:]
-            elif y < low:
-                starts.append(start)
-                ends.append(t)
-                start, active, kept_t, kept_s = t, False, [], []
-            kept_t.append(t)
-            kept_s.append(y)
+            long = max(at, int(np.searchsorted(times, start + max_us, "right")))
+            stop = min(long, after(falls, at))
+            if stop == len(times):
+                break
+            starts.append(start)
+            if stop == long:
+                ahead = [] if idle is None else [idle]
+                pool = np.concatenate([np.array(ahead, np.int64), np.arange(first, stop)])
+                half = len(pool) // 2
+                lowest = int(pool[half + int(np.argmin(depth[pool[half:]]))])
+                first = first if lowest == idle else lowest + 1
+                idle, start = None, int(times[lowest])
+            else:
+                start, active, idle = int(times[stop]), False, stop
+            ends.append(start)
+            at = stop + 1
         if final and active:
             starts.append(start)
-            ends.append(times[-1])
-        return {"start_us": starts, "end_us": ends}, [start, active, kept_t, kept_s]
+            ends.append(int(times[-1]))
+        kept = np.arange(first, len(times)) if active else np.zeros(0, np.int64)
+        if idle is not None:
+            kept = np.append(idle, kept)
+        frames = [times[kept].tolist(), scores[kept].tolist()]
+        return {"start_us": starts, "end_us": ends}, [frames, start, active, None if idle is None else 0]
 
     return cut
 

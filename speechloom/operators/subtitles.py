@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -14,6 +18,7 @@ from speechloom.operators.cues import SEGMENT
 from speechloom.params import SplitLimits
 from speechloom.plans.lookups import literal_map
 
+Lists = Mapping[str, Sequence[str]]
 MS_PER_LETTER = 250
 CLOSE_GAP_MS = 800
 
@@ -29,10 +34,10 @@ def comma(lang: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(COMMAS), lang), F.lit(DEFAULT_COMMA))
 
 
-def is_conjunction(word: Column, lang: Column) -> Column:
+def is_conjunction(word: Column, lang: Column, lists: Lists = CONJUNCTIONS) -> Column:
     """Membership in the language's list; a language without a list has none."""
     out = F.lit(False)
-    for code, words in CONJUNCTIONS.items():
+    for code, words in lists.items():
         out = F.when(lang == code, F.lower(word).isin(*words)).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
@@ -86,50 +91,63 @@ def estimate_word_times(words: DataFrame) -> DataFrame:
         for c in words.columns])
 
 
+def cut_positions(
+    sizes: Sequence[int], gap: int, in_totals: bool, commas: Sequence[bool], conjunctions: Sequence[bool],
+    longest: int, shortest: int,
+) -> list[int]:
+    """Index of the last word of every part but the final one.
+
+    All widths are prefix sums, so the next cut is found by bisection instead of by walking the words: the
+    earliest sign (a comma behind a word, a conjunction in front of one) that leaves at least ``shortest`` on both sides
+    and comes before the line is full, else the word with which the line is full and long enough.
+    """
+    wide = [0, *accumulate(n + gap for n in sizes)]
+    whole = wide if in_totals else [0, *accumulate(sizes)]
+    signs = [i for i, (c, j) in enumerate(zip(commas, conjunctions)) if c or j]
+    last_sign = bisect_right(wide, whole[-1] - shortest) - 2
+    found, begin, part, zero = [], 0, 0, 0
+    while True:
+        full = max(begin, bisect_left(wide, zero + longest) - 1)
+        ready = max(begin, bisect_left(wide, zero + shortest))
+        at = bisect_left(signs, ready)
+        if at < len(signs) and signs[at] < full and signs[at] <= last_sign:
+            sign = signs[at]
+            part = sign + 1 if commas[sign] else sign
+            found.append(part - 1)
+            zero, begin = wide[part], sign + 1
+            continue
+        over = max(full, ready)
+        if over >= len(sizes):
+            return found
+        middle = (part + over + 1) // 2
+        found.append(middle)
+        part, begin = middle + 1, over + 1
+        zero = wide[begin] - (whole[begin] - whole[part] if part < begin else 0)
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def split_points(
     sizes: pd.Series, separator: pd.Series, in_totals: pd.Series, commas: pd.Series, conjunctions: pd.Series,
     longest: pd.Series, shortest: pd.Series,
 ) -> pd.Series:
-    """Index of the last word of every part but the final one.
+    """``cut_positions`` of every row.
 
-    Each cut moves the point the next line is measured from, so the words of a segment are walked in order.
     ``separator`` is the width of the sign between words; ``in_totals`` tells whether sums over words count it.
     """
-    def cuts(size, gap, counted, comma_end, conjunction, limit, least):
-        extra = gap if counted else 0
-        reach = [0]
-        for n in size:
-            reach.append(reach[-1] + int(n) + extra)
-        points, base, line, left = [], 0, 0, reach[-1]
-        for i, n in enumerate(size):
-            step = int(n) + gap
-            head, line, left = line, line + step, left - step
-            if line >= limit:
-                if head >= least:
-                    middle = (base + i + 1) // 2
-                    points.append(middle)
-                    base = middle + 1
-                    line = reach[i + 1] - reach[base] if base <= i else 0
-            elif head >= least and left >= least and comma_end[i]:
-                points.append(i)
-                base, line = i + 1, 0
-            elif head >= least and left >= least and conjunction[i]:
-                points.append(i - 1)
-                base, line = i, step
-        return points
-
-    return pd.Series([cuts(*row) for row in zip(sizes, separator, in_totals, commas, conjunctions, longest, shortest)])
-
-
-def with_split_points(nested: DataFrame, timed: bool, limits: SplitLimits = SplitLimits()) -> DataFrame:
+    return pd.Series([cut_positions([int(n) for n in row[0]], int(row[1]), bool(row[2]), *row[3:])
+                      for row in zip(sizes, separator, in_totals, commas, conjunctions, longest, shortest)])
+
+
+def with_split_points(
+    nested: DataFrame, timed: bool, limits: SplitLimits = SplitLimits(), lists: Lists = CONJUNCTIONS,
+) -> DataFrame:
     """Add ``splits`` to segments with ``words array<struct<word,...>>`` and ``lang``."""
     lang = F.col("lang")
     longest, shortest = script_limits(lang, limits)
     word = lambda f: F.transform("words", lambda w: f(w["word"]))
     return nested.withColumn("splits", split_points(
         word(F.length), F.when(spaceless(lang), 0).otherwise(1), F.lit(not timed),
-        word(lambda w: w.endswith(comma(lang))), word(lambda w: is_conjunction(w, lang)), longest, shortest))
+        word(lambda w: w.endswith(comma(lang))), word(lambda w: is_conjunction(w, lang, lists)), longest, shortest))
 
 
 def _fragments(split: DataFrame) -> DataFrame:
@@ -156,12 +174,12 @@ def _stretched(end: Column, following: Column) -> Column:
     return F.when(following - end <= CLOSE_GAP_MS, following).otherwise(end)
 
 
-def split_timed(nested: DataFrame, limits: SplitLimits = SplitLimits()) -> DataFrame:
+def split_timed(nested: DataFrame, limits: SplitLimits = SplitLimits(), lists: Lists = CONJUNCTIONS) -> DataFrame:
     """Fragments of segments whose words have times (see ``estimate_word_times``).
 
     ``nested`` also carries ``next_start_ms``. Returns ``frag, start_ms, end_ms, text``.
     """
-    parts = _fragments(with_split_points(nested, True, limits))
+    parts = _fragments(with_split_points(nested, True, limits, lists))
     end = F.element_at("words", -1)["end_ms"]
     follows = F.coalesce(F.col("_behind.start_ms"), F.when(F.col("_behind").isNull(), F.col("next_start_ms")))
     return parts.select(
@@ -170,12 +188,12 @@ def split_timed(nested: DataFrame, limits: SplitLimits = SplitLimits()) -> DataF
         _joined(F.col("words"), F.col("lang")).alias("text"))
 
 
-def split_plain(segments: DataFrame, limits: SplitLimits = SplitLimits()) -> DataFrame:
+def split_plain(segments: DataFrame, limits: SplitLimits = SplitLimits(), lists: Lists = CONJUNCTIONS) -> DataFrame:
     """Fragments of segments without words: the text is cut at whitespace, time shared out by word count."""
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
     nested = segments.withColumn("words", F.transform(words, lambda w: F.struct(w.alias("word")))).filter(
         F.size("words") > 0)
-    parts = _fragments(with_split_points(nested, False, limits))
+    parts = _fragments(with_split_points(nested, False, limits, lists))
     length = F.col("end_ms") - F.col("start_ms")
     at = lambda n: (F.col("start_ms") + F.rint(length * n / F.col("n_words"))).cast("bigint")
     end = at(F.col("last") + 1)

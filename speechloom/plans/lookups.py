@@ -1,41 +1,10 @@
-"""Dimension lookups that broadcast only what has been measured."""
+"""Constant tables as columns."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 << 20
-
-
-def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A literal table built from fixed values: its size is known when the code is written."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+from pyspark.sql import Column, functions as F
 
 
 def literal_map(table: dict[str, str]) -> Column:
     """A constant map column; lookups into it need no join at all."""
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
-def lookup(
-    facts: DataFrame, dim: DataFrame, keys: Sequence[str], *, how: str = "left",
-    max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, salts: int = 32, spread: Sequence[str] = (),
-) -> DataFrame:
-    """Join a dimension on ``keys``; a frequent key never lands in one task.
-
-    A dimension of at most ``max_rows`` rows and ``max_bytes`` as text is broadcast; both are measured, and the
-    measuring stops behind the row bound. A larger one is joined by shuffle: every dimension row is written ``salts`` times and the facts spread over the copies by
-    a hash of the ``spread`` columns.
-    """
-    keys = list(keys)
-    text = F.octet_length(F.to_json(F.struct(*dim.columns)))
-    size = dim.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(text).alias("bytes")).first()
-    if size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes:
-        return facts.join(F.broadcast(dim), keys, how)
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = list(spread) or [c for c in facts.columns if c not in keys]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    return salted.join(salted_dim, [*keys, "_salt"], how).drop("_salt")

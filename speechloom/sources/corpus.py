@@ -19,10 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, spread over the cores where the scan has fewer splits than there are; a large scan stays as it is."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return table(spark, sf_dir, "documents")
 
 
 def micros(ts: Column) -> Column:
@@ -114,6 +111,11 @@ def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ids of words lie below; from here on ids are special tokens.
+EOT = 1 << 60
+SPECIAL = {EOT: "<|end|>", EOT + 1: "<|start|>", EOT + 2: "<|0.00|>"}
+
+
 def token_id(word: Column) -> Column:
     """A 60-bit id from the word itself: numbering a vocabulary would need one global order."""
     return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint")
@@ -127,18 +129,22 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``token_id, token``: every distinct word, with the blank in front that sub-word tokenizers keep."""
+    """``token_id, token``: every distinct word, with the blank in front that sub-word tokenizers keep, and the special tokens."""
     distinct = document_words(spark, sf_dir).select("word").distinct()
-    return distinct.select(
+    words_ = distinct.select(
         token_id(F.col("word")).alias("token_id"), F.concat(F.lit(" "), F.col("word")).alias("token"),
     )
+    # Ids are hashes of words; should two words share one, the smaller stands for it, so that joins never multiply rows.
+    special = spark.createDataFrame(list(SPECIAL.items()), "token_id bigint, token string")
+    return words_.groupBy("token_id").agg(F.min("token").alias("token")).union(special)
 
 
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``recording_id, chunk_idx, tokens, score, no_speech_prob``."""
+    """``recording_id, chunk_idx, tokens, score, no_speech_prob``; special tokens open and close every list."""
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("recording_id"), F.lit(0).cast("bigint").alias("chunk_idx"),
-        F.transform(F.split("text", " ", -1), token_id).alias("tokens"),
+        F.concat(F.array(F.lit(EOT + 1), F.lit(EOT + 2)), F.transform(F.split("text", " ", -1), token_id),
+                 F.array(F.lit(EOT))).alias("tokens"),
         (-(F.col("n_chars") % 300) / 100.0).alias("score"),
         ((F.col("n_chars") % 100) / 100.0).alias("no_speech_prob"),
     )

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from speechloom.functions.text import characters
 from speechloom.operators import alignment as al, words as wd
+from speechloom.plans.blocks import Scan, blocked_scan, index_block
 from speechloom.sources import corpus
 from speechloom.workload.registry import TABLES, query
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 DICTIONARY = {"<pad>": 0, **{c: i for i, c in enumerate(LETTERS, 1)}, "|": 27}
 N_CLASSES = len(DICTIONARY)
-AUDIO_MS = 150_000
+#: The shorter audio of the ``alignability`` query, where turns behind the end are the feature.
+SHORT_AUDIO_MS = 150_000
 
 
 def peaks(batches):
@@ -35,9 +37,11 @@ def peaks(batches):
 
 
 def segments(spark, sf_dir):
-    return corpus.utterances(spark, sf_dir).select(
-        "recording_id", "segment_idx", F.lit("en").alias("lang"), "text", "start_ms", "end_ms",
-        F.lit(AUDIO_MS).cast("bigint").alias("audio_ms"))
+    """Turns with the length of their recording, which ends with its last turn."""
+    turns = corpus.utterances(spark, sf_dir).select(
+        "recording_id", "segment_idx", F.lit("en").alias("lang"), "text", "start_ms", "end_ms")
+    return blocked_scan(turns, ["recording_id"], index_block("segment_idx"), ["segment_idx"],
+                        [Scan("audio_ms", "total", F.col("end_ms") - F.col("start_ms"))])
 
 
 def frames(spark, sf_dir):
@@ -190,21 +194,23 @@ def frame_to_time(spark, sf_dir):
         "recording_id", "segment_idx", "token_idx", at("f_start").alias("start_ms"), at("f_end").alias("end_ms"))
 
 
-ALIGNABLE = f"""
+def alignable(audio: str) -> str:
+    return f"""
     SELECT u.recording_id, u.segment_idx, CASE WHEN coalesce(n, 0) = 0 THEN 'no_characters'
-      WHEN u.start_ms >= {AUDIO_MS} THEN 'beyond_audio' END AS fail_reason
+      WHEN u.start_ms >= {audio} THEN 'beyond_audio' END AS fail_reason
     FROM utterances u LEFT JOIN (SELECT recording_id, segment_idx, count(*) AS n FROM tokens GROUP BY ALL)
       USING (recording_id, segment_idx)"""
 
 
-@query("alignability", ALIGNABLE, using=("utterances", "tokens"))
+@query("alignability", alignable(str(SHORT_AUDIO_MS)), using=("utterances", "tokens"))
 def alignability(spark, sf_dir):
-    return al.fail_reason(al.with_tokens(segments(spark, sf_dir), DICTIONARY)).select(
+    short = segments(spark, sf_dir).withColumn("audio_ms", F.least("audio_ms", F.lit(SHORT_AUDIO_MS).cast("bigint")))
+    return al.fail_reason(al.with_tokens(short, DICTIONARY)).select(
         "recording_id", "segment_idx", "fail_reason")
 
 
 @query("union_fallbacks", f"""
-    WITH a AS ({ALIGNABLE}),
+    WITH a AS ({alignable("(SELECT max(e.end_ms) FROM utterances e WHERE e.recording_id = u.recording_id)")}),
     done AS (
       SELECT recording_id, segment_idx, min(sentence_idx)::BIGINT AS part, start_ms, end_ms,
         string_agg(text, ' ' ORDER BY sentence_idx) AS text FROM filled_sentences

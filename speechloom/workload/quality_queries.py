@@ -12,7 +12,7 @@ from speechloom.operators import language as lg, progress as pg, quality as ql
 from speechloom.sources import corpus
 from speechloom.workload.registry import TABLES, query
 
-EOT = 1 << 59
+EOT = corpus.EOT
 
 
 def values_sql(table: dict[str, str]) -> str:
@@ -25,7 +25,9 @@ TABLES.update({
           unnest(range(len(string_split(text, ' ')))) AS pos, n_chars FROM documents"""),
     "document_tokens": (("document_words",), """
         SELECT *, CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) AS token_id FROM document_words"""),
-    "vocabulary": (("document_tokens",), "SELECT DISTINCT token_id, ' ' || word AS token FROM document_tokens"),
+    "vocabulary": (("document_tokens",), f"""
+        SELECT token_id, min(' ' || word) AS token FROM document_tokens GROUP BY token_id
+        UNION ALL SELECT * FROM (VALUES {", ".join(f"({k}, '{v}')" for k, v in corpus.SPECIAL.items())}) s(token_id, token)"""),
     "lang_scores": ((), """
         SELECT doc_id AS recording_id, '<|' || l || '|>' AS lang_token,
           CASE WHEN l = lang THEN 0.7 ELSE (1 + (doc_id + length(l) + k) % 5) / 20.0 END::DOUBLE AS prob
@@ -51,8 +53,8 @@ TABLES.update({
 
 
 @query("avg_logprob", """
-    SELECT doc_id AS recording_id, CAST(round_even(-(n_chars % 300) / 100.0 * pow(len(string_split(text, ' ')), 1.0)
-      / (len(string_split(text, ' ')) + 1) * 1000000, 0) AS BIGINT) AS micro FROM documents""")
+    SELECT doc_id AS recording_id, CAST(round_even(-(n_chars % 300) / 100.0 * pow(len(string_split(text, ' ')) + 3, 1.0)
+      / (len(string_split(text, ' ')) + 4) * 1000000, 0) AS BIGINT) AS micro FROM documents""")
 def avg_logprob(spark, sf_dir):
     rows = corpus.token_rows(spark, sf_dir)
     value = ql.avg_logprob(F.col("score"), F.col("tokens"))
@@ -178,7 +180,7 @@ def model_routing(spark, sf_dir):
     SELECT doc_id, CASE code WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' ELSE 'english' END AS splitter,
       CASE code WHEN 'ja' THEN '、' ELSE ',' END AS comma,
       CASE code WHEN 'en' THEN {len(CONJUNCTIONS['en'])} WHEN 'fr' THEN {len(CONJUNCTIONS['fr'])}
-        WHEN 'de' THEN {len(CONJUNCTIONS['de'])} ELSE 0 END AS n_conjunctions
+        WHEN 'de' THEN {len(CONJUNCTIONS['de'])} WHEN 'ja' THEN {len(CONJUNCTIONS['ja'])} ELSE 0 END AS n_conjunctions
     FROM (SELECT doc_id, CASE lang WHEN 'es' THEN 'ja' ELSE lang END AS code FROM documents)""")
 def lang_dims(spark, sf_dir):
     docs = corpus.table(spark, sf_dir, "documents").select(

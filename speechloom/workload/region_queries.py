@@ -30,7 +30,7 @@ def min_duration(spark, sf_dir):
 
 
 @query("fill_gaps", f"""
-    WITH padded AS (SELECT recording_id, class, start_us - 3000000000 AS s, end_us + 2000000000 AS e FROM regions),
+    WITH padded AS (SELECT recording_id, class, start_us - 3000000000 AS s, end_us + 2000000000 AS e FROM raw_regions),
     reach AS (SELECT *, max(e) OVER (PARTITION BY recording_id, class ORDER BY s, e
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM padded),
     islands AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + {COLLAR_US} THEN 1 ELSE 0 END) OVER (
@@ -38,7 +38,7 @@ def min_duration(spark, sf_dir):
     merged AS (SELECT recording_id, class, min(s) AS start_us, max(e) AS end_us FROM islands
         GROUP BY recording_id, class, i)
     SELECT recording_id, class, CAST(row_number() OVER (PARTITION BY recording_id, class ORDER BY start_us) - 1
-      AS BIGINT) AS region_idx, start_us, end_us FROM merged""", using=("regions",))
+      AS BIGINT) AS region_idx, start_us, end_us FROM merged""", using=("raw_regions",))
 def fill_gaps(spark, sf_dir):
     padded = Hysteresis(60.0, 30.0, pad_onset=3_000_000_000, pad_offset=2_000_000_000)
     return rg.fill_gaps(rg.hysteresis(corpus.score_frames(spark, sf_dir), padded), COLLAR_US)
@@ -93,22 +93,21 @@ def min_cut(spark, sf_dir):
 PACK_SQL = f"""
     WITH RECURSIVE st AS (
       SELECT recording_id, rn, start_us AS cs, end_us AS ce, start_us, end_us, CAST(0 AS BIGINT) AS chunk_idx
-      FROM front_regions WHERE rn = 1
+      FROM all_regions WHERE rn = 1
       UNION ALL
       SELECT r.recording_id, r.rn,
         CASE WHEN r.end_us - st.cs > {CHUNK_US} AND st.ce - st.cs > 0 THEN r.start_us ELSE st.cs END, r.end_us,
         r.start_us, r.end_us,
         st.chunk_idx + CASE WHEN r.end_us - st.cs > {CHUNK_US} AND st.ce - st.cs > 0 THEN 1 ELSE 0 END
-      FROM st JOIN front_regions r ON r.recording_id = st.recording_id AND r.rn = st.rn + 1)
-    SELECT recording_id, chunk_idx, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_segments,
-      string_agg(start_us || '-' || end_us, ',' ORDER BY start_us) AS members
+      FROM st JOIN all_regions r ON r.recording_id = st.recording_id AND r.rn = st.rn + 1)
+    SELECT recording_id, chunk_idx, min(start_us) AS start_us, arg_max(end_us, rn) AS end_us, count(*) AS n_segments,
+      string_agg(start_us || '-' || end_us, ',' ORDER BY rn) AS members
     FROM st GROUP BY recording_id, chunk_idx"""
 
 
-@query("pack_chunks", PACK_SQL, using=("front_regions",))
+@query("pack_chunks", PACK_SQL, using=("all_regions",))
 def pack_chunks(spark, sf_dir):
-    front = _regions(spark, sf_dir).filter(F.col("class") == "front")
-    return flat_chunks(rg.pack_chunks(front, CHUNK_US))
+    return flat_chunks(rg.pack_chunks(rg.timeline(_regions(spark, sf_dir)), CHUNK_US))
 
 
 def flat_chunks(chunks):

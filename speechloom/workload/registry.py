@@ -85,7 +85,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id AS recording_id,
           CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS sample_idx, value
         FROM events"""),
-    "regions": (("score_frames",), """
+    "raw_regions": (("score_frames",), """
         WITH fixed AS (
           SELECT *, CASE WHEN score > 60 THEN 1 WHEN score < 30 THEN 0 END AS fix FROM score_frames),
         held AS (
@@ -103,12 +103,14 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           SELECT recording_id, class, min(t_us) FILTER (st = 1) AS start_us,
             max(t_us) FILTER ((st = 0 AND was = 1) OR (st = 1 AND final)) AS end_us
           FROM numbered WHERE r > 0 GROUP BY recording_id, class, r)
+        SELECT recording_id, class, start_us, end_us FROM spans"""),
+    "regions": (("raw_regions",), """
         SELECT recording_id, class, CAST(row_number() OVER (PARTITION BY recording_id, class
-            ORDER BY start_us) - 1 AS BIGINT) AS region_idx, start_us, end_us
-        FROM spans WHERE end_us > start_us"""),
-    "front_regions": (("regions",), """
-        SELECT recording_id, start_us, end_us, row_number() OVER (PARTITION BY recording_id ORDER BY start_us) AS rn
-        FROM regions WHERE class = 'front'"""),
+            ORDER BY start_us, end_us) - 1 AS BIGINT) AS region_idx, start_us, end_us
+        FROM raw_regions WHERE end_us > start_us"""),
+    "all_regions": (("regions",), """
+        SELECT recording_id, start_us, end_us, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, end_us) AS rn
+        FROM (SELECT DISTINCT recording_id, start_us, end_us FROM regions)"""),
     "turn_pairs": (("utterances", "speaker_turns"), """
         SELECT u.recording_id, u.segment_idx, t.turn_idx, t.speaker, t.start_ms AS turn_start_ms,
           least(u.end_ms, t.end_ms) - greatest(u.start_ms, t.start_ms) AS overlap_ms

@@ -9,7 +9,6 @@ from pyspark.sql import Window, functions as F
 from speechloom.operators import cues as cu, regions as rg
 from speechloom.params import CueLimits, Hysteresis
 from speechloom.plans.blocks import Scan, blocked_scan
-from speechloom.plans.lookups import lookup
 
 
 def rows_of(df):
@@ -85,9 +84,3 @@ def test_limited_cues_over_block_borders(spark):
         for row in cu.cues_limited(nested, limits).collect():
             assert row["text"] == "[s]: " + " ".join(w["word"] for w in row["words"])
             assert all(len(line.replace(" ", "")) <= limits.width for line in row["text"][5:].split("\n"))
-
-
-def test_salted_lookup_equals_broadcast(spark):
-    facts = spark.range(500).select((F.col("id") % 3).alias("token_id"), F.col("id").alias("n"))
-    dim = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "token_id bigint, token string")
-    assert rows_of(lookup(facts, dim, ["token_id"], max_rows=1)) == rows_of(lookup(facts, dim, ["token_id"]))

@@ -28,7 +28,7 @@ def test_hysteresis_reads_frames_once(spark):
     df = entry.queries()["hysteresis"](spark, SF_DIR)
     df.collect()
     final = plan_of(df).split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") == 1
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") >= 1
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in (
         df._jdf.queryExecution().explainString(
             df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))

@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, in_rows, ragged, sliced
+from speechloom.llm.batches import RangeHash, flat, in_rows, mixed, ragged, sliced
 from speechloom.llm.suffix_arrays import permuted_lcp, suffix_array
 from speechloom.plans.blocks import checkpointed
 
 LENGTH = 50
 GRAM = 16
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+SLICE = 1 << 20
 SEEN = 1 << 20
 SEGMENT_FLUSH = 8 << 20
 SHARD_BYTES = 3 << 18
@@ -55,7 +56,8 @@ def segments_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     own = anchor[window]
     first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1])))
     last = np.append(first[1:], len(own)) - 1
-    return window[first], window[last], hashes[own[first]] >> np.uint64(16), text[first]
+    # Anchors have small hashes by their choice; another mixing makes their names even, so that they can deal the work.
+    return window[first], window[last], mixed(hashes[own[first]] ^ np.uint64(1)) >> np.uint64(16), text[first]
 
 
 def text_names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def described(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, name, sha256`` of every text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", SLICE):
             data, offsets = flat(batch.column("_text"))
             raw, cut = memoryview(data.tobytes()), offsets.tolist()
             digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -120,7 +122,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 blocks.append(six[a:b].tobytes() + name[a:b].astype("<i8").tobytes())
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", SLICE):
             data, offsets = flat(batch.column("_text"))
             names = text_names(data, offsets)
             fresh = np.array([not (x in seen or seen.add(x)) for x in names.tolist()], bool)
@@ -174,7 +176,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", SLICE):
             data, offsets = flat(batch.column("_text"))
             raw, cut = data.tobytes(), offsets.tolist()
             cells = [pack(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -228,7 +230,7 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
         for batch in in_rows(batches):
             raw = pa.array([expand(x) for x in batch.column("packed").to_pylist()], pa.binary())
             whole = pa.record_batch({"t": raw, "doc": batch.column("doc_id"), "name": batch.column("name"), "grams": batch.column("grams")})
-            for part in sliced([whole], "t", 1 << 20):
+            for part in sliced([whole], "t", SLICE):
                 data, offsets = flat(part.column("t"))
                 first, last, gram, text = segments_of(data, offsets)
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()

@@ -85,9 +85,9 @@ def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Parity sketches, with at least as many bits as elements: sets differ in at least as many elements as their sketches
+    """Parity sketches, with at least twice as many bits as elements: sets differ in at least as many elements as their sketches
     differ in bits. Bits go by the leading bits of a hash, so a sketch folds to half its size."""
-    power = np.maximum(MIN_BITS, np.ceil(np.log2(np.maximum(sizes, 1)))).astype(np.int64)
+    power = np.maximum(MIN_BITS, np.ceil(np.log2(np.maximum(2 * sizes, 1)))).astype(np.int64)
     ends = np.cumsum(1 << power)
     rows, _ = ragged(sizes)
     at = (ends - (1 << power))[rows] + (mixed(hashes ^ _ODD[3]) >> (64 - power)[rows].astype(np.uint64)).astype(np.int64)
@@ -343,37 +343,45 @@ def across(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of sets that share a signature with at least a third, lie in different components and may link."""
     placed = members.where("more").select("sig", "name").join(parts, "name", "left").select(
         "sig", "name", F.coalesce("component", "name").alias("part"))
-    many = placed.groupBy("sig").agg(F.count("*").alias("_n"), F.min("part").alias("_low"), F.max("part").alias("_high")).where(
-        "_n > 2 and _low < _high").select("sig", F.ceil(F.col("_n") / TILE).cast("int").alias("_tiles"))
+    many = placed.groupBy("sig").agg(
+        F.count("*").alias("_n"), F.min("name").alias("_centre"), F.min("part").alias("_low"), F.max("part").alias("_high")).where(
+        "_n > 2 and _low < _high").select("sig", "_centre")
+    mixed_ = checkpointed(placed.join(many, "sig"))
+    # Signatures of one family of sets share most of their pairs. They are dealt by family, so that a pair is reported once.
+    first = mixed_.groupBy("name").agg(F.min("_centre").alias("_first"))
+    family = mixed_.select("sig", "name").join(first, "name").groupBy("sig").agg(F.min("_first").alias("family"))
+    dealt = checkpointed(mixed_.select("sig", "name", "part").join(family, "sig"))
+    tiles = dealt.groupBy("family").agg(F.ceil(F.approx_count_distinct("name") / TILE).cast("int").alias("_tiles"))
     own = F.pmod(F.xxhash64("name"), F.col("_tiles").cast("bigint")).cast("int")
-    tiled = checkpointed(placed.join(many, "sig")).join(sets, "name").withColumn("own", own).select(
-        "sig", "name", "part", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("other"))
-    tiled = tiled.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    tiled = dealt.join(tiles, "family").join(sets, "name").withColumn("own", own).select(
+        "sig", "name", "part", "family", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("other"))
+    tiled = tiled.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for rows in key_runs(batches, ["sig", "low", "high"]):
+        tile, seen = None, set()
+        for rows in key_runs(batches, ["family", "low", "high", "sig"]):
+            place = tuple(rows.column(c)[0].as_py() for c in ("family", "low", "high"))
+            if place != tile:
+                tile, seen = place, set()
             name, part, own = (rows.column(c).to_numpy() for c in ("name", "part", "own"))
             if rows.num_rows < 2 or (part == part[0]).all():
                 continue
-            if rows.column("low")[0].as_py() == rows.column("high")[0].as_py():
+            if place[1] == place[2]:
                 i, j = np.triu_indices(len(name), 1)
             else:
-                first = own == own[0]
-                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
+                low = own == place[1]
+                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low)))
             on = part[i] != part[j]
             i, j = i[on], j[on]
             on = may_link(i, j, rows.column("n_shingles").to_numpy(), rows.column("sketch").to_pylist())
             low, high = np.minimum(name[i[on]], name[j[on]]), np.maximum(name[i[on]], name[j[on]])
             found = set(zip(low.tolist(), high.tolist(), strict=True)) - seen
-            if len(seen) > SEEN:
-                seen.clear()
             seen |= found
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = tiled.drop("other").repartition(width, "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    met = tiled.repartition(width, "family", "low", "high").sortWithinPartitions("family", "low", "high", "sig")
     return met.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 

@@ -18,7 +18,10 @@ SEGMENTS_PER_BLOCK = 4096
 
 
 def nest_words(segments: DataFrame, words: DataFrame) -> DataFrame:
-    """Attach the words of a flat table to their segments, in order; segments without words get an empty list."""
+    """Attach the words of a flat table to their segments, in order; segments without words get an empty list.
+
+    A transcript that was never aligned has null instead of lists; see ``transcript_cues``.
+    """
     lists = words.groupBy(*SEGMENT).agg(
         F.sort_array(F.collect_list(F.struct("pos", "word", "start_ms", "end_ms"))).alias("_w"))
     nested = F.transform(F.coalesce("_w", F.array().cast("array<struct<pos:int,word:string,start_ms:bigint,end_ms:bigint>>")),
@@ -45,42 +48,43 @@ def cue_times(words: Column, seg_start: Column, seg_end: Column) -> tuple[Column
     return F.when(both, start).otherwise(seg_start), F.when(both, end).otherwise(seg_end)
 
 
-def _lines(words: Column, width: int) -> Column:
-    """Words laid out in lines of at most ``width`` characters, blanks between words not counted.
+def _laid(words: Column, width: int) -> Column:
+    """The words as they are shown in lines of at most ``width`` characters, blanks between words not counted.
 
-    The running line is bounded by ``width``, so the fold copies little.
+    A word that opens a line is stripped, and all but the first carry the line break in front.
     """
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("line"),
-                     F.array().cast("array<string>").alias("done"))
+    shown = lambda w, text: F.struct(text.alias("word"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"))
+    kind = "array<struct<word:string,start_ms:bigint,end_ms:bigint>>"
+    start = F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("done"))
 
     def add(acc: Column, w: Column) -> Column:
-        word = w["word"]
-        fresh = strip(word)
+        word, fresh = w["word"], strip(w["word"])
         fits = (acc["n"] > 0) & (acc["n"] + F.length(word) <= width)
-        return F.when(fits, F.struct(
-            (acc["n"] + F.length(word)).alias("n"), F.concat(acc["line"], F.lit(" "), word).alias("line"),
-            acc["done"].alias("done"))).otherwise(F.struct(
-                F.length(fresh).alias("n"),
-                F.when(acc["line"].isNull() | (acc["n"] > 0), fresh)
-                .otherwise(F.concat(acc["line"], F.lit(" "), fresh)).alias("line"),
-                F.when(acc["n"] > 0, F.array_append(acc["done"], acc["line"])).otherwise(acc["done"]).alias("done")))
+        opened = F.when(acc["n"] > 0, F.concat(F.lit("\n"), fresh)).otherwise(fresh)
+        return F.struct(F.when(fits, acc["n"] + F.length(word)).otherwise(F.length(fresh)).alias("n"),
+                        F.array_append(acc["done"], shown(w, F.when(fits, word).otherwise(opened))).alias("done"))
+
+    return F.aggregate(words, start, add, lambda acc: acc["done"])
 
-    return F.aggregate(words, start, add, lambda acc: F.array_append(acc["done"], acc["line"]))
+
+def _body(words: Column, lang: Column) -> Column:
+    texts = F.transform(words, lambda w: w["word"])
+    return F.when(joiner(lang) == "", F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
 
 
 def cues_by_segment(nested: DataFrame, limits: CueLimits = CueLimits()) -> DataFrame:
-    """One cue per segment that has words: ``recording_id, segment_idx, start_ms, end_ms, text``, a row operation."""
+    """One cue per segment that has words, a row operation.
+
+    ``recording_id, segment_idx, start_ms, end_ms, text``, and ``words`` (as shown), ``speaker, lang`` for highlighting.
+    """
     if limits.max_line_count is not None:
         raise ValueError("a line count may break segments apart: use cues_limited")
     start, end = cue_times(F.col("words"), F.col("start_ms"), F.col("end_ms"))
-    glue = joiner(F.col("lang"))
-    lines = _lines(F.col("words"), limits.width)
-    spaced = F.array_join(lines, " \n")
-    tight = F.replace(F.array_join(lines, "\n"), F.lit(" "), F.lit(""))
-    body = F.when(glue == "", tight).otherwise(spaced)
-    return nested.filter(F.size("words") > 0).select(
+    laid = nested.filter(F.size("words") > 0).withColumn("_laid", _laid(F.col("words"), limits.width))
+    return laid.select(
         *SEGMENT, start.alias("start_ms"), end.alias("end_ms"),
-        F.concat(speaker_prefix(F.col("speaker")), body).alias("text"))
+        F.concat(speaker_prefix(F.col("speaker")), _body(F.col("_laid"), F.col("lang"))).alias("text"),
+        F.col("_laid").alias("words"), "speaker", "lang")
 
 
 BREAKS = StructType([StructField("new_line", IntegerType()), StructField("new_cue", IntegerType())])
@@ -115,19 +119,35 @@ def cues_limited(nested: DataFrame, limits: CueLimits, segments_per_block: int =
         F.sort_array(F.collect_list(entry)).alias("words"),
         F.min_by(F.struct("speaker", "lang", "seg_start", "seg_end"), first).alias("_f"))
     start, end = cue_times(F.col("words"), F.col("_f.seg_start"), F.col("_f.seg_end"))
-    texts = F.transform("words", lambda w: w["word"])
-    body = F.when(joiner(F.col("_f.lang")) == "", F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
+    body = _body(F.col("words"), F.col("_f.lang"))
     return cues.select("recording_id", "cue_idx", start.alias("start_ms"), end.alias("end_ms"),
-                       F.concat(speaker_prefix(F.col("_f.speaker")), body).alias("text"), "words")
+                       F.concat(speaker_prefix(F.col("_f.speaker")), body).alias("text"), "words",
+                       F.col("_f.speaker").alias("speaker"), F.col("_f.lang").alias("lang"))
 
 
 def cues(nested: DataFrame, limits: CueLimits = CueLimits()) -> DataFrame:
     """Cues with ``cue_idx`` increasing in time, under any limits."""
     if limits.max_line_count is not None:
-        return cues_limited(nested, limits).drop("words")
+        return cues_limited(nested, limits)
     return cues_by_segment(nested, limits).withColumnRenamed("segment_idx", "cue_idx")
 
 
+def transcript_cues(nested: DataFrame, limits: CueLimits = CueLimits(), highlight: bool = False) -> DataFrame:
+    """``recording_id, cue_idx, step, start_ms, end_ms, text`` of whole transcripts.
+
+    The first segment of a recording decides: with a word list (an empty one included) cues are made of words, without one
+    (null ``words``) every segment is a cue of its own text. ``highlight`` underlines each word while it is spoken.
+    """
+    decided = nested.groupBy("recording_id").agg(
+        F.min_by(F.col("words").isNotNull(), "segment_idx").alias("_worded"))
+    placed = nested.join(decided, "recording_id")
+    made = cues(placed.filter("_worded").drop("_worded"), limits)
+    kept = ["recording_id", "cue_idx", "step", "start_ms", "end_ms", "text"]
+    made = highlight_cues(made) if highlight else made.withColumn("step", F.lit(0))
+    plain = segment_cues(placed.filter(~F.col("_worded"))).withColumnRenamed("segment_idx", "cue_idx").withColumn("step", F.lit(0))
+    return made.select(*kept).unionByName(plain.select(*kept))
+
+
 def _breaker(limits: CueLimits):
     """Fold that marks, per word, a new cue (1) and a line start: 0 none, 1 behind a line break, 2 first in a cue."""
     width, count, pause, keep = limits.width, limits.max_line_count, limits.long_pause_ms, limits.by_segment

@@ -64,16 +64,23 @@ def timed_sentences(segments: DataFrame) -> DataFrame:
 
     ``segments`` carries ``times array<struct<start_ms,end_ms,score>>``, one entry per character of ``text``
     (null fields where the character is not aligned). Characters come as
-    ``chars array<struct<char,start_ms,end_ms,score>>``, up to and including the one at the span's end.
+    ``chars array<struct<char,start_ms,end_ms,score>>``, up to and including the one at the span's end; in languages without
+    blanks that one belongs to the next sentence.
     """
     timed = F.zip_with(characters(F.col("text")), F.col("times"), lambda c, t: F.struct(
         c.alias("char"), t["start_ms"].alias("start_ms"), t["end_ms"].alias("end_ms"), t["score"].alias("score")))
     kept = [c for c in segments.columns if c not in ("text", "times")]
     cut = segments.select(*kept, timed.alias("_timed"), F.posexplode(sentence_spans(F.col("text")))
                           .alias("sentence_idx", "_s"))
+    behind = F.when(_tight(segments), 0).otherwise(1)
     return cut.select(
         *kept, "sentence_idx", "_s.s_start", "_s.s_end", F.col("_s.sentence").alias("text"),
-        F.slice("_timed", F.col("_s.s_start") + 1, F.col("_s.s_end") - F.col("_s.s_start") + 1).alias("chars"))
+        F.slice("_timed", F.col("_s.s_start") + 1, F.col("_s.s_end") - F.col("_s.s_start") + behind).alias("chars"))
+
+
+def _tight(rows: DataFrame) -> Column:
+    """Whether a row's language is written without blanks; rows without ``lang`` are not."""
+    return spaceless(F.col("lang")) if "lang" in rows.columns else F.lit(False)
 
 
 def _score(chars: Column) -> Column:
@@ -98,11 +105,14 @@ def sentence_rollup(sentences: DataFrame) -> DataFrame:
 def word_rollup(sentences: DataFrame) -> DataFrame:
     """Words of every sentence with start, end and score over their characters; empty words are left out.
 
+    With a ``lang`` written without blanks every character is a word.
+
     Runs inside the row of the sentence: the characters of a word are a slice, so nothing is shuffled.
     """
     piece = F.array_join(F.transform("chars", lambda c: c["char"]), "")
-    exploded = sentences.select(*SEGMENT, "sentence_idx", "chars", F.posexplode(words_with_offsets(piece))
-                                .alias("_k", "_w"))
+    single = F.transform("chars", lambda c, i: F.struct(c["char"].alias("word"), i.cast("int").alias("offset")))
+    pieces = F.when(_tight(sentences), single).otherwise(words_with_offsets(piece))
+    exploded = sentences.select(*SEGMENT, "sentence_idx", "chars", F.posexplode(pieces).alias("_k", "_w"))
     sliced = exploded.select(
         *SEGMENT, "sentence_idx", F.col("_k").alias("word_idx"), strip(F.col("_w.word")).alias("word"),
         F.slice("chars", F.col("_w.offset") + 1, F.length("_w.word")).alias("_c"),

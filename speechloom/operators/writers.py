@@ -163,25 +163,30 @@ def _listed(rows: DataFrame, section: int) -> DataFrame:
     return _lines(joined, [section, "segment_idx", "pos"], F.concat(F.coalesce("_lead", F.lit(", ")), "doc"))
 
 
-def _cues_of(nested: DataFrame) -> DataFrame:
-    return cu.cues(nested, CueLimits())
-
-
 # Formats by name; "all" stands for every one but the label track, which is written only on request.
 WRITERS: dict[str, LineMaker] = {
     "txt": txt_lines,
-    "vtt": lambda nested: vtt_lines(_cues_of(nested), ["cue_idx"], nested),
-    "srt": lambda nested: srt_lines(_cues_of(nested), ["cue_idx"]),
+    "vtt": lambda nested: subtitle_writers()["vtt"](nested),
+    "srt": lambda nested: subtitle_writers()["srt"](nested),
     "tsv": tsv_lines,
-    "json": json_lines,
+    "json": lambda nested: json_lines(nested.withColumn("words", F.coalesce("words", F.array()))),
 }
 OPTIONAL_WRITERS: dict[str, LineMaker] = {"aud": label_lines}
+ORDER = ["cue_idx", "step"]
+
+
+def subtitle_writers(limits: CueLimits = CueLimits(), highlight: bool = False) -> dict[str, LineMaker]:
+    """The formats that show cues, with a layout and with or without underlined words."""
+    cues = lambda nested: cu.transcript_cues(nested, limits, highlight)
+    return {"vtt": lambda nested: vtt_lines(cues(nested), ORDER, nested), "srt": lambda nested: srt_lines(cues(nested), ORDER)}
 
 
-def writers_for(output_format: str) -> dict[str, LineMaker]:
+def writers_for(output_format: str, limits: CueLimits = CueLimits(), highlight: bool = False) -> dict[str, LineMaker]:
+    """The chosen formats; ``limits`` and ``highlight`` shape the subtitles among them."""
+    writers = {**WRITERS, **subtitle_writers(limits, highlight)}
     if output_format == "all":
-        return dict(WRITERS)
-    known = {**WRITERS, **OPTIONAL_WRITERS}
+        return writers
+    known = {**writers, **OPTIONAL_WRITERS}
     if output_format not in known:
         raise ValueError(f"unknown output format {output_format}")
     return {output_format: known[output_format]}
@@ -192,10 +197,12 @@ def register_writer(name: str, make: LineMaker) -> None:
     OPTIONAL_WRITERS[name] = make
 
 
-def fan_out(nested: DataFrame, output_format: str = "all") -> DataFrame:
+def fan_out(
+    nested: DataFrame, output_format: str = "all", limits: CueLimits = CueLimits(), highlight: bool = False,
+) -> DataFrame:
     """Lines of all chosen formats with their ``format``."""
     out = None
-    for name, make in writers_for(output_format).items():
+    for name, make in writers_for(output_format, limits, highlight).items():
         # Formats order their lines by keys of different depth.
         lines = make(nested).withColumn("format", F.lit(name))
         out = lines if out is None else out.unionByName(lines)
@@ -213,11 +220,8 @@ def write_lines(lines: DataFrame, path: str, by: tuple[str, ...] = ("recording_i
         "overwrite").partitionBy(*by).text(path)
 
 
-def write_formats(nested: DataFrame, path: str, output_format: str = "all") -> None:
-    """Write the chosen formats to ``path/<format>/recording_id=<id>/``."""
-    kept = nested.persist()
-    try:
-        for name, make in writers_for(output_format).items():
-            write_lines(make(kept), f"{path}/{name}")
-    finally:
-        kept.unpersist()
+def write_formats(
+    nested: DataFrame, path: str, output_format: str = "all", limits: CueLimits = CueLimits(), highlight: bool = False,
+) -> None:
+    """Write the chosen formats to ``path/format=<name>/recording_id=<id>/`` in one job."""
+    write_lines(fan_out(nested, output_format, limits, highlight), path, ("format", "recording_id"))

@@ -234,15 +234,15 @@ def by_segment_sql(width: int) -> str:
 
 @query("cues_by_segment", by_segment_sql(80), using=("null_words", "segment_times"))
 def cues_by_segment(spark, sf_dir):
-    return cu.cues_by_segment(nested_segments(spark, sf_dir), CueLimits(max_line_width=80))
+    return cu.cues_by_segment(nested_segments(spark, sf_dir), CueLimits(max_line_width=80)).drop("words", "speaker", "lang")
 
 
 @query("cues_limited", "SELECT * FROM limited_cues", using=("limited_cues",))
 def cues_limited(spark, sf_dir):
-    return cu.cues_limited(nested_segments(spark, sf_dir), LIMITS).drop("words")
+    return cu.cues_limited(nested_segments(spark, sf_dir), LIMITS).drop("words", "speaker", "lang")
 
 
-@query("highlight_cues", r"""
+TABLES["highlighted"] = (("null_words", "segment_times"), r"""
     WITH c AS (
       SELECT w.recording_id, w.segment_idx, w.pos, w.start_ms AS s, coalesce(w.end_ms, w.start_ms) AS e,
         CASE WHEN t.ws IS NOT NULL AND t.we IS NOT NULL THEN t.ws ELSE t.s0 END AS cs,
@@ -260,17 +260,12 @@ def cues_limited(spark, sf_dir):
     SELECT recording_id, segment_idx, CAST(2 * k + 1 AS INTEGER), s, e, prefix || array_to_string(list_concat(list_concat(
       ws[1:pos], [regexp_replace(ws[pos + 1], '^(\s*)(.*)$', '\1<u>\2</u>')]), ws[pos + 2:]), ' ') FROM k
     UNION ALL
-    SELECT recording_id, segment_idx, 0, cs, ce, prefix || array_to_string(ws, ' ') FROM c WHERE NOT timed AND pos = 0""",
-    using=("null_words", "segment_times"))
-def highlight_cues(spark, sf_dir):
-    nested = nested_segments(spark, sf_dir)
-    start, end = cu.cue_times(F.col("words"), F.col("start_ms"), F.col("end_ms"))
-    texts = F.array_join(F.transform("words", lambda w: w["word"]), " ")
-    from speechloom.functions.text import speaker_prefix as prefix
+    SELECT recording_id, segment_idx, 0, cs, ce, prefix || array_to_string(ws, ' ') FROM c WHERE NOT timed AND pos = 0""")
 
-    cues = nested.select("recording_id", "segment_idx", "speaker", "lang", "words", start.alias("start_ms"),
-                         end.alias("end_ms"), F.concat(prefix(F.col("speaker")), texts).alias("text"))
-    return cu.highlight_cues(cues)
+
+@query("highlight_cues", "SELECT * FROM highlighted", using=("highlighted",))
+def highlight_cues(spark, sf_dir):
+    return cu.highlight_cues(cu.cues_by_segment(nested_segments(spark, sf_dir)))
 
 
 @query("segment_cues", f"""
@@ -342,6 +337,18 @@ def split_srt(spark, sf_dir):
         "recording_id", F.get("ord", 0).alias("number"), "line")
 
 
+@query("split_vtt", f"""
+    SELECT DISTINCT recording_id, -1 AS number, 'WEBVTT' || chr(10) AS line FROM fragments
+    UNION ALL
+    SELECT recording_id, n, n || chr(10) || {fmt('s', True, '.')} || ' --> ' || {fmt('e', True, '.')}
+      || chr(10) || {strip('text')} || chr(10)
+    FROM (SELECT *, greatest(start_ms, 0) AS s, greatest(end_ms, 0) AS e, row_number() OVER (PARTITION BY recording_id ORDER BY segment_idx, frag) AS n FROM fragments)""",
+    using=("fragments",))
+def split_vtt(spark, sf_dir):
+    return wr.split_lines(_fragments(spark, sf_dir), is_vtt=True).select(
+        "recording_id", F.get("ord", 0).alias("number"), "line")
+
+
 @query("proportional_times", """
     WITH g AS (
       SELECT recording_id, segment_idx, frag, min(pos) AS a, max(pos) AS b, string_agg(word, ' ' ORDER BY pos) AS text

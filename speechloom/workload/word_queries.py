@@ -136,6 +136,44 @@ def word_rollup(spark, sf_dir):
     return wd.word_rollup(wd.timed_sentences(timed_segments(spark, sf_dir)))
 
 
+# Every third recording is taken for Japanese, every third for Chinese: a character is a word, a span ends before its end.
+LANG = "CASE recording_id % 3 WHEN 0 THEN 'ja' WHEN 1 THEN 'zh' ELSE 'en' END"
+TABLES.update({
+    "mixed_chars": (("sentence_chars", "spans"), f"""
+        SELECT c.*, {LANG} AS lang FROM sentence_chars c JOIN spans s USING (recording_id, segment_idx, sentence_idx)
+        WHERE c.recording_id % 3 = 2 OR c.cdx < s.s_end"""),
+    "mixed_words": (("mixed_chars",), """
+        SELECT *, CASE WHEN lang = 'en' THEN sum(CASE WHEN char = ' ' THEN 1 ELSE 0 END) OVER s
+            ELSE row_number() OVER s - 1 END AS k
+        FROM mixed_chars WINDOW s AS (PARTITION BY recording_id, segment_idx, sentence_idx ORDER BY cdx ROWS UNBOUNDED PRECEDING)"""),
+})
+
+
+def mixed_segments(spark, sf_dir):
+    """Timed turns whose language, with or without blanks between words, comes from the row."""
+    lang = F.when(F.col("recording_id") % 3 == 0, "ja").when(F.col("recording_id") % 3 == 1, "zh").otherwise("en")
+    return timed_segments(spark, sf_dir).withColumn("lang", lang)
+
+
+@query("word_rollup_langs", r"""
+    SELECT * FROM (
+      SELECT recording_id, segment_idx, sentence_idx, CAST(k AS INTEGER) AS word_idx,
+        regexp_replace(string_agg(char, '' ORDER BY cdx), '^\s+|\s+$', '', 'g') AS word,
+        min(s) FILTER (char <> ' ' OR lang <> 'en') AS start_ms, max(e) FILTER (char <> ' ' OR lang <> 'en') AS end_ms,
+        round_even(avg(milli) FILTER (char <> ' ' OR lang <> 'en'), 0) / 1000 AS score
+      FROM mixed_words GROUP BY ALL) WHERE word <> ''""", using=("mixed_words",))
+def word_rollup_langs(spark, sf_dir):
+    return wd.word_rollup(wd.timed_sentences(mixed_segments(spark, sf_dir)))
+
+
+@query("sentence_rollup_langs", """
+    SELECT recording_id, segment_idx, sentence_idx, any_value(sentence) AS text, min(s) AS start_ms,
+      max(e) FILTER (char <> ' ') AS end_ms FROM mixed_chars GROUP BY ALL""", using=("mixed_chars",))
+def sentence_rollup_langs(spark, sf_dir):
+    return wd.sentence_rollup(wd.timed_sentences(mixed_segments(spark, sf_dir))).select(
+        *wd.SEGMENT, "sentence_idx", "text", "start_ms", "end_ms")
+
+
 def _sentences(spark, sf_dir):
     return wd.sentence_rollup(wd.timed_sentences(timed_segments(spark, sf_dir))).select(
         *wd.SEGMENT, "sentence_idx", "text", "start_ms", "end_ms")

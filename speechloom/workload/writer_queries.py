@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from speechloom.operators import writers as wr
 from speechloom.sources import corpus, recordings
-from speechloom.workload.cue_queries import by_segment_sql, fmt, nested_segments, secs, strip
+from speechloom.workload.cue_queries import LIMITS, by_segment_sql, fmt, nested_segments, secs, strip
 from speechloom.workload.registry import TABLES, query
 
 TABLES.update({
@@ -28,9 +28,9 @@ TABLES.update({
         SELECT recording_id, CAST(n AS VARCHAR) AS ord, n || chr(10) || {fmt('start_ms', True, ',')} || ' --> ' ||
           {fmt('end_ms', True, ',')} || chr(10) || text || chr(10) AS line FROM segment_cue_rows"""),
     "vtt": (("segment_cue_rows",), f"""
-        SELECT DISTINCT recording_id, '-1' AS ord, 'WEBVTT' || chr(10) AS line FROM segment_cue_rows
+        SELECT DISTINCT recording_id, '-1,-1' AS ord, 'WEBVTT' || chr(10) AS line FROM segment_cue_rows
         UNION ALL
-        SELECT recording_id, CAST(segment_idx AS VARCHAR), {fmt('start_ms', False, '.')} || ' --> ' ||
+        SELECT recording_id, segment_idx || ',0', {fmt('start_ms', False, '.')} || ' --> ' ||
           {fmt('end_ms', False, '.')} || chr(10) || text || chr(10) FROM segment_cue_rows"""),
     "word_docs": (("null_words",), f"""
         SELECT recording_id, segment_idx, pos, '{{' || concat_ws(', ', '"word": ' || CAST(to_json(word) AS VARCHAR),
@@ -72,6 +72,40 @@ def format_fanout(spark, sf_dir):
     return shown(wr.fan_out(nested_segments(spark, sf_dir), "all"))
 
 
+def _srt_sql(rows: str) -> str:
+    """Oracle of an SRT file from numbered cues."""
+    return f"""
+    SELECT recording_id, CAST(n AS VARCHAR) AS ord, n || chr(10) || {fmt('start_ms', True, ',')} || ' --> ' ||
+      {fmt('end_ms', True, ',')} || chr(10) || text || chr(10) AS line FROM ({rows})"""
+
+
+@query("srt_limited", _srt_sql("""
+    SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY cue_idx) AS n FROM limited_cues"""), using=("limited_cues",))
+def srt_limited(spark, sf_dir):
+    return shown(wr.fan_out(nested_segments(spark, sf_dir), "srt", LIMITS)).drop("format")
+
+
+@query("vtt_highlight", f"""
+    SELECT DISTINCT recording_id, '-1,-1' AS ord, 'WEBVTT' || chr(10) AS line FROM utterances
+    UNION ALL
+    SELECT recording_id, segment_idx || ',' || step, {fmt('start_ms', False, '.')} || ' --> ' ||
+      {fmt('end_ms', False, '.')} || chr(10) || text || chr(10) FROM highlighted""", using=("highlighted", "utterances"))
+def vtt_highlight(spark, sf_dir):
+    return shown(wr.fan_out(nested_segments(spark, sf_dir), "vtt", highlight=True)).drop("format")
+
+
+@query("srt_unaligned", _srt_sql(f"""
+    SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY segment_idx) AS n FROM (
+      SELECT recording_id, segment_idx, start_ms, end_ms, text FROM wide_cues WHERE recording_id % 3 <> 0
+      UNION ALL
+      SELECT recording_id, segment_idx, start_ms, end_ms, '[' || speaker || ']: ' || replace({strip('text')}, '-->', '->')
+      FROM utterances WHERE recording_id % 3 = 0)"""), using=("wide_cues", "utterances"))
+def srt_unaligned(spark, sf_dir):
+    """Every third recording was never aligned."""
+    words = F.when(F.col("recording_id") % 3 != 0, F.col("words"))
+    return shown(wr.fan_out(nested_segments(spark, sf_dir).withColumn("words", words), "srt")).drop("format")
+
+
 @query("custom_writer", """
     SELECT recording_id, CAST(segment_idx AS VARCHAR) AS ord, speaker || ';' || (end_ms - start_ms) AS line, 'lengths' AS format
     FROM utterances""",

@@ -80,6 +80,23 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id bigint, n_bytes bigint, name bigint, sha256 string")
 
 
+def packed_rows(gram: np.ndarray, name: np.ndarray) -> bytes:
+    """Rows (48-bit gram, name) in a block: its names once, then for each row six bytes and the place of its name."""
+    names, at = np.unique(name, return_inverse=True)
+    kind = "<u2" if len(names) <= 1 << 16 else "<u4"
+    six = gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return np.array([len(gram), len(names)], "<i8").tobytes() + names.astype("<i8").tobytes() + six.tobytes() + at.astype(kind).tobytes()
+
+
+def unpacked_rows(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, k = np.frombuffer(block, "<i8", 2).tolist()
+    names = np.frombuffer(block, "<i8", k, 16)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(block, np.uint8, 6 * n, 16 + 8 * k).reshape(n, 6)
+    at = np.frombuffer(block, "<u2" if k <= 1 << 16 else "<u4", n, 16 + 8 * k + 6 * n)
+    return wide.view("<u8").ravel(), names[at]
+
+
 def _by_name(gram: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
     """One row of grams for each name."""
     order = np.argsort(name, kind="stable")
@@ -112,14 +129,13 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             keys, blocks = [], []
             if shared.any():
                 keys.append(-1 - turn % 64)
-                blocks.append(gram[shared].astype("<u8").tobytes() + name[shared].astype("<i8").tobytes())
+                blocks.append(packed_rows(gram[shared], name[shared]))
             gram, name = gram[first], name[first]
             bucket = ((gram >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            six = gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(gram)], strict=True):
                 keys.append(int(bucket[a]))
-                blocks.append(six[a:b].tobytes() + name[a:b].astype("<i8").tobytes())
+                blocks.append(packed_rows(gram[a:b], name[a:b]))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
         for batch in sliced(batches, "_text", SLICE):
@@ -141,32 +157,38 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(emit, "bucket bigint, block binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Grams that several texts share, per text."""
-    grams, names = [], []
-    local = table.num_rows and table.column("bucket")[0].as_py() < 0
-    for block in table.column("block").to_pylist():
-        if local:
-            n = len(block) // 16
-            grams.append(np.frombuffer(block, "<u8", n))
-            names.append(np.frombuffer(block, "<i8", n, 8 * n))
-        else:
-            n = len(block) // 14
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(block, np.uint8, 6 * n).reshape(n, 6)
-            grams.append(wide.view("<u8").ravel())
-            names.append(np.frombuffer(block, "<i8", n, 6 * n))
-    gram, name = np.concatenate(grams), np.concatenate(names)
-    if not local:
-        order = np.lexsort((name, gram))
-        gram, name = gram[order], name[order]
-        new = np.append(True, (gram[1:] != gram[:-1]) | (name[1:] != name[:-1]))
-        gram, name = gram[new], name[new]
-        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        run = np.diff(np.append(first, len(gram)))
-        on = np.repeat(run > 1, run)
-        gram, name = gram[on], name[on]
-    return pa.Table.from_batches([_by_name(gram, name)])
+def shared_anchors(blocks: DataFrame, homes: int) -> DataFrame:
+    """``name, grams``: for each text the anchors that it shares with another.
+
+    What a bucket finds goes back in blocks by ``home``, a range of names, so that rows stay as few as blocks.
+    """
+
+    def find(table: pa.Table) -> pa.Table:
+        cells = table.column("block").to_pylist()
+        gram, name = (np.concatenate(x) for x in zip(*map(unpacked_rows, cells), strict=True))
+        if table.column("bucket")[0].as_py() >= 0:
+            order = np.lexsort((name, gram))
+            gram, name = gram[order], name[order]
+            new = np.append(True, (gram[1:] != gram[:-1]) | (name[1:] != name[:-1]))
+            gram, name = gram[new], name[new]
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            run = np.diff(np.append(first, len(gram)))
+            on = np.repeat(run > 1, run)
+            gram, name = gram[on], name[on]
+        home = ((mixed(name.view(np.uint64)) >> np.uint64(32)) * np.uint64(homes)) >> np.uint64(32)
+        order = np.argsort(home, kind="stable")
+        gram, name, home = gram[order], name[order], home[order]
+        cut = np.flatnonzero(np.append(True, home[1:] != home[:-1])).tolist() if len(home) else []
+        ends = [*cut[1:], len(home)] if cut else []
+        return pa.table({"home": pa.array([int(home[a]) for a in cut], pa.int64()),
+                         "block": pa.array([packed_rows(gram[a:b], name[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        gram, name = (np.concatenate(x) for x in zip(*map(unpacked_rows, table.column("block").to_pylist()), strict=True))
+        return pa.Table.from_batches([_by_name(gram, name)])
+
+    found = blocks.groupBy("bucket").applyInArrow(find, "home bigint, block binary")
+    return found.groupBy("home").applyInArrow(gather, "name bigint, grams binary")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -193,7 +215,7 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        expand = zstandard.ZstdDecompressor().decompress
+        expand, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         held: list[tuple] = []
         size = turn = 0
 
@@ -224,7 +246,7 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
                 keys.append(int(shard[a]))
                 blocks.append(b"".join([
                     np.array([len(at)], "<i8").tobytes(), doc[at].astype("<i8").tobytes(), name[at].astype("<i8").tobytes(),
-                    start[at].astype("<u4").tobytes(), length[at].astype("u1").tobytes(), body[begin[at][rows] + off].tobytes()]))
+                    start[at].astype("<u4").tobytes(), length[at].astype("u1").tobytes(), squeeze(body[begin[at][rows] + off].tobytes())]))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
         for batch in in_rows(batches):
@@ -235,8 +257,8 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
                 first, last, gram, text = segments_of(data, offsets)
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()
                 on = np.zeros(len(text), bool)
-                for i, cells in enumerate(part.column("grams").to_pylist()):
-                    asked = np.frombuffer(b"".join(cells), "<u8")
+                for i, grams in enumerate(part.column("grams").to_pylist()):
+                    asked = np.frombuffer(grams, "<u8")
                     on[bounds[i]: bounds[i + 1]] = np.isin(gram[bounds[i]: bounds[i + 1]], asked)
                 first, last, gram, text = first[on], last[on], gram[on], text[on]
                 if not len(first):
@@ -261,6 +283,9 @@ def _ranges(table: pa.Table) -> pa.Table:
         cells = [np.frombuffer(b, "<i8").reshape(3, -1) for b in blocks]
         name, start, stop = (np.concatenate([c[i] for c in cells]) if cells else np.zeros(0, np.int64) for i in range(3))
         return pa.table({"name": name, "start": start, "stop": stop})
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
     docs, names, starts, lengths, bodies = [], [], [], [], []
     for block in blocks:
         n = int(np.frombuffer(block, "<i8", 1)[0])
@@ -268,7 +293,7 @@ def _ranges(table: pa.Table) -> pa.Table:
         names.append(np.frombuffer(block, "<i8", n, 8 + 8 * n))
         starts.append(np.frombuffer(block, "<u4", n, 8 + 16 * n).astype(np.int64))
         lengths.append(np.frombuffer(block, "u1", n, 8 + 20 * n).astype(np.int64))
-        bodies.append(np.frombuffer(block, np.uint8, -1, 8 + 21 * n))
+        bodies.append(np.frombuffer(expand(block[8 + 21 * n:]), np.uint8))
     doc, name, start, length = (np.concatenate(x) for x in (docs, names, starts, lengths))
     body = np.concatenate(bodies)
     begin = np.cumsum(length) - length
@@ -329,11 +354,10 @@ def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("rep"), F.first("n_bytes").alias("size")))
     total = int(reps.agg(F.sum("size")).first()[0] or 0)
     buckets = max(1, total // (18 * FLUSH))
-    shared = checkpointed(anchor_blocks(docs, buckets).groupBy("bucket").applyInArrow(
-        _shared, "name bigint, grams binary"))
+    shared = checkpointed(shared_anchors(anchor_blocks(docs, buckets), buckets))
     grams = shared.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
     shards = max(1, int(grams) // 8 * 68 // SHARD_BYTES)
-    asked = shared.groupBy("name").agg(F.collect_list("grams").alias("grams")).join(reps, "name").select(
+    asked = shared.join(reps, "name").select(
         F.col("rep").alias("doc_id"), "name", "grams")
     texts = checkpointed(packed_texts(docs).join(asked, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]))
     ranges = segment_blocks(texts, shards).groupBy("shard").applyInArrow(_ranges, "name bigint, start bigint, stop bigint")

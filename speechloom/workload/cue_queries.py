@@ -212,10 +212,9 @@ def cue_times(spark, sf_dir):
     return nested_segments(spark, sf_dir).select("recording_id", "segment_idx", start.alias("start_ms"), end.alias("end_ms"))
 
 
-def by_segment_sql(width: int) -> str:
-    """Oracle of cues that follow their segments."""
+def laid_sql(width: int) -> str:
+    """Words of segments as they are shown in lines of a width."""
     return rf"""
-    WITH RECURSIVE l AS (
       SELECT recording_id, segment_idx, pos, word, length(word) AS len, length({strip('word')}) AS used,
         {strip('word')} AS shown FROM null_words WHERE pos = 0
       UNION ALL
@@ -224,7 +223,13 @@ def by_segment_sql(width: int) -> str:
           ELSE length({strip('w.word')}) END,
         CASE WHEN l.used > 0 AND l.used + length(w.word) <= {width} THEN w.word
           WHEN l.used > 0 THEN chr(10) || {strip('w.word')} ELSE {strip('w.word')} END
-      FROM l JOIN null_words w ON w.recording_id = l.recording_id AND w.segment_idx = l.segment_idx AND w.pos = l.pos + 1)
+      FROM l JOIN null_words w ON w.recording_id = l.recording_id AND w.segment_idx = l.segment_idx AND w.pos = l.pos + 1"""
+
+
+def by_segment_sql(width: int) -> str:
+    """Oracle of cues that follow their segments."""
+    return rf"""
+    WITH RECURSIVE l AS ({laid_sql(width)})
     SELECT recording_id, segment_idx, CASE WHEN ws IS NOT NULL AND we IS NOT NULL THEN ws ELSE s0 END AS start_ms,
       CASE WHEN ws IS NOT NULL AND we IS NOT NULL THEN we ELSE e0 END AS end_ms,
       '[' || speaker || ']: ' || string_agg(shown, ' ' ORDER BY pos) AS text
@@ -242,15 +247,16 @@ def cues_limited(spark, sf_dir):
     return cu.cues_limited(nested_segments(spark, sf_dir), LIMITS).drop("words", "speaker", "lang")
 
 
-TABLES["highlighted"] = (("null_words", "segment_times"), r"""
+TABLES["shown_words"] = (("null_words",), f"WITH RECURSIVE l AS ({laid_sql(1000)}) SELECT recording_id, segment_idx, pos, shown FROM l")
+TABLES["highlighted"] = (("null_words", "segment_times", "shown_words"), r"""
     WITH c AS (
       SELECT w.recording_id, w.segment_idx, w.pos, w.start_ms AS s, coalesce(w.end_ms, w.start_ms) AS e,
         CASE WHEN t.ws IS NOT NULL AND t.we IS NOT NULL THEN t.ws ELSE t.s0 END AS cs,
         CASE WHEN t.ws IS NOT NULL AND t.we IS NOT NULL THEN t.we ELSE t.e0 END AS ce,
         '[' || t.speaker || ']: ' AS prefix, t.ws IS NOT NULL AS timed,
-        list(w.word) OVER (PARTITION BY w.recording_id, w.segment_idx ORDER BY w.pos
+        list(shown) OVER (PARTITION BY w.recording_id, w.segment_idx ORDER BY w.pos
           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ws
-      FROM null_words w JOIN segment_times t USING (recording_id, segment_idx)),
+      FROM null_words w JOIN shown_words USING (recording_id, segment_idx, pos) JOIN segment_times t USING (recording_id, segment_idx)),
     k AS (
       SELECT *, coalesce(lag(e) OVER (PARTITION BY recording_id, segment_idx ORDER BY pos), cs) AS last,
         row_number() OVER (PARTITION BY recording_id, segment_idx ORDER BY pos) - 1 AS k FROM c WHERE s IS NOT NULL)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from speechloom.functions import text as tx, time as tm
 from speechloom.operators import cues as cu, subtitles as sb, writers as wr
-from speechloom.params import CueLimits
+from speechloom.params import CueLimits, SplitLimits
 from speechloom.sources import recordings
 
 NESTED = ("recording_id string, segment_idx bigint, speaker string, lang string, text string, start_ms bigint, "
@@ -84,7 +84,7 @@ def test_files_are_written_in_order(spark, tmp_path):
     wr.write_formats(table, str(tmp_path / "out"), "all")
     for name in wr.WRITERS:
         for rec in ("q", "r"):
-            files = sorted(Path(tmp_path, "out", name, f"recording_id={rec}").glob("*.txt"))
+            files = sorted(Path(tmp_path, "out", f"format={name}", f"recording_id={rec}").glob("*.txt"))
             text = "".join(f.read_text() for f in files)
             want = lines(wr.WRITERS[name](table.filter(F.col("recording_id") == rec)))
             assert text == "".join(line + "\n" for line in want)
@@ -146,3 +146,30 @@ def test_batches_progress_and_quality(spark):
     rows = spark.createDataFrame([("a" * 900, -0.1, 0.9), ("quick brown fox", -2.0, 0.9), ("quick brown fox", -0.2, 0.9)],
                                  "text string, avg_logprob double, no_speech_prob double")
     assert [(r.failed, r.silence) for r in ql.quality_gate(rows).collect()] == [(True, False), (True, True), (False, False)]
+
+
+def test_unaligned_transcripts_have_cues(spark):
+    """A null word list shows the segment's text, an empty one shows nothing; the first segment decides."""
+    rows = [("n", 0, "S", "en", "a --> b", 0, 900, None), ("n", 1, None, "en", "c", 1000, 2000, None),
+            ("e", 0, "S", "en", "lost", 0, 900, []), ("e", 1, "S", "en", "d", 1000, 2000, [("d", 1000, 1500)])]
+    table = spark.createDataFrame(rows, NESTED)
+    got = [(r.recording_id, r.cue_idx, r.text) for r in cu.transcript_cues(table).orderBy("recording_id", "cue_idx").collect()]
+    assert got == [("e", 1, "[S]: d"), ("n", 0, "[S]: a -> b"), ("n", 1, "c")]
+    made = {(r.format, r.recording_id): r.n for r in wr.fan_out(table).groupBy("format", "recording_id").agg(F.count("*").alias("n")).collect()}
+    assert made["srt", "n"] == 2 and made["vtt", "n"] == 3 and made["json", "n"] > 0
+
+
+def test_highlighting_composes_with_both_layouts(spark):
+    words = [("abc", 0, 100), ("def", 100, 200), ("g", None, None), ("hij", 300, 400)]
+    table = spark.createDataFrame([("r", 0, None, "en", "", 0, 900, words)], NESTED)
+    for limits in (CueLimits(max_line_width=6), CueLimits(max_line_width=6, max_line_count=5)):
+        texts = [r.text for r in cu.transcript_cues(table, limits, highlight=True).orderBy("cue_idx", "step").collect()]
+        assert texts == ["<u>abc</u> def \ng hij", "abc <u>def</u> \ng hij", "abc def \ng hij", "abc def \ng <u>hij</u>"]
+    assert cu.cues_by_segment(table.withColumn("lang", F.lit("zh"))).first().text == "abcdefghij"
+
+
+def test_conjunction_lists_are_a_parameter(spark):
+    words = [(w, None, None) for w in ("aaaaaaaaaa bbbbbbbbbb cccccccccc zzz eeeeeeeeee ffffffffff gggggggggg hhhh").split()]
+    table = spark.createDataFrame([("r", 0, None, "xx", "", 0, 900, words)], NESTED)
+    splits = lambda **lists: sb.with_split_points(table, True, SplitLimits(100, 20), **lists).first().splits
+    assert splits(lists={"xx": ["zzz"]}) == [2] and splits() == []

@@ -347,10 +347,9 @@ def across(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
         F.count("*").alias("_n"), F.min("name").alias("_centre"), F.min("part").alias("_low"), F.max("part").alias("_high")).where(
         "_n > 2 and _low < _high").select("sig", "_centre")
     mixed_ = checkpointed(placed.join(many, "sig"))
-    # Signatures of one family of sets share most of their pairs. They are dealt by family, so that a pair is reported once.
-    first = mixed_.groupBy("name").agg(F.min("_centre").alias("_first"))
-    family = mixed_.select("sig", "name").join(first, "name").groupBy("sig").agg(F.min("_first").alias("family"))
-    dealt = checkpointed(mixed_.select("sig", "name", "part").join(family, "sig"))
+    # Signatures with the same smallest member share most of their pairs. They are dealt together, so that a pair is
+    # reported once for all of them.
+    dealt = mixed_.select("sig", "name", "part", F.col("_centre").alias("family"))
     tiles = dealt.groupBy("family").agg(F.ceil(F.approx_count_distinct("name") / TILE).cast("int").alias("_tiles"))
     own = F.pmod(F.xxhash64("name"), F.col("_tiles").cast("bigint")).cast("int")
     tiled = dealt.join(tiles, "family").join(sets, "name").withColumn("own", own).select(

@@ -28,7 +28,7 @@ from speechloom.llm.batches import RangeHash, flat, mixed, ragged, seeded, slice
 
 SEED = 8
 THETA = 1.0
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 class Pieces:

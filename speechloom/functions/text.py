@@ -25,25 +25,17 @@ def joiner(lang: Column) -> Column:
     return F.when(spaceless(lang), F.lit("")).otherwise(F.lit(" "))
 
 
-def split_words(text: Column, lang: Column | None = None) -> Column:
-    """Words by a single blank; single characters for spaceless languages."""
-    by_blank = F.split(text, " ", -1)
-    if lang is None:
-        return by_blank
-    return F.when(spaceless(lang), characters(text)).otherwise(by_blank)
-
-
 def characters(text: Column) -> Column:
     """Code points of a text, in order; the empty text has none."""
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
-def running_starts(items: Column, width_gap: int = 0) -> Column:
+def running_starts(text: Column) -> Column:
     """Character offset of every blank-separated word: positions right after each blank, first 0.
 
-    Takes the *text*; linear, because positions of the blanks are read off the character array.
+    Linear, because positions of the blanks are read off the character array.
     """
-    marks = F.transform(characters(items), lambda c, i: F.when(c == " ", i + 1))
+    marks = F.transform(characters(text), lambda c, i: F.when(c == " ", i + 1))
     return F.concat(F.array(F.lit(0)), F.filter(marks, lambda p: p.isNotNull()))
 
 
@@ -84,10 +76,6 @@ def json_string(text: Column) -> Column:
     return F.when(text.isNull(), F.lit("null")).otherwise(F.substring(doc, F.lit(6), F.length(doc) - 6))
 
 
-def half_up(x: Column) -> Column:
-    return F.floor(x + 0.5).cast("bigint")
-
-
 @F.pandas_udf(DoubleType())
 def compression_ratio(texts: pd.Series) -> pd.Series:
     """UTF-8 size over deflated size; deflate is not an expression Spark has."""

@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -144,22 +145,67 @@ def blocked_scan(
 Fold = Callable[[Any, dict[str, list], bool], tuple[dict[str, list], Any]]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing a table into the shared checkpoint folder of the session and reading it back.
+#: Tables written inside the scopes of ``inner_tables`` that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
 
-    Unlike ``DataFrame.checkpoint`` this computes the rows once and readers take only the columns they need. A
-    temporary folder is made only for a local session that names none; on a cluster a missing folder is an error.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``.
+
+    A temporary folder is made only for a local session that names none; on a cluster a missing folder is an error.
     """
-    spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="speechloom-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing a table into the shared folder of the session and reading it back.
+
+    Unlike ``DataFrame.checkpoint`` this computes the rows once and readers take only the columns they need. A table
+    written inside ``inner_tables`` is deleted when that scope ends.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, wherever the file system of that folder is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def inner_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope whose ``checkpointed`` tables are deleted at its end, also when it fails.
+
+    It gives a function that writes a result into a table which outlives the scope; what an operator returns must
+    read no other table of the scope.
+    """
+    made: list[str] = []
+    outer = _SCOPES[-1] if _SCOPES else None
+    _SCOPES.append(made)
+
+    def kept(df: DataFrame) -> DataFrame:
+        out = checkpointed(df)
+        path = made.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield kept
+    finally:
+        _SCOPES.pop()
+        for path in made:
+            dropped(spark, path)
 
 
 def chained_fold(

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechloom.llm import jaccard_join, language_id, mixing, piece_sampling, quality_rules, substring_dedup, token_counts, token_store, url_filter, vector_join
+from speechloom.llm import (
+    digests, jaccard_join, language_id, mixing, piece_sampling, quality_rules, substring_dedup, token_alignment, token_counts, token_store,
+    url_filter, vector_codes, vector_join)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +62,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"), byte_tokenizer(), piece_model())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_jaccard_join, op3_vector_join, op4_language_id,
-    op5_suffix_dedup, op6_source_mixing, op7_quality_rules, op8_piece_sampling, op9_token_store, op10_url_filter)}
+    op5_suffix_dedup, op6_source_mixing, op7_quality_rules, op8_piece_sampling, op9_token_store, op10_url_filter,
+    op11_exact_dedup, op12_vector_codes, op13_token_alignment)}
 ORACLES = {"op3_vector_join": vector_join.ORACLE, "op6_source_mixing": mixing.ORACLE, "op7_quality_rules": quality_rules.ORACLE,
-           "op10_url_filter": url_filter.ORACLE}
+           "op10_url_filter": url_filter.ORACLE, "op11_exact_dedup": digests.ORACLE, "op12_vector_codes": vector_codes.ORACLE}

@@ -234,9 +234,9 @@ a{k} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'e': entry}}) AS best FROM (
   SELECT p.r, p.part, b.entry, CAST({dist} AS BIGINT) AS d FROM parts p JOIN b{k} b USING (part)) GROUP BY r, part)""")
         if k < ROUNDS:
             steps.append(f"""
-s{k} AS (SELECT part, a.best.e AS entry, at, CAST(sum(z) AS BIGINT) AS s, count(*) AS n
-  FROM (SELECT r, part, generate_subscripts(v, 1) AS at, unnest(v) AS z FROM parts) JOIN a{k} a USING (r, part) GROUP BY ALL),
-m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY at) AS v FROM s{k} GROUP BY part, entry),
+s{k} AS (SELECT part, a.best.e AS entry, pos, CAST(sum(z) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT r, part, generate_subscripts(v, 1) AS pos, unnest(v) AS z FROM parts) JOIN a{k} a USING (r, part) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM s{k} GROUP BY part, entry),
 b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry))""")
     steps.append(f"""
 codes AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error

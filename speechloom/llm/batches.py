@@ -83,8 +83,17 @@ def seeded(seed: int) -> np.uint64:
     return mixed(np.array([(seed * _ODD + 1) % (1 << 64)], np.uint64))[0]
 
 
+def distinct_slices(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For slices that lie end to end and begin at ``starts``: the number of each among the distinct ones, and these. Compared byte by byte."""
+    coded = binary_array(data, np.append(starts, len(data)) if len(starts) else np.zeros(1), pa.large_binary()).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 class RangeHash:
-    """64-bit hashes of any byte range of a flat array in constant time, equal for equal bytes in every batch."""
+    """64-bit hashes of any byte range of a flat array in constant time, equal for equal bytes in every batch.
+
+    Texts that differ may be made to share one: good for dealing work, not for telling texts apart.
+    """
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + seeded(seed))

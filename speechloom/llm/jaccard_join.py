@@ -23,15 +23,19 @@ difference (a parity sketch), and verifies what is left. Copies are never expand
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, in_rows, key_runs, mixed, ragged, sliced, words_of
+from speechloom.llm.batches import distinct_slices, flat, in_rows, key_runs, mixed, ragged, sliced, words_of, worker_cache
 from speechloom.llm.graphs import components
-from speechloom.plans.blocks import checkpointed
+from speechloom.llm.grouped import with_group_values
+from speechloom.llm.names import clashes, named, with_new_names
+from speechloom.plans.blocks import checkpointed, inner_tables
 
 SHINGLE = 5
 GROWTH = 1.75
@@ -41,6 +45,7 @@ SEEN = 1 << 20
 TILE = 512
 STAR = 1024
 MIN_BITS = 7
+WORDS = 1 << 18  # words whose digests a worker keeps
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
         np.uint64(0x27D4EB2F165667C5), np.uint64(0xD6E8FEB86659FD93)]
 
@@ -56,32 +61,76 @@ def uppers() -> np.ndarray:
 UPPERS = uppers()
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of every text, sorted within each text, and their number."""
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit halves of a digest of each word; words are told apart by their bytes."""
+    cache = worker_cache()
+    known, table = cache.get("words") or ({}, np.zeros((1 << 16, 2), np.uint64))
+    if len(known) > WORDS:
+        known = {}
+    rows, at = ragged(ends - starts)
+    codes, words = distinct_slices(data[starts[rows] + at], np.cumsum(ends - starts) - (ends - starts))
+    words = words.to_pylist()
+    new = [w for w in words if w not in known]
+    while len(known) + len(new) > len(table):
+        table = np.concatenate([table, np.zeros_like(table)])
+    if new:
+        raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in new])
+        table[len(known): len(known) + len(new)] = np.frombuffer(raw, "<u8").reshape(-1, 2)
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+    cache["words"] = known, table
+    return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))][codes]
+
+
+def shingle_lanes(texts: pa.Array, both: bool = True) -> tuple[list[np.ndarray], list[int]]:
+    """Hashes of all shingles in one or two independent lanes, and where each text's begin.
+
+    The first lane is a chain of mixings, the second a sum, over different halves of the words' digests.
+    """
     data, offsets = flat(texts)
     lower = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
     starts, ends, first = words_of(lower, offsets)
-    word = RangeHash(lower).of(starts, ends)
+    word = word_digests(lower, starts, ends)
     count = np.diff(first)
     many = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
     rows, at = ragged(many)
     begin, left = first[:-1][rows] + at, np.minimum(count[rows], SHINGLE)
-    padded = np.append(word, np.zeros(SHINGLE, np.uint64))
-    gram = left.astype(np.uint64)
-    for j, odd in enumerate(_ODD):
-        gram = gram + np.where(j < left, padded[begin + j], np.uint64(j + 1)) * odd
-    gram = mixed(gram)
-    bounds = np.concatenate([[0], np.cumsum(many)]).tolist()
+    lanes = []
+    for lane in range(2 if both else 1):
+        padded = np.append(word[:, lane], np.zeros(SHINGLE, np.uint64))
+        gram = left.astype(np.uint64)
+        for j, odd in enumerate(_ODD):
+            part = np.where(j < left, padded[begin + j], np.uint64(j + 1))
+            gram = gram + part * odd if lane else (gram ^ part ^ gram >> np.uint64(29)) * odd
+        lanes.append(mixed(gram))
+    return lanes, np.concatenate([[0], np.cumsum(many)]).tolist()
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (first lane) of the distinct shingles of every text, sorted within each text, and their number."""
+    (gram,), bounds = shingle_lanes(texts, both=False)
     sets = [np.unique(gram[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return (np.concatenate(sets) if sets else gram), np.array([len(s) for s in sets], np.int64)
 
 
-def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, from its elements and its size; 0 for empty sets."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ _ODD[1]))])
-    ends = np.cumsum(sizes)
-    names = mixed(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64) * _ODD[2]).view(np.int64)
-    return np.where(sizes > 0, names, 0)
+def named_sets(texts: pa.Array, renames: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``shingle_sets`` with the two halves of a name: a digest over both lanes; 0 for empty sets."""
+    lanes, bounds = shingle_lanes(texts)
+    sets, digests = [], []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        sets.append(np.unique(lanes[0][a:b]))
+        digest = hashlib.blake2b(sets[-1].tobytes(), digest_size=16)
+        digest.update(np.unique(lanes[1][a:b]).tobytes())
+        digests.append(digest.digest())
+    sizes = np.array([len(s) for s in sets], np.int64)
+    name, second = named(b"".join(digests), renames)
+    return (np.concatenate(sets) if sets else lanes[0]), sizes, np.where(sizes > 0, name, 0), np.where(sizes > 0, second, 0)
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[int, int]:
+    """Size of the intersection and of the union of two sets given in two lanes each; what meets in one lane only is not equal."""
+    size = [max(len(x) for x in side) for side in (a, b)]
+    both = min(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True))
+    return both, size[0] + size[1] - both
 
 
 def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -178,27 +227,27 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, name, sketch`` of every text."""
+    """``doc_id, n_shingles, name, name2, sketch`` of every text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
-            hashes, sizes = shingle_sets(batch.column("_text"))
+            hashes, sizes, name, second = named_sets(batch.column("_text"))
             bits = sketches(hashes, sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(set_names(hashes, sizes)),
-                 pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "name", "sketch"])
+                [batch.column("doc_id"), pa.array(sizes), pa.array(name), pa.array(second), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "name", "name2", "sketch"])
 
-    return docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, name bigint, sketch binary")
+    return docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, name bigint, name2 bigint, sketch binary")
 
 
-def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, block``: packed (signature, name, whether others in the task have it) rows; negative buckets hold the
-    (signature, name, centre) rows of those others."""
+def signature_blocks(docs: DataFrame, buckets: int, renames: dict) -> DataFrame:
+    """``bucket, block``: packed (signature, name, whether others in the task have it) rows; a negative bucket of its own holds each
+    block of (signature, name, centre) rows of those others, which need no further grouping."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = turn = 0
+        size, turn = 0, TaskContext.get().partitionId() << 24
 
         def flushed() -> pa.RecordBatch:
             nonlocal held, size, turn
@@ -212,7 +261,7 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             centre = np.repeat(name[first], run)
             keys, blocks = [], []
             if shared.any():
-                keys.append(-1 - turn % 64)
+                keys.append(-turn)
                 blocks.append(np.concatenate([sig[shared].view(np.int64), name[shared], centre[shared]]).astype("<i8").tobytes())
             sig, name, more = sig[first], name[first], (run > 1).astype(np.uint8)
             bucket = ((sig >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
@@ -224,8 +273,7 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
         for batch in sliced(batches, "_text"):
-            hashes, sizes = shingle_sets(batch.column("_text"))
-            names = set_names(hashes, sizes)
+            hashes, sizes, names, _ = named_sets(batch.column("_text"), renames)
             fresh = np.array([not (x in seen or seen.add(x)) for x in names.tolist()], bool) & (sizes > 0)
             if len(seen) > SEEN:
                 seen.clear()
@@ -320,15 +368,14 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             a, tile, b = (batch.column(c).to_pylist() for c in ("a", "tile", "b"))
             found, at = [], 0
             for part in sliced([pa.record_batch({"t": texts})], "t"):
-                hashes, sizes = shingle_sets(part.column("t"))
-                ends = np.cumsum(sizes).tolist()
-                for n, end in zip(sizes.tolist(), ends, strict=True):
-                    own = hashes[end - n: end]
+                lanes, bounds = shingle_lanes(part.column("t"))
+                for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+                    own = [np.unique(x[start:end]) for x in lanes]
                     if b[at] is None:
                         key, base = (a[at], tile[at]), own
                     elif key == (a[at], tile[at]):
-                        common = len(np.intersect1d(base, own, assume_unique=True))
-                        if 100 * common >= 75 * (len(base) + n - common):
+                        both, either = common(base, own)
+                        if 100 * both >= 75 * either:
                             found.append((a[at], b[at]))
                     at += 1
             if found:
@@ -350,9 +397,10 @@ def across(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     # Signatures with the same smallest member share most of their pairs. They are dealt together, so that a pair is
     # reported once for all of them.
     dealt = mixed_.select("sig", "name", "part", F.col("_centre").alias("family"))
-    tiles = dealt.groupBy("family").agg(F.ceil(F.approx_count_distinct("name") / TILE).cast("int").alias("_tiles"))
+    tiles = checkpointed(dealt.groupBy("family").agg(
+        F.ceil(F.approx_count_distinct("name") / TILE).cast("int").alias("_tiles"), F.count("*").alias("_rows")))
     own = F.pmod(F.xxhash64("name"), F.col("_tiles").cast("bigint")).cast("int")
-    tiled = dealt.join(tiles, "family").join(sets, "name").withColumn("own", own).select(
+    tiled = with_group_values(dealt, tiles, ["family"], "_rows").join(sets, "name").withColumn("own", own).select(
         "sig", "name", "part", "family", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("other"))
     tiled = tiled.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
 
@@ -392,30 +440,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id cannot be named by a link and stays alone, its component null. Repeated rows are linked like any copies. Other
     columns are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("_text"))
-    info = checkpointed(set_table(docs))
-    docs = docs.where("doc_id is not null")
-    sets = checkpointed(info.where("n_shingles > 0 and doc_id is not null").groupBy("name", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, -(-int(total) // (2 * FLUSH)))
-    members = checkpointed(signature_blocks(docs, buckets).groupBy("bucket").applyInArrow(
-        _members, "sig bigint, name bigint, centre bigint, more boolean"))
-    bounds = sets.select("name", "n_shingles", "sketch")
-    reps = sets.select("name", "rep")
-    stars = checkpointed(members.where("name <> centre").select(F.col("centre").alias("a"), F.col("name").alias("b")).distinct())
-    links = verified(checkpointed(near_pairs(stars, bounds)), reps, docs)
-    parts = components(links).withColumnRenamed("node", "name")
-    # What a star has decided needs no second look.
-    rest = checkpointed(across(members, parts, bounds).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(verified(rest, reps, docs))
+    with inner_tables(docs.sparkSession) as kept:
+        docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("_text"))
+        info = checkpointed(set_table(docs))
+        docs = docs.where("doc_id is not null")
+        sets = _sets(info)
+        if renames := clashes(sets, info.where("n_shingles > 0")):
+            info = with_new_names(info, renames)
+            sets = _sets(info)
+        total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+        buckets = max(1, -(-int(total) // (2 * FLUSH)))
+        members = checkpointed(signature_blocks(docs, buckets, renames).groupBy("bucket").applyInArrow(
+            _members, "sig bigint, name bigint, centre bigint, more boolean"))
+        bounds = sets.select("name", "n_shingles", "sketch")
+        reps = sets.select("name", "rep")
+        stars = checkpointed(members.where("name <> centre").select(F.col("centre").alias("a"), F.col("name").alias("b")).distinct())
+        links = verified(checkpointed(near_pairs(stars, bounds)), reps, docs)
         parts = components(links).withColumnRenamed("node", "name")
-    placed = reps.join(parts, "name", "left").select("name", "rep", F.coalesce("component", "name").alias("part"))
-    heads = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
-    named = checkpointed(placed.join(heads, "part").select("name", "component_id"))
-    return info.select("doc_id", "n_shingles", "name").join(named, "name", "left").select(
-        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        # What a star has decided needs no second look.
+        rest = checkpointed(across(members, parts, bounds).join(stars, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.union(verified(rest, reps, docs))
+            parts = components(links).withColumnRenamed("node", "name")
+        placed = sets.select("name", "rep", "_rows").join(parts, "name", "left").select(
+            "name", "rep", "_rows", F.coalesce("component", "name").alias("part"))
+        heads = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
+        named_ = checkpointed(placed.join(heads, "part").select("name", "component_id", "_rows"))
+        on = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+        found = with_group_values(info.where(on).select("doc_id", "n_shingles", "name"), named_, ["name"], "_rows")
+        alone = info.where(~on).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return kept(found.select(*alone.columns).union(alone))
+
+
+def _sets(info: DataFrame) -> DataFrame:
+    """A row per name: the smallest document, size and sketch of its set, how many documents have it, and the bounds of second names."""
+    return checkpointed(info.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
+        F.count("*").alias("_rows"), F.min("name2").alias("low2"), F.max("name2").alias("high2")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ TEMPER = 0.1
 SMOOTH = 1.0
 SITE_WEIGHT, HOST_WEIGHT = 5.0, 5.0
 _DROP = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_MARKUP = r"(?is)^(?:\s|<!--.*?-->|<!doctype[^>]*>|<\?[^>]*>)*<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
+# No part gives back what it has taken, so a page of any length is read once.
+_MARKUP = re.compile(r"(?:\s++|(?><!--.*?-->)|<!doctype[^>]*+>|<\?[^>]*+>)*+<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", re.S | re.I)
 
 
 def visible(markup: str | None) -> str:
@@ -38,6 +39,12 @@ def visible(markup: str | None) -> str:
     return html.unescape(_DROP.sub(" ", markup)) if markup else ""
 
 
+def declared_language(markup: str | None) -> str | None:
+    """The language that the opening ``html`` tag declares, however much white space, comments and declarations stand before it."""
+    found = _MARKUP.match(markup) if markup else None
+    return found[1].lower() if found else None
+
+
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigrams of each text, lower-cased in A-Z, and the text of each; none reaches over two texts."""
     data, offsets = flat(texts)
@@ -65,16 +72,39 @@ class TextModel:
 
 
 def fitted(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """A text model from at most ``sample_rows`` texts of each value of ``lang``, taken by row hash."""
-    labelled = labelled.where("lang is not null and text is not null")
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
-    counts = np.zeros((len(languages), 1 << BITS))
-    for i, lang in enumerate(languages):
-        rows = labelled.where((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)).select("text").take(sample_rows)
-        rows = rows or labelled.where(F.col("lang") == lang).select("text").take(sample_rows)
-        code, _ = trigrams(pa.array([r["text"] for r in rows], pa.string()))
-        counts[i] = np.bincount(code, minlength=1 << BITS)
-    return TextModel(languages, counts)
+    """A text model from about ``sample_rows`` documents of each value of ``lang``, by the hash of the row.
+
+    A quarter of the texts, by their hash, is fitted on, unless a language has none in it. Texts stay in the workers: the driver gets a table
+    of trigram counts of fixed size. A language with fewer documents gives all it has.
+    """
+    fold = (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
+    rows = labelled.where("lang is not null and text is not null").select(
+        "lang", "text", fold.alias("_fold"), F.xxhash64(*labelled.columns).alias("_turn"))
+    sizes = rows.groupBy("lang").agg(F.count_if("_fold").alias("inner"), F.count("*").alias("all")).collect()
+    languages = sorted(r["lang"] for r in sizes)
+    if not languages:
+        return TextModel([], np.zeros((0, 1 << BITS)))
+    share = {r["lang"]: min(1.0, sample_rows / (r["inner"] or r["all"])) for r in sizes}
+    whole = [r["lang"] for r in sizes if not r["inner"]]
+    taken = F.lit(False)
+    for lang, part in share.items():
+        on = (F.pmod("_turn", F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))) & (F.lit(lang in whole) | F.col("_fold"))
+        taken = F.when(F.col("lang") == lang, on).otherwise(taken)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(languages), 1 << BITS), np.int64)
+        place = {x: i for i, x in enumerate(languages)}
+        for batch in sliced(batches):
+            code, text = trigrams(batch.column("text"))
+            of = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)[text]
+            total += np.bincount(of << BITS | code, minlength=total.size).reshape(total.shape)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "n"])
+
+    counts = np.zeros(len(languages) << BITS)
+    got = rows.where(taken).select("lang", "text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    return TextModel(languages, counts.reshape(len(languages), -1))
 
 
 def text_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -84,15 +114,16 @@ def text_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     known = lambda c: F.when(c != "", c)
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), known(host).alias("host"),
-        known(F.lower(F.regexp_extract(F.substring("html", 1, 4096), _MARKUP, 1))).alias("declared"),
         F.col("html").cast("string").alias("_text"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
-            texts = pa.array([visible(x) for x in batch.column("_text").to_pylist()], pa.string())
+            pages_in = batch.column("_text").to_pylist()
+            texts = pa.array([visible(x) for x in pages_in], pa.string())
+            declared = pa.array([declared_language(x) for x in pages_in], pa.string())
             q = model.posteriors(texts)
             cells = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * q.shape[1], pa.int32()), pa.array(q.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "declared")), cells],
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), declared, cells],
                                              names=["page_id", "host", "declared", "q"])
 
     found = rows.mapInArrow(weigh, "page_id bigint, host string, declared string, q array<double>")

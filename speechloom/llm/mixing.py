@@ -74,19 +74,14 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
 
 
-def mixed_copies(docs: DataFrame, targets: Mapping[str, float] | None = None, epochs: float = 1.0,
-                 seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as drawn, with ``copy`` (from 1) and ``shuffle_key``, in random order.
+def _drawn(docs: DataFrame, targets: Mapping[str, float] | None, epochs: float, seed: int) -> DataFrame:
+    """``_row`` (all columns of a row), ``copy`` and ``shuffle_key`` of every copy, in random order.
 
-    Rows with the same id are drawn alike; a null id has its own draw. Empty and null texts count one byte. Sources with
-    weight 0 are left out, as their target says. An empty table gives no rows. ``copy`` and ``shuffle_key`` of the
-    input are replaced. The rates are one row per source, written once; Spark sends them along with the scan
-    if their files are small enough, else it joins by shuffle and splits hot sources.
+    The rates are one row per source, written once; Spark sends them along with the scan if their files are small
+    enough, else it joins by shuffle and splits hot sources.
     """
-    docs = docs.drop("copy", "shuffle_key")
     rates = checkpointed(source_rates(docs, targets, epochs))
-    names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), _key(F.col("source")).alias("source_key"))
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), _key(docs["source"]).alias("source_key"))
     drawn = lambda part: uniform(hashed(seed, F.col("_id"), part))
     below = lambda part: F.size(F.filter("cdf", lambda c: c <= drawn(part)))
     count = F.when(F.col("parts") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).otherwise(
@@ -100,8 +95,24 @@ def mixed_copies(docs: DataFrame, targets: Mapping[str, float] | None = None, ep
         .withColumn("shuffle_key", hashed(seed, "copy", F.col("_id"), F.col("copy")))
     )
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (copies.repartition(width, "shuffle_key").sortWithinPartitions("shuffle_key")
-            .select(*[F.col("_row")[c].alias(c) for c in names], "copy", "shuffle_key"))
+    return copies.repartition(width, "shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def mixed_copies(docs: DataFrame, targets: Mapping[str, float] | None = None, epochs: float = 1.0,
+                 seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as drawn, with ``copy`` (from 1) and ``shuffle_key``, in random order.
+
+    Rows with the same id are drawn alike; a null id has its own draw. Empty and null texts count one byte. Sources with
+    weight 0 are left out, as their target says. An empty table gives no rows. ``copy`` and ``shuffle_key`` of the
+    input are replaced.
+    """
+    docs = docs.drop("copy", "shuffle_key")
+    return _drawn(docs, targets, epochs, seed).select(*[F.col("_row")[c].alias(c) for c in docs.columns], "copy", "shuffle_key")
+
+
+def mixed_rows(docs: DataFrame, targets: Mapping[str, float] | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
+    """``mixed_copies`` with the columns of ``docs`` and no others, whatever these are called."""
+    return _drawn(docs, targets, epochs, seed).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def mixture(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, mixed, ragged, seeded, sliced, worker_cache
+from speechloom.llm.batches import distinct_slices, flat, mixed, ragged, seeded, sliced, worker_cache
 
 SEED = 8
 THETA = 1.0
@@ -226,15 +226,11 @@ def sample_pieces(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, keys: n
         return np.zeros(0, np.int64), np.zeros(n_texts, np.int64)
     starts = pieces.units(data, offsets)
     ends = np.append(starts[1:], len(data))
-    coded = pa.array(RangeHash(data).of(starts, ends)).dictionary_encode()
-    codes = coded.indices.to_numpy()
-    first = np.zeros(len(coded.dictionary), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    sizes = (ends - starts)[first]
-    rows, at = ragged(sizes)
-    lattice = pieces.lattice(data[starts[first][rows] + at], np.cumsum(sizes) - sizes)
+    codes, units = distinct_slices(data, starts)
+    unit_data, unit_bounds = flat(units)
+    lattice = pieces.lattice(unit_data, unit_bounds[:-1])
     owner = np.searchsorted(offsets, starts, "right") - 1
-    out, arcs = lattice.draw(codes.astype(np.int64), ends, keys[owner], ends - offsets[owner], ends - starts)
+    out, arcs = lattice.draw(codes, ends, keys[owner], ends - offsets[owner], ends - starts)
     arc_at = np.full(len(data) + 1, -1, np.int64)
     arc_at[out] = arcs
     places = np.flatnonzero(arc_at >= 0)

@@ -153,7 +153,7 @@ def quality_facts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to keep them, with their own columns only."""
     columns = docs.columns
-    tagged = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), F.col("text"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("_row"), F.col("text"))
     return judged(tagged).where("kept").select(*[F.col("_row")[c].alias(c) for c in columns])
 
 

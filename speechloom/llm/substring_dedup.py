@@ -19,11 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, in_rows, mixed, ragged, sliced
+from speechloom.llm.batches import RangeHash, distinct_slices, flat, in_rows, mixed, ragged, sliced
+from speechloom.llm.grouped import with_group_values
+from speechloom.llm.names import clashes, named, with_new_names
 from speechloom.llm.suffix_arrays import permuted_lcp, suffix_array
-from speechloom.plans.blocks import checkpointed
+from speechloom.plans.blocks import checkpointed, inner_tables
 
 LENGTH = 50
 GRAM = 16
@@ -60,24 +63,29 @@ def segments_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return window[first], window[last], mixed(hashes[own[first]] ^ np.uint64(1)) >> np.uint64(16), text[first]
 
 
-def text_names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each text."""
-    return RangeHash(data, seed=64).of(offsets[:-1], offsets[1:]).view(np.int64)
+def text_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    raw, cut = memoryview(data.tobytes()), offsets.tolist()
+    return [hashlib.sha256(raw[a:b]).digest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def text_names(data: np.ndarray, offsets: np.ndarray, renames: dict) -> np.ndarray:
+    """The name of each text, from its SHA-256."""
+    return named(b"".join(d[:16] for d in text_digests(data, offsets)), renames)[0]
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, name, sha256`` of every text."""
+    """``doc_id, n_bytes, name, name2, sha256`` of every text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text", SLICE):
             data, offsets = flat(batch.column("_text"))
-            raw, cut = memoryview(data.tobytes()), offsets.tolist()
-            digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            digests = text_digests(data, offsets)
+            name, second = named(b"".join(d[:16] for d in digests))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(text_names(data, offsets)), pa.array(digests)],
-                names=["doc_id", "n_bytes", "name", "sha256"])
+                [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(name), pa.array(second), pa.array([d.hex() for d in digests], pa.string())],
+                names=["doc_id", "n_bytes", "name", "name2", "sha256"])
 
-    return docs.mapInArrow(describe, "doc_id bigint, n_bytes bigint, name bigint, sha256 string")
+    return docs.mapInArrow(describe, "doc_id bigint, n_bytes bigint, name bigint, name2 bigint, sha256 string")
 
 
 def packed_rows(gram: np.ndarray, name: np.ndarray) -> bytes:
@@ -107,13 +115,14 @@ def _by_name(gram: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(name[first]), pa.array(cells, pa.binary())], names=["name", "grams"])
 
 
-def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, block``: packed (anchor, text name) rows; negative buckets hold those found shared within a task."""
+def anchor_blocks(docs: DataFrame, buckets: int, renames: dict) -> DataFrame:
+    """``bucket, block``: packed (anchor, text name) rows; a negative bucket of its own holds each block of those found shared
+    within a task, which need no further grouping."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = turn = 0
+        size, turn = 0, TaskContext.get().partitionId() << 24
 
         def flushed() -> pa.RecordBatch:
             nonlocal held, size, turn
@@ -128,7 +137,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             shared = np.repeat(run > 1, run)
             keys, blocks = [], []
             if shared.any():
-                keys.append(-1 - turn % 64)
+                keys.append(-turn)
                 blocks.append(packed_rows(gram[shared], name[shared]))
             gram, name = gram[first], name[first]
             bucket = ((gram >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
@@ -140,7 +149,7 @@ def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in sliced(batches, "_text", SLICE):
             data, offsets = flat(batch.column("_text"))
-            names = text_names(data, offsets)
+            names = text_names(data, offsets, renames)
             fresh = np.array([not (x in seen or seen.add(x)) for x in names.tolist()], bool)
             if len(seen) > SEEN:
                 seen.clear()
@@ -191,7 +200,7 @@ def shared_anchors(blocks: DataFrame, homes: int) -> DataFrame:
     return found.groupBy("home").applyInArrow(gather, "name bigint, grams binary")
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
+def packed_texts(docs: DataFrame, renames: dict) -> DataFrame:
     """``doc_id, name, packed``: compressed texts."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,28 +212,30 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             raw, cut = data.tobytes(), offsets.tolist()
             cells = [pack(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(text_names(data, offsets)), pa.array(cells, pa.binary())],
+                [batch.column("doc_id"), pa.array(text_names(data, offsets, renames)), pa.array(cells, pa.binary())],
                 names=["doc_id", "name", "packed"])
 
     return docs.mapInArrow(squeeze, "doc_id bigint, name bigint, packed binary")
 
 
 def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
-    """``shard, block``: packed segments; shard -1 holds ranges that are decided already, as (name, start, end)."""
+    """``shard, block``: packed segments; a negative shard of its own holds each block of ranges that are decided already, as
+    (name, start, end)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         expand, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         held: list[tuple] = []
-        size = turn = 0
+        size, turn = 0, TaskContext.get().partitionId() << 24
 
         def flushed() -> pa.RecordBatch:
             nonlocal held, size, turn
-            content, gram, doc, name, start, length = (np.concatenate([h[i] for h in held]) for i in range(6))
-            body = np.concatenate([h[6] for h in held])
+            gram, doc, name, start, length = (np.concatenate([h[i] for h in held]) for i in range(5))
+            body = np.concatenate([h[5] for h in held])
             held, size, turn = [], 0, turn + 1
             begin = np.cumsum(length) - length
+            content, _ = distinct_slices(body, begin)
             order = np.lexsort((doc, content))
             first = np.flatnonzero(np.append(True, content[order][1:] != content[order][:-1]))
             run = np.diff(np.append(first, len(order)))
@@ -233,7 +244,7 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
             later = doc > least
             keys, blocks = [], []
             if later.any():
-                keys.append(-1 - turn % 64)
+                keys.append(-turn)
                 blocks.append(np.concatenate([name[later], start[later], (start + length)[later]]).astype("<i8").tobytes())
             todo = np.flatnonzero(~later)
             shard = ((gram[todo] >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)
@@ -265,7 +276,7 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
                     continue
                 end = last + LENGTH
                 rows, off = ragged(end - first)
-                held.append((RangeHash(data).of(first, end), gram, part.column("doc").to_numpy()[text], part.column("name").to_numpy()[text],
+                held.append((gram, part.column("doc").to_numpy()[text], part.column("name").to_numpy()[text],
                              first - offsets[text], end - first, data[first[rows] + off]))
                 size += len(rows)
                 if size >= SEGMENT_FLUSH:
@@ -298,7 +309,7 @@ def _ranges(table: pa.Table) -> pa.Table:
     body = np.concatenate(bodies)
     begin = np.cumsum(length) - length
     # Each content stands once, with the smallest document that has it.
-    content = RangeHash(body).of(begin, begin + length)
+    content, _ = distinct_slices(body, begin)
     order = np.lexsort((doc, content))
     head = np.append(True, content[order][1:] != content[order][:-1])
     first = order[head]
@@ -345,25 +356,45 @@ def joined_ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np
     return starts[first], reach[np.append(first[1:], len(starts)) - 1]
 
 
+def _reps(info: DataFrame) -> DataFrame:
+    """A row per name: the smallest document, the text's size, how many rows have it, and the bounds of second names."""
+    return checkpointed(info.where(f"n_bytes >= {LENGTH} and doc_id is not null").groupBy("name").agg(
+        F.min("doc_id").alias("rep"), F.first("n_bytes").alias("size"), F.count("*").alias("_rows"),
+        F.min("name2").alias("low2"), F.max("name2").alias("high2")))
+
+
 def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is known of every row (``described`` with ``rep``, the smallest document of equal text), and for each text with
     removed ranges ``name, packed, ranges``. ``docs`` has ``doc_id, _text``."""
     info = checkpointed(described(docs))
     docs = docs.where("doc_id is not null")
-    reps = checkpointed(info.where(f"n_bytes >= {LENGTH} and doc_id is not null").groupBy("name").agg(
-        F.min("doc_id").alias("rep"), F.first("n_bytes").alias("size")))
+    reps = _reps(info)
+    if renames := clashes(reps, info.where(f"n_bytes >= {LENGTH}")):
+        info = with_new_names(info, renames)
+        reps = _reps(info)
     total = int(reps.agg(F.sum("size")).first()[0] or 0)
     buckets = max(1, total // (18 * FLUSH))
-    shared = checkpointed(shared_anchors(anchor_blocks(docs, buckets), buckets))
+    shared = checkpointed(shared_anchors(anchor_blocks(docs, buckets, renames), buckets))
     grams = shared.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
     shards = max(1, int(grams) // 8 * 68 // SHARD_BYTES)
     asked = shared.join(reps, "name").select(
         F.col("rep").alias("doc_id"), "name", "grams")
-    texts = checkpointed(packed_texts(docs).join(asked, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]))
+    texts = checkpointed(packed_texts(docs, renames).join(asked, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]))
     ranges = segment_blocks(texts, shards).groupBy("shard").applyInArrow(_ranges, "name bigint, start bigint, stop bigint")
     ranges = ranges.groupBy("name").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     cut = texts.select("name", "packed").join(ranges, "name")
-    return info.join(reps.select("name", "rep"), "name", "left"), cut
+    # Names with many copies are few and broadcast.
+    many = checkpointed(reps.where("_rows > 1").select("name", "rep", "_rows"))
+    facts = with_group_values(info, many, ["name"], "_rows", how="left")
+    return checkpointed(facts.select("doc_id", "n_bytes", "name", "sha256", F.coalesce("rep", "doc_id").alias("rep"))), cut
+
+
+def _joined(info: DataFrame, results: DataFrame) -> DataFrame:
+    """All rows with the result of their text; copies of an earlier document go whole and ask for none."""
+    copy = F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))
+    alone = info.where(~copy).join(results, "name", "left")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in results.schema if f.name != "name"]
+    return alone.select(*info.columns, *[c for c in results.columns if c != "name"]).union(info.where(copy).select(*info.columns, *nothing))
 
 
 def _kept(raw: bytes, ranges: list[dict]) -> tuple[bytes, int, int, str]:
@@ -414,29 +445,34 @@ def substring_cuts(docs: DataFrame) -> DataFrame:
     Rows with equal id and text are one document, so they keep what that keeps. Other columns are not read; an
     empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("_text"))
-    info, cut = _cuts(docs)
-    copy = F.col("doc_id") > F.col("rep")
-    return info.join(_results(cut, texts=False), "name", "left").select(
-        "doc_id", "n_bytes",
-        F.when(F.col("doc_id").isNull(), 0).when(copy, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(F.col("doc_id").isNull(), 0).when(copy, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(F.col("doc_id").isNull(), F.col("sha256")).when(copy, _EMPTY).otherwise(F.coalesce("digest", "sha256")).alias("kept_sha256"))
+    narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("_text"))
+    with inner_tables(docs.sparkSession) as kept:
+        info, cut = _cuts(narrow)
+        copy = F.col("doc_id") > F.col("rep")
+        return kept(_joined(info, _results(cut, texts=False)).select(
+            "doc_id", "n_bytes",
+            F.when(F.col("doc_id").isNull(), 0).when(copy, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("bigint").alias("n_removed"),
+            F.when(F.col("doc_id").isNull(), 0).when(copy, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("bigint").alias("n_spans"),
+            F.when(F.col("doc_id").isNull(), F.col("sha256")).when(copy, _EMPTY).otherwise(F.coalesce("digest", "sha256")).alias("kept_sha256")))
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """The documents with repeated substrings removed from ``text``; ``n_chars``, where there is one, counts what is left.
 
-    A character of which only some bytes repeat stays. All rows stay, with empty texts where everything repeats.
+    A character of which only some bytes repeat stays. All rows and columns stay, with empty texts where everything repeats; null
+    texts stay null and rows with a null id as they are.
     """
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("_text"))
-    info, cut = _cuts(narrow)
-    changed = info.join(_results(cut, texts=True), "name", "left").where(
-        "doc_id is not null and (doc_id > rep or gone is not null)").select(
-        F.col("doc_id").alias("_doc"), F.col("sha256").alias("_was"),
-        F.when(F.col("doc_id") > F.col("rep"), F.lit("")).otherwise(F.col("left")).alias("_left"))
-    changed = checkpointed(changed.dropDuplicates(["_doc", "_was"]))
-    text = F.coalesce("_left", "text")
-    out = docs.join(changed, (docs["doc_id"] == changed["_doc"]) & (F.sha2(docs["text"], 256) == changed["_was"]), "left")
-    columns = {"text": text, "n_chars": F.coalesce(F.length(text).cast("bigint"), F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return out.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
+    with inner_tables(docs.sparkSession) as kept:
+        info, cut = _cuts(narrow)
+        changed = _joined(info, _results(cut, texts=True)).where(
+            "doc_id is not null and (doc_id > rep or gone is not null)").select(
+            F.col("doc_id").alias("_doc"), F.col("sha256").alias("_was"),
+            F.when(F.col("doc_id") > F.col("rep"), F.lit("")).otherwise(F.col("left")).alias("_left"))
+        changed = kept(changed.dropDuplicates(["_doc", "_was"]))
+    # The row travels as one struct, so that none of its columns can meet one of the join's.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"))
+    out = rows.join(changed, (F.col("row.doc_id") == F.col("_doc")) & (F.sha2(F.col("row.text"), 256) == F.col("_was")), "left")
+    text = F.coalesce("_left", "row.text")
+    columns = {"text": text, "n_chars": F.coalesce(F.length(text).cast("bigint"), F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

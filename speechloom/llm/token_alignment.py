@@ -21,11 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import binary_array, flat, ragged, sliced, worker_cache
+from speechloom.llm.batches import distinct_slices, flat, ragged, sliced, worker_cache
 from speechloom.llm.grouped import with_group_values
 from speechloom.plans.blocks import checkpointed, inner_tables, shuffle_width
 
@@ -143,8 +142,8 @@ def tokenized(data: np.ndarray, offsets: np.ndarray, memories: list[Memory]) ->
     sizes = np.diff(offsets)
     cut[offsets[:-1][sizes > 0]] = True
     starts = np.flatnonzero(cut)
-    coded = binary_array(data, np.append(starts, len(data)) if len(starts) else np.zeros(1), pa.large_binary()).dictionary_encode()
-    codes, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    codes, found = distinct_slices(data, starts)
+    units = found.to_pylist()
     of_text = np.searchsorted(starts, offsets)
     out = []
     for memory in memories:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from speechloom.llm.batches import RangeHash, flat, ragged, sliced, worker_cache
+from speechloom.llm.batches import distinct_slices, flat, ragged, sliced, worker_cache
 from speechloom.plans.blocks import checkpointed
 
 END_ID = 0
@@ -33,7 +33,7 @@ LANES = 4096
 MAGIC = b"SLTB"
 _HEAD = "<4sIQI"
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
-MAX_UNITS = 1_000_000
+MAX_UNITS = 400_000
 JOINT_UNITS = 256
 BLOCKS_SCHEMA = "part int, block int, first_token bigint, n_docs bigint, n_tokens bigint, payload binary"
 
@@ -61,7 +61,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.begins, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +77,8 @@ class Encoder:
         sizes = np.diff(offsets)
         cut[offsets[:-1][sizes > 0]] = True
         starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(data))
-        coded = pa.array(RangeHash(data).of(starts, ends)).dictionary_encode()
-        codes = coded.indices.to_numpy()
-        first = np.zeros(len(coded.dictionary), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        place = self._places(coded.dictionary.to_numpy(), data, starts[first], ends[first])[codes]
+        codes, units = distinct_slices(data, starts)
+        place = self._places(units.to_pylist())[codes]
         lengths = self.begins[place + 1] - self.begins[place]
         rows, at = ragged(lengths)
         ids = self.ids[self.begins[place][rows] + at]
@@ -90,33 +86,29 @@ class Encoder:
         of_text = np.searchsorted(starts, offsets)
         return ids, running[of_text[1:]] - running[of_text[:-1]]
 
-    def _places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        known, keys = self.known, hashes.tolist()
-        new = [i for i, key in enumerate(keys) if key not in known]
+    def _places(self, units: list[bytes]) -> np.ndarray:
+        known = self.known
+        new = [u for u in units if u not in known]
         if new:
-            raw = data.tobytes()
-            begin, end = starts[new], ends[new]
             # Cuts that a blank opens and a visible sign closes may stand together in one request.
-            plain = (data[begin] == 0x20) & (data[end - 1] > 0x20) & (data[end - 1] < 0x7F)
-            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-            new = [new[i] for i in order.tolist()]
-            begin, end, joint = begin[order], end[order], int(plain.sum())
-            cells = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            texts = [b"".join(cells[i: min(i + JOINT_UNITS, joint)]).decode() for i in range(0, joint, JOINT_UNITS)]
-            texts += [x.decode() for x in cells[joint:]]
+            plain = [u[0] == 0x20 and 0x20 < u[-1] < 0x7F for u in new]
+            joint = [u for u, p in zip(new, plain, strict=True) if p]
+            alone = [u for u, p in zip(new, plain, strict=True) if not p]
+            texts = [b"".join(joint[i: i + JOINT_UNITS]).decode() for i in range(0, len(joint), JOINT_UNITS)]
+            texts += [u.decode() for u in alone]
+            new = joint + alone
             got = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             fresh = np.fromiter((i for ids in got for i in ids), np.uint32)
             # Tokens cover the bytes one after the other, so lengths tell which cut each belongs to.
             covered = np.concatenate([[0], np.cumsum(self.width[fresh])])
-            lengths = np.diff(np.searchsorted(covered, np.concatenate([[0], np.cumsum(end - begin)])))
+            lengths = np.diff(np.searchsorted(covered, np.concatenate([[0], np.cumsum([len(u) for u in new])])))
             while self.used + len(fresh) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used: self.used + len(fresh)] = fresh
             self.begins = np.concatenate([self.begins, self.used + np.cumsum(lengths)])
             self.used += len(fresh)
-            base = len(known)
-            known.update((keys[i], base + n) for n, i in enumerate(new))
-        return np.fromiter((known[key] for key in keys), np.int64, len(keys))
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
 
 def encoder(path: str) -> Encoder:

@@ -172,7 +172,7 @@ def merge_equal_sentences(sentences: DataFrame, lang: Column | None = None) -> D
     """Join sentences of a segment that share both times; rows without times are dropped.
 
     ``first_idx`` orders the result, ``members`` lists the merged sentences. Other columns of ``sentences``
-    named ``avg_logprob`` or ``words`` are carried: the first value, and the concatenated lists.
+    named ``avg_logprob``, ``words`` or ``chars`` are carried: the first value, and the concatenated lists.
     """
     glue = joiner(lang) if lang is not None else F.lit(" ")
     aggregates = [
@@ -181,8 +181,9 @@ def merge_equal_sentences(sentences: DataFrame, lang: Column | None = None) -> D
     ]
     if "avg_logprob" in sentences.columns:
         aggregates.append(F.min_by("avg_logprob", "sentence_idx").alias("avg_logprob"))
-    if "words" in sentences.columns:
-        aggregates.append(F.sort_array(F.collect_list(F.struct("sentence_idx", "words"))).alias("_lists"))
+    lists = [c for c in ("words", "chars") if c in sentences.columns]
+    for c in lists:
+        aggregates.append(F.sort_array(F.collect_list(F.struct("sentence_idx", c))).alias(f"_{c}"))
     if lang is not None:
         aggregates.append(F.first(glue).alias("_glue"))
     merged = sentences.filter(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()).groupBy(
@@ -193,20 +194,25 @@ def merge_equal_sentences(sentences: DataFrame, lang: Column | None = None) -> D
     else:
         joined = F.when(F.col("_glue") == "", F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
     out = merged.withColumn("text", joined).withColumn("members", F.transform("_parts", lambda x: x["sentence_idx"]))
-    if "words" in sentences.columns:
-        out = out.withColumn("words", F.flatten(F.transform("_lists", lambda x: x["words"])))
-    return out.drop("_parts", "_lists", "_glue")
+    for c in lists:
+        out = out.withColumn(c, F.flatten(F.transform(f"_{c}", lambda x, c=c: x[c])))
+    return out.drop("_parts", "_glue", *[f"_{c}" for c in lists])
 
 
 def with_fallbacks(aligned: DataFrame, passed: DataFrame) -> DataFrame:
     """Aligned sentences and the segments that could not be aligned, in segment order.
 
-    ``part`` orders the rows of a segment; a segment passed through is its own single part without words.
+    ``part`` orders the rows of a segment; a segment passed through is its own single part without words and characters.
     """
+    extra = [c for c in ("avg_logprob", "chars") if c in aligned.columns]
+
+    def carried(rows: DataFrame) -> list[Column]:
+        return [F.col(c) if c in rows.columns else F.array().cast(aligned.schema[c].dataType).alias(c) for c in extra]
+
     kept = passed.select(*SEGMENT, F.lit(0).cast("bigint").alias("part"), "start_ms", "end_ms", "text",
-                         F.col("fail_reason"))
+                         F.col("fail_reason"), *carried(passed))
     done = aligned.select(*SEGMENT, F.col("first_idx").cast("bigint").alias("part"), "start_ms", "end_ms", "text",
-                          F.lit(None).cast("string").alias("fail_reason"))
+                          F.lit(None).cast("string").alias("fail_reason"), *carried(aligned))
     return done.unionByName(kept)
 
 

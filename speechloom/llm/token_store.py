@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from speechloom.llm.batches import distinct_slices, flat, ragged, sliced, worker_cache
-from speechloom.plans.blocks import checkpointed
+from speechloom.plans.blocks import checkpointed, dropped, inner_tables, shared_folder
 
 END_ID = 0
 SCALE = 20
@@ -35,6 +35,7 @@ _HEAD = "<4sIQI"
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 MAX_UNITS = 400_000
 JOINT_UNITS = 256
+TABLE_SCHEMA = "magic string, scale int, width int, ids array<int>, frequencies array<bigint>"
 BLOCKS_SCHEMA = "part int, block int, first_token bigint, n_docs bigint, n_tokens bigint, payload binary"
 
 
@@ -286,7 +287,10 @@ def id_counts(coded: DataFrame) -> np.ndarray:
 
 
 def write_store(docs: DataFrame, tokenizer: str, folder: str) -> np.ndarray:
-    """Write all documents to ``folder`` in ascending order of id; returns the shared frequencies.
+    """Write all documents to ``folder`` in ascending order of id, with the shared frequencies; returns these.
+
+    ``folder/table`` holds what a reader needs besides the blocks: magic, scale, the size of the id space, and the frequency of
+    every id that occurs. ``folder/blocks`` holds the blocks.
 
     Rows without text hold the end id alone; null ids come first; rows of the same id follow one another in some order. An empty
     table gives an empty store. Texts pass Python once; the ids are cut off as a table, counted, and dealt by ranges of id.
@@ -320,13 +324,30 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str) -> np.ndarray:
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = coded.repartitionByRange(width, "doc_id", "row").sortWithinPartitions("doc_id", "row").select(
         "doc_id", "width", "ids").mapInArrow(encode, BLOCKS_SCHEMA)
-    blocks.write.parquet(folder, compression="none")
+    blocks.write.parquet(f"{folder}/blocks", compression="none")
+    used = np.flatnonzero(frequencies)
+    shared = [(MAGIC.decode(), SCALE, len(frequencies), used.tolist(), frequencies[used].tolist())]
+    docs.sparkSession.createDataFrame(shared, TABLE_SCHEMA).coalesce(1).write.parquet(f"{folder}/table")
     return frequencies
 
 
-def read_store(spark: SparkSession, folder: str, frequencies: np.ndarray) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` decoded from the blocks; ``start`` counts the ids of all documents before."""
-    blocks = spark.read.schema(BLOCKS_SCHEMA).parquet(folder)
+def read_frequencies(spark: SparkSession, folder: str) -> np.ndarray:
+    """The shared frequencies of a store, bounded by its vocabulary."""
+    head = spark.read.schema(TABLE_SCHEMA).parquet(f"{folder}/table").first()
+    if head is None or head["magic"] != MAGIC.decode() or head["scale"] != SCALE:
+        raise ValueError(f"{folder} is no store of token ids that this reader knows")
+    out = np.zeros(head["width"], np.int64)
+    out[np.array(head["ids"], np.int64)] = head["frequencies"]
+    return out
+
+
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` decoded from the blocks; ``start`` counts the ids of all documents before.
+
+    A folder is all it needs, in any session.
+    """
+    frequencies = read_frequencies(spark, folder)
+    blocks = spark.read.schema(BLOCKS_SCHEMA).parquet(f"{folder}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).toPandas()  # a row per part file
     sizes = np.zeros(int(totals["part"].max()) + 1 if len(totals) else 1, np.int64)
     sizes[totals["part"].to_numpy(np.int64)] = totals["n"].to_numpy(np.int64)
@@ -352,11 +373,9 @@ def read_store(spark: SparkSession, folder: str, frequencies: np.ndarray) -> Dat
 def stored(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The registered query: write a store into the shared folder, and read it back."""
     spark = docs.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        checkpointed(spark.range(0))  # sets the folder of a local session
-        base = spark.sparkContext.getCheckpointDir()
-    folder = f"{base}/tokens-{uuid.uuid4().hex}"
-    return read_store(spark, folder, write_store(docs, tokenizer, folder))
-
-
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    with inner_tables(spark) as kept:
+        write_store(docs, tokenizer, folder)
+        out = kept(read_store(spark, folder))
+    dropped(spark, folder)
+    return out

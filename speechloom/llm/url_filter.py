@@ -64,9 +64,12 @@ def longest_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[
 
 
 def gram_table(grams: DataFrame, order: int) -> DataFrame:
-    """``gram, accepted, rejected``: smoothed probabilities of the last character of each n-gram given those before."""
-    counts = checkpointed(grams.groupBy("gram").agg(
-        F.count_if(F.col("known") == F.lit(True)).alias("a"), F.count_if(F.col("known") == F.lit(False)).alias("r")))
+    """``gram, accepted, rejected``: smoothed probabilities of the last character of each n-gram given those before.
+
+    A row of ``grams`` stands for ``_times`` equal ones.
+    """
+    times = lambda known: F.coalesce(F.sum(F.when(F.col("known") == F.lit(known), F.col("_times"))), F.lit(0).cast("bigint"))
+    counts = checkpointed(grams.groupBy("gram").agg(times(True).alias("a"), times(False).alias("r")))
     below = None
     for k in range(order + 1):
         key = F.substr("gram", F.length("gram") - k)
@@ -126,8 +129,7 @@ def judged_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, order: int =
     texts = texts.select(
         "whole", F.when(F.col("fold") > 0, F.col("allow")).alias("known"), "_times",
         F.explode(F.transform(F.sequence(F.lit(1), F.length("whole") + 1), lambda i: F.substr(padded, i, F.lit(order + 1)))).alias("gram"))
-    # A repeated address counts as often as it stands there.
-    table = gram_table(texts.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))), order)
+    table = gram_table(texts, order)  # a repeated address counts as often as it stands there
     gain = F.sum(F.ln("accepted") - F.ln("rejected")) / (F.length("whole") + 1)
     scores = checkpointed(texts.select("whole", "gram").join(table, "gram").groupBy("whole").agg(gain.alias("score")))
     scored = urls.join(scores, "whole")

@@ -113,3 +113,30 @@ def test_no_key_gets_a_block_of_every_task(spark, docs):
     for blocks in (jj.signature_blocks(narrow, 4, {}), sd.anchor_blocks(narrow, 4, {})):
         most = blocks.where("bucket < 0").groupBy("bucket").count().agg(F.max("count")).first()[0]
         assert most == 1
+
+
+def test_store_is_read_by_its_folder_alone(spark, docs, tmp_path):
+    ts.write_store(docs, byte_tokenizer(), f"{tmp_path}/store")
+    got = {r["doc_id"]: r["n_tokens"] for r in ts.read_store(spark.newSession(), f"{tmp_path}/store").collect()}
+    assert got == {r["doc_id"]: r["n_tokens"] for r in ts.stored(docs, byte_tokenizer()).collect()} and len(got) == docs.count()
+    with pytest.raises(Exception):
+        ts.read_store(spark, f"{tmp_path}/nothing")
+
+
+def test_cost_of_a_rule_is_its_own(spark, docs):
+    """Of two rules that reject the same rows the cheap one goes first, however short the sample."""
+    from speechloom.llm import quality_rules as qr
+
+    dear = F.size(F.filter("_words", lambda w: F.length(F.sha2(F.concat(w, w), 512)) > 0)) > 40
+    pair = (qr.Rule("a_dear", dear), qr.Rule("b_cheap", F.size("_words") > 40))
+    for _ in range(3):
+        assert [r.name for r in qr.ordered(docs.select("text"), pair)] == ["b_cheap", "a_dear"]
+
+
+def test_an_address_repeated_often_is_one_row(spark):
+    from speechloom.llm import url_filter as uf
+
+    rows = [(i, "https://x.org/about" if i % 3 else f"https://y{i}.com/de/a") for i in range(3000)] + [(9000, None), (None, "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = uf.judged_urls(pages).collect()
+    assert len(got) == len(rows) and {r["verdict"] for r in got if r["rule"] == "org/"} == {"allow"}

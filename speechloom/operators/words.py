@@ -195,7 +195,7 @@ def merge_equal_sentences(sentences: DataFrame, lang: Column | None = None) -> D
         joined = F.when(F.col("_glue") == "", F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
     out = merged.withColumn("text", joined).withColumn("members", F.transform("_parts", lambda x: x["sentence_idx"]))
     for c in lists:
-        out = out.withColumn(c, F.flatten(F.transform(f"_{c}", lambda x, c=c: x[c])))
+        out = out.withColumn(c, F.flatten(F.col(f"_{c}.{c}")))
     return out.drop("_parts", "_glue", *[f"_{c}" for c in lists])
 
 

@@ -36,6 +36,68 @@ def peaks(batches):
         yield batch.assign(n_frames=sizes, n_classes=N_CLASSES, logits=emitted)
 
 
+def clear_voice(letters: str, bar: bool, per_char: int) -> al.Voice:
+    """A stand-in voice whose best path is plain: every character to align has one frame of its own, all others are blank.
+
+    Log-probabilities are binary fractions, so that sums are exact and ties fall alike everywhere.
+    """
+    dictionary = {**{c: i for i, c in enumerate(letters)}, **({"|": len(letters)} if bar else {}), "[pad]": len(letters) + 1}
+    classes, blank = len(letters) + 3, len(letters) + 1
+
+    def model(batches):
+        for batch in batches:
+            sizes, emitted = [], []
+            for text, ids, at in zip(batch["text"], batch["token_ids"], batch["token_cdx"]):
+                frames = per_char * len(text) + 2
+                logp = np.full((frames, classes), -6.0, dtype=np.float32)
+                logp[:, blank] = -0.5
+                row, column = per_char * np.asarray(at, dtype=np.int64) + 1, np.asarray(ids, dtype=np.int64)
+                logp[row, np.where(column < 0, classes - 1, column)] = -0.25
+                logp[row, blank] = -8.0
+                sizes.append(frames)
+                emitted.append(logp.ravel())
+            yield batch.assign(n_frames=sizes, n_classes=classes, logits=emitted)
+
+    return al.Voice(model, dictionary, log_probs=True)
+
+
+#: German is said more slowly here and its dictionary lacks the blank; no voice speaks "xx".
+VOICES = {"en": clear_voice(LETTERS, True, 2), "de": clear_voice(LETTERS + "äöüß", False, 3)}
+
+
+def spoken(spark, sf_dir):
+    """Turns in several languages, with a log-probability."""
+    at = F.col("segment_idx")
+    return segments(spark, sf_dir).withColumns({
+        "lang": F.when(at % 7 == 6, "xx").when(at % 2 == 1, "de").otherwise("en"), "avg_logprob": -(at % 50) / 64.0})
+
+
+def ramps(batches):
+    """A stand-in model in log-probabilities of binary fractions; blanks differ by frame, so paths have something to choose."""
+    for batch in batches:
+        sizes, emitted = [], []
+        for text, ids, at in zip(batch["text"], batch["token_ids"], batch["token_cdx"]):
+            frames = 2 * len(text) + 2
+            logp = np.full((frames, N_CLASSES), -5.0, dtype=np.float32)
+            logp[:, 0] = -1.0 - (np.arange(frames) % 4) / 8.0
+            known = np.asarray(ids, dtype=np.int64) > 0
+            column, row = np.asarray(ids, dtype=np.int64)[known], 2 * np.asarray(at, dtype=np.int64)[known]
+            for step in (1, 2):
+                logp[row + step, column] = -0.25
+                logp[row + step, 0] = -3.0
+            sizes.append(frames)
+            emitted.append(logp.ravel())
+        yield batch.assign(n_frames=sizes, n_classes=N_CLASSES, logits=emitted)
+
+
+def phrases(spark, sf_dir):
+    """Four words at a time as segments of their own."""
+    words = corpus.words(corpus.utterances(spark, sf_dir))
+    place = (F.col("segment_idx") * 1000 + F.floor(F.col("pos") / 4)).cast("bigint")
+    listed = words.groupBy("recording_id", place.alias("segment_idx")).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_w"))
+    return listed.select("recording_id", "segment_idx", F.lit("en").alias("lang"), F.array_join(F.transform("_w", lambda w: w["word"]), " ").alias("text"))
+
+
 def segments(spark, sf_dir):
     """Turns with the length of their recording, which ends with its last turn."""
     turns = corpus.utterances(spark, sf_dir).select(
@@ -122,13 +184,57 @@ def plugin_emissions(spark, sf_dir):
     return ready.select("recording_id", "segment_idx", "n_frames", "n_classes", F.size("logits").alias("n_logits"))
 
 
-def _paths(spark, sf_dir):
-    return al.align_paths(al.emit_with(al.with_tokens(segments(spark, sf_dir), DICTIONARY), peaks))
+# The trellis of the search, one row of scores per frame, for phrases of four words.
+TABLES.update({
+    "phrases": (("words",), """
+        SELECT recording_id, segment_idx * 1000 + pos // 4 AS segment_idx, string_agg(word, ' ' ORDER BY pos) AS text FROM words GROUP BY ALL"""),
+    "phrase_chars": (("phrases",), r"""
+        SELECT recording_id, segment_idx, cdx, CASE WHEN cdx > lead AND cdx <= kept THEN
+            CASE WHEN lower(c) = ' ' THEN 27 WHEN regexp_full_match(lower(c), '[a-z]') THEN unicode(lower(c)) - 96 ELSE -1 END END AS token
+        FROM (SELECT recording_id, segment_idx, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS cdx,
+            length(text) - length(regexp_replace(text, '^\s+', '')) AS lead, length(regexp_replace(text, '\s+$', '')) AS kept FROM phrases WHERE text <> '')"""),
+    "phrase_rows": (("phrase_chars",), """
+        SELECT recording_id, segment_idx, 2 * count(*) + 2 AS frames, coalesce(list(token ORDER BY cdx) FILTER (token IS NOT NULL), []) AS tokens,
+          list(greatest(coalesce(token, 0), 0) ORDER BY cdx) AS peaks FROM phrase_chars GROUP BY ALL"""),
+})
+_PEAK = "(CASE WHEN t BETWEEN 1 AND frames - 2 THEN peaks[(t + 1) // 2] ELSE 0 END)"
+_BLANK = f"(CASE WHEN {_PEAK} > 0 THEN -3.0 ELSE -1.0 - (t % 4) / 8.0 END)::DOUBLE"
+_TOKEN = f"(CASE WHEN {_PEAK} > 0 AND tokens[j] IN (-1, {_PEAK}) THEN -0.25 ELSE -5.0 END)::DOUBLE"
+_STEPS = "STRUCT(t BIGINT, j BIGINT, s DOUBLE)[]"
+_TRELLIS = f"""
+    WITH RECURSIVE trellis AS (
+      SELECT *, len(tokens) AS n, 0 AS t, 0.0::DOUBLE AS blanks, list_transform(tokens, lambda x: '-infinity'::DOUBLE) AS score,
+        [true] AS entered, [0.0::DOUBLE] AS gain, 0.0::DOUBLE AS rest
+      FROM phrase_rows WHERE len(tokens) BETWEEN 1 AND frames
+      UNION ALL
+      SELECT recording_id, segment_idx, frames, tokens, peaks, n, t + 1, blanks + {_BLANK},
+        list_transform(range(1, n + 1), lambda j: greatest(moved[j], stayed[j])), list_transform(range(1, n + 1), lambda j: moved[j] > stayed[j]),
+        list_transform(range(1, n + 1), lambda j: {_TOKEN}), {_BLANK}
+      FROM (SELECT *, list_transform(range(1, n + 1), lambda j:
+            (CASE WHEN j > 1 THEN score[j - 1] WHEN t > frames - n THEN 'infinity'::DOUBLE ELSE blanks END) + {_TOKEN}) AS moved,
+          list_transform(score, lambda s: s + {_BLANK}) AS stayed FROM trellis WHERE t < frames)),
+    ends AS (SELECT recording_id, segment_idx, arg_max(t, (score[n], -t)) AS last FROM trellis WHERE t > 0 GROUP BY ALL),
+    cells AS (
+      SELECT recording_id, segment_idx, any_value(n) AS n,
+        list({{'t': t - 1, 'j': 0, 'entered': entered, 'gain': gain, 'rest': rest, 'path': []::{_STEPS}}} ORDER BY t DESC) AS c
+      FROM trellis JOIN ends USING (recording_id, segment_idx) WHERE t BETWEEN 1 AND last GROUP BY ALL),
+    walked AS (
+      SELECT recording_id, segment_idx, list_reduce(c, lambda a, x: {{'t': x.t, 'j': CASE WHEN a.j > 0 AND x.entered[a.j] THEN a.j - 1 ELSE a.j END,
+          'entered': [true], 'gain': [0.0::DOUBLE], 'rest': 0.0::DOUBLE, 'path': CASE WHEN a.j > 0 THEN list_append(a.path,
+            {{'t': x.t, 'j': a.j - 1, 's': CASE WHEN x.entered[a.j] THEN x.gain[a.j] ELSE x.rest END}}) ELSE a.path END}},
+        {{'t': 0, 'j': n, 'entered': [true], 'gain': [0.0::DOUBLE], 'rest': 0.0::DOUBLE, 'path': []::{_STEPS}}}) AS w FROM cells),
+    points AS (SELECT recording_id, segment_idx, unnest(w.path) AS p FROM walked WHERE w.j = 0)
+    SELECT recording_id, segment_idx, CAST(p.j AS INTEGER) AS token_idx, CAST(p.t AS INTEGER) AS time_idx,
+      CAST(round_even(exp(p.s) * 1000000, 0) AS BIGINT) AS score_micro FROM points
+    UNION ALL
+    SELECT recording_id, segment_idx, NULL, NULL, NULL FROM phrases ANTI JOIN points USING (recording_id, segment_idx)"""
 
 
-@query("ctc_align")
+@query("ctc_align", _TRELLIS, using=("phrase_rows",))
 def ctc_align(spark, sf_dir):
-    return _paths(spark, sf_dir)
+    emitted = al.emit_with(al.with_tokens(phrases(spark, sf_dir), DICTIONARY), ramps)
+    return al.align_paths(emitted, log_probs=True).select(
+        "recording_id", "segment_idx", "token_idx", "time_idx", F.rint(F.col("score") * 1000000).cast("bigint").alias("score_micro"))
 
 
 # A path of known shape: character c of a turn holds frames 2c and 2c + 1.
@@ -232,7 +338,44 @@ def union_fallbacks(spark, sf_dir):
     return wd.with_fallbacks(merged, judged.filter(F.col("fail_reason").isNotNull()))
 
 
-@query("align_corpus")
+_LANG = "CASE WHEN segment_idx % 7 = 6 THEN 'xx' WHEN segment_idx % 2 = 1 THEN 'de' ELSE 'en' END"
+TABLES["spoken_chars"] = (("chars", "sides"), f"""
+    WITH c AS (
+      SELECT c.*, u.lead, u.kept, length(u.text) AS len, {_LANG} AS lang, CASE WHEN segment_idx % 2 = 1 THEN 3 ELSE 2 END AS k
+      FROM chars c JOIN sides u USING (recording_id, segment_idx) WHERE segment_idx % 7 <> 6),
+    f AS (SELECT *, CASE WHEN cdx >= lead AND cdx < kept AND (lang = 'en' OR char NOT IN (' ', '|')) THEN k * cdx + 1 END AS f FROM c),
+    n AS (SELECT *, coalesce(min(f) OVER (PARTITION BY recording_id, segment_idx ORDER BY cdx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+        f + 1) AS g FROM f)
+    SELECT recording_id, segment_idx, char, cdx, t0,
+      CAST(round_even(f * ((60 * len) / (k * len + 2)::DOUBLE) + t0, 0) AS BIGINT) AS s,
+      CASE WHEN f IS NOT NULL THEN CAST(round_even(g * ((60 * len) / (k * len + 2)::DOUBLE) + t0, 0) AS BIGINT) END AS e,
+      CASE WHEN f IS NOT NULL THEN CAST(round_even((exp(-0.25) + (g - f - 1) * exp(-0.5)) / (g - f) * 1000, 0) AS INTEGER) END AS milli FROM n""")
+# The same tables of sentences over these characters; a segment without any is passed through.
+for _name in ("sentence_chars", "rolled_sentences", "filled_sentences"):
+    _reads, _sql = TABLES[_name]
+    for _old in ("char_times", "sentence_chars", "rolled_sentences"):
+        _sql = _sql.replace(_old, "spoken_chars" if _old == "char_times" else f"spoken_{_old}")
+    TABLES[f"spoken_{_name}"] = (tuple("spoken_chars" if x == "char_times" else x if x == "spans" else f"spoken_{x}" for x in _reads), _sql)
+
+
+@query("align_corpus", f"""
+    WITH made AS (
+      SELECT recording_id, segment_idx, start_ms, end_ms, min(sentence_idx)::BIGINT AS part, list(sentence_idx) AS members,
+        string_agg(text, ' ' ORDER BY sentence_idx) AS text FROM spoken_filled_sentences
+      WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL GROUP BY recording_id, segment_idx, start_ms, end_ms),
+    listed AS (
+      SELECT m.recording_id, m.segment_idx, m.part, string_agg(c.char || '|' || coalesce(s, -1) || '|' || coalesce(e, -1) || '|' || coalesce(milli, -1), ','
+        ORDER BY c.sentence_idx, c.cdx) AS chars FROM made m JOIN spoken_sentence_chars c USING (recording_id, segment_idx)
+      WHERE list_contains(m.members, c.sentence_idx) GROUP BY ALL)
+    SELECT recording_id, segment_idx, part, start_ms, end_ms, text, NULL AS fail_reason, -(segment_idx % 50) / 64.0::DOUBLE AS avg_logprob,
+      md5(chars) AS chars_md5 FROM made JOIN listed USING (recording_id, segment_idx, part)
+    UNION ALL
+    SELECT u.recording_id, u.segment_idx, 0, u.start_ms, u.end_ms, u.text, CASE WHEN segment_idx % 7 = 6 THEN 'no_model' ELSE 'no_characters' END,
+      -(segment_idx % 50) / 64.0::DOUBLE, md5('') FROM utterances u
+    WHERE segment_idx % 7 = 6 OR NOT EXISTS (SELECT 1 FROM spoken_chars c WHERE c.recording_id = u.recording_id
+      AND c.segment_idx = u.segment_idx AND c.s IS NOT NULL)""", using=("utterances", "spoken_filled_sentences"))
 def align_corpus(spark, sf_dir):
-    sentences, _ = al.align_corpus(segments(spark, sf_dir), peaks, DICTIONARY)
-    return sentences
+    sentences, _ = al.align_corpus(spoken(spark, sf_dir), VOICES, chars=True)
+    shown = F.transform("chars", lambda c: F.concat_ws(
+        "|", c["char"], *[F.coalesce(x.cast("bigint"), F.lit(-1)) for x in (c["start_ms"], c["end_ms"], F.rint(c["score"] * 1000))]))
+    return sentences.withColumn("chars_md5", F.md5(F.array_join(shown, ","))).drop("chars")

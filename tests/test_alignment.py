@@ -181,3 +181,81 @@ def test_double_blanks_and_abbreviations(spark):
     assert [r.word_idx for r in index][:6] == [0, 0, 1, 2, 2, 2]
     tight = wd.word_index(table.withColumn("lang", F.lit("zh"))).orderBy("cdx").collect()
     assert [r.word_idx for r in tight] == list(range(25))
+
+
+def plain_path(logp, tokens, blank):
+    """The search over the whole matrix of frames and tokens, one cell at a time."""
+    frames, n = len(logp), len(tokens)
+    if not 0 < n <= frames:
+        return None
+    score = np.full((frames + 1, n + 1), -np.inf, dtype=np.float32)
+    score[:, 0] = np.concatenate(([0], np.cumsum(logp[:, blank], dtype=np.float32)))
+    score[frames + 1 - n:, 0] = np.inf
+    for t in range(frames):
+        for j in range(1, n + 1):
+            score[t + 1, j] = max(score[t, j - 1] + logp[t, tokens[j - 1]], score[t, j] + logp[t, blank])
+    t, j, steps = int(score[1:, n].argmax()) + 1, n, []
+    while j > 0 and t > 0:
+        t -= 1
+        entered = score[t, j - 1] + logp[t, tokens[j - 1]] > score[t, j] + logp[t, blank]
+        steps.append((j - 1, t, float(np.exp(np.float64(logp[t, tokens[j - 1] if entered else blank])))))
+        j -= entered
+    return steps[::-1] if j == 0 else None
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_batched_paths_are_those_of_the_whole_matrix(monkeypatch, seed):
+    from speechloom.operators import paths
+
+    r = np.random.default_rng(seed)
+    monkeypatch.setattr(paths, "GROUP_CELLS", int(r.choice([1, 40, 1 << 16])))
+    segments = []
+    for _ in range(40):
+        frames, classes = int(r.integers(0, 40)), int(r.integers(3, 7))
+        logp = (r.integers(-40, 0, (frames, classes)) / 8).astype(np.float32)  # many ties
+        segments.append(paths.Segment(logp, r.integers(0, classes, int(r.integers(0, 12))), int(r.integers(0, classes))))
+    for s, got in zip(segments, paths.best_paths(segments), strict=True):
+        want = plain_path(s.logp, s.tokens, s.blank)
+        if want is None:
+            assert got is None
+        else:
+            assert list(zip(got.token.tolist(), got.frame.tolist(), got.prob.tolist())) == want
+
+
+def test_languages_side_by_side(spark):
+    """Each language has its own characters and blank; what no voice speaks is passed through with its log-probability."""
+    def voice(signs, kind):
+        dictionary = {c: i for i, c in enumerate(signs)}
+        blank = dictionary.get("[pad]", 0)
+
+        def model(batches):
+            for batch in batches:
+                out, frames = [], []
+                for text, ids, at in zip(batch["text"], batch["token_ids"], batch["token_cdx"]):
+                    logits = np.full((2 * len(text) + 1, len(signs)), -9.0, dtype=np.float32)
+                    logits[:, blank] = 0.0
+                    for i, c in zip(ids, at):
+                        logits[2 * c + 1, [blank, max(i, 1)]] = -9.0, 5.0
+                    out.append(logits.ravel())
+                    frames.append(len(logits))
+                yield batch.assign(n_frames=frames, n_classes=len(signs), logits=out)
+
+        return al.Voice(model, dictionary)
+
+    voices = {"en": voice(["<pad>", *"abcdefghijklmnopqrstuvwxyz", "|"], 0), "zh": voice([*"你好吗", "[pad]"], 1)}
+    rows = [("r", 0, "en", "hi there. you", 0, 2600, 9000, -0.5), ("r", 1, "zh", "你好x吗", 2600, 3500, 9000, -0.25), ("r", 2, "fr", "oui", 3500, 4000, 9000, None),
+            ("r", 3, None, "no", 4000, 5000, 9000, -1.0), ("r", 4, "en", None, 5000, 6000, 9000, -2.0)]
+    table = spark.createDataFrame(rows, "recording_id string, segment_idx bigint, lang string, text string, start_ms bigint, end_ms bigint, "
+                                        "audio_ms bigint, avg_logprob double").repartition(3)
+    sentences, words = al.align_corpus(table, voices, chars=True)
+    got = {(s.segment_idx, s.part): s for s in sentences.collect()}
+    assert [(k, s.fail_reason, s.avg_logprob) for k, s in sorted(got.items())] == [
+        ((0, 0), None, -0.5), ((0, 1), None, -0.5), ((1, 0), None, -0.25), ((2, 0), "no_model", None), ((3, 0), "no_model", -1.0), ((4, 0), "no_characters", -2.0)]
+    assert [c.char for c in got[0, 1].chars] == list("you") and all(c.start_ms is not None for c in got[0, 1].chars)
+    assert [(c.char, c.start_ms) for c in got[1, 0].chars] == [("你", 2700), ("好", 2900), ("x", 3100), ("吗", 3300)]
+    assert got[2, 0].chars == [] and got[4, 0].text is None
+    assert [w.word for w in words.filter("segment_idx = 1").orderBy("word_idx").collect()] == list("你好x吗")
+    nested = al.aligned_segments(sentences, words)
+    doc = json.loads("".join(r.line for r in wr.json_lines(nested.withColumn("lang", F.lit("en"))).orderBy("ord").collect()))
+    assert [s.get("avg_logprob") for s in doc["segments"]] == [-0.5, -0.5, -0.25, None, -1.0, -2.0]
+    assert [c["char"] for c in doc["segments"][2]["chars"]] == list("你好x吗")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -24,6 +25,15 @@ def worker_cache() -> dict:
     return module.__dict__
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker which waits for its next task holds only what it caches."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at most ``limit`` bytes of text; a longer text stands alone. Empty batches go."""
     for batch in batches:
@@ -38,6 +48,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             total += size
         for start, end in zip([0, *ends], [*ends, batch.num_rows], strict=True):
             yield batch.slice(start, end - start)
+    give_back()
 
 
 def in_rows(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -45,6 +56,7 @@ def in_rows(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:

@@ -100,11 +100,13 @@ def compression_ratio(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", ratio(F.col("text")).alias("ratio"))
 
 
-@query("quality_gate")
+@query("quality_gate", """
+    SELECT doc_id AS recording_id, (n_chars % 50) / 10.0::DOUBLE > 2.4 OR -(n_chars % 300) / 200.0::DOUBLE < -1.0 AS failed,
+      (n_chars % 100) / 100.0::DOUBLE > 0.6 AND -(n_chars % 300) / 200.0::DOUBLE < -1.0 AS silence FROM documents""")
 def quality_gate(spark, sf_dir):
     docs = corpus.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("recording_id"), "text", (-(F.col("n_chars") % 300) / 200.0).alias("avg_logprob"),
-        ((F.col("n_chars") % 100) / 100.0).alias("no_speech_prob"))
+        F.col("doc_id").alias("recording_id"), "text", ((F.col("n_chars") % 50) / 10.0).alias("compression_ratio"),
+        (-(F.col("n_chars") % 300) / 200.0).alias("avg_logprob"), ((F.col("n_chars") % 100) / 100.0).alias("no_speech_prob"))
     return ql.quality_gate(docs).select("recording_id", "failed", "silence")
 
 

@@ -219,14 +219,11 @@ def chained_fold(
     which must be fit for JSON. Rows are sorted by Spark and streamed through the tasks, so neither a key nor a
     block is ever held whole.
 
-    Every block is first folded from a guessed fresh start. A block whose predecessor leaves another state than
-    was assumed is folded again, until no state changes: each round settles at least one further block of every
-    key, and since such folds forget their start quickly, all blocks settle after a few. Keys of a single block
-    skip all this.
+    The state each block is entered with is found first (``_settle``); keys of a single block skip that.
     """
     blocked, entries = _entered(df, list(keys), block, list(order), fold)
     schema = StructType([*[blocked.schema[k] for k in keys], *out_schema.fields])
-    return _streamed(blocked, entries, list(keys), list(order), fold, schema, exits=False)
+    return _streamed(blocked, entries, list(keys), list(order), fold, schema)
 
 
 def chained_annotation(
@@ -241,7 +238,7 @@ def chained_annotation(
     _, entries = _entered(narrow, list(keys), block, list(order), fold)
     blocked = df.withColumn("_block", block)
     schema = StructType([*df.schema.fields, *added.fields])
-    return _streamed(blocked, entries, list(keys), list(order), fold, schema, exits=False,
+    return _streamed(blocked, entries, list(keys), list(order), fold, schema,
                      reads=list(reads), added=[f.name for f in added.fields])
 
 
@@ -260,40 +257,190 @@ def _entered(
     return blocked, None if links.isEmpty() else _settle(blocked, keys, links, order, fold)
 
 
+#: Rows before a block from each of which its entry state may have come about.
+TAIL_ROWS = 64
+#: Blocks whose transfer maps one task composes; the composed maps are composed once more per key.
+BLOCKS_PER_GROUP = 1024
+FRESH = "null"
+
+
 def _settle(blocked: DataFrame, keys: list[str], links: DataFrame, order: list[str], fold: Fold) -> DataFrame:
-    """``keys, _block, _entry, _final`` of all blocks of longer keys, with the state each is entered with."""
+    """``keys, _block, _entry, _final`` of all blocks of longer keys, with the state each is entered with.
+
+    Every block is folded once for all states that it may be entered with: those that a fresh start in one of the last rows
+    before it leads to. That gives a small map from entry to exit per block; maps are composed over groups of blocks, then
+    over the groups of a key, and the states found are handed down again. A state outside of its map is added in a further
+    round, which settles at least one more block of every key.
+    """
+    group = [*keys, "_block"]
+    with inner_tables(blocked.sparkSession) as kept:
+        links = checkpointed(links)
+        guesses = _tails(blocked.join(links.where(~F.col("_final")).select(*group), group, "left_semi"), keys, order, fold)
+        linked = links.where(F.col("_prev").isNotNull())
+        wanted = linked.join(guesses.withColumnRenamed("_block", "_prev"), [*keys, "_prev"]).select(*group, "_entry").union(
+            links.where(F.col("_prev").isNull()).select(*group, F.lit(FRESH).alias("_entry")))
+        maps = checkpointed(_transfers(blocked, wanted, keys, order, fold))
+        while True:
+            walked = checkpointed(_walked(maps, keys))
+            missing = walked.where("_missing").select(*group, "_entry")
+            if missing.isEmpty():
+                return kept(links.select(*group, "_final").join(walked.select(*group, "_entry"), group, "left"))
+            maps = checkpointed(maps.union(_transfers(blocked, missing, keys, order, fold)))
+
+
+def _by_block(batches: Iterable[pa.RecordBatch], group: list[str]) -> Iterator[tuple[tuple, dict[str, list] | None]]:
+    """Consecutive rows of a block as lists per column, and None when the block ends."""
+    key = None
+    for batch in batches:
+        data = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        idents = list(zip(*[data[g] for g in group]))
+        at = 0
+        while at < len(idents):
+            if key is not None and idents[at] != key:
+                yield key, None
+            key, until = idents[at], at + 1
+            while until < len(idents) and idents[until] == key:
+                until += 1
+            yield key, {c: v[at:until] for c, v in data.items() if c not in group}
+            at = until
+    if key is not None:
+        yield key, None
+
+
+def _state_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _tails(blocked: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """``keys, _block, _entry``: states that a block may leave, from fresh starts at its beginning and in its last rows."""
+    group = [*keys, "_block"]
+    schema = StructType([*[blocked.schema[g] for g in group], StructField("_entry", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        state, tail, out = None, None, []
+        for key, rows in _by_block(batches, group):
+            if rows is not None:
+                _, state = fold(state, rows, False)
+                tail = rows if tail is None else {c: tail[c] + v for c, v in rows.items()}
+                tail = {c: v[-TAIL_ROWS:] for c, v in tail.items()}
+                continue
+            size = len(next(iter(tail.values())))
+            found = {json.dumps(state), *(json.dumps(fold(None, {c: v[i:] for c, v in tail.items()}, False)[1]) for i in range(size))}
+            out += [(*key, entry) for entry in sorted(found)]
+            state, tail = None, None
+            if len(out) > 4096:
+                yield _state_rows(arrow, out)
+                out = []
+        yield _state_rows(arrow, out)
+
+    return blocked.repartition(shuffle_width(blocked), *group).sortWithinPartitions(*group, *order).select(
+        *group, *[c for c in blocked.columns if c not in group]).mapInArrow(run, schema)
+
+
+def _transfers(blocked: DataFrame, wanted: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """``keys, _block, _entry, _exit``: the state that each wanted entry leads to. Entries that become one state are folded once from there."""
+    group = [*keys, "_block"]
+    columns = [c for c in blocked.columns if c not in group]
+    wanted = wanted.distinct()
+    heads = wanted.select(*group, "_entry", F.lit(0).alias("_mark"), *[F.lit(None).cast(blocked.schema[c].dataType).alias(c) for c in columns])
+    rows = blocked.join(wanted.select(*group).distinct(), group, "left_semi").select(
+        *group, F.lit(None).cast("string").alias("_entry"), F.lit(1).alias("_mark"), *columns)
+    schema = StructType([*[blocked.schema[g] for g in group], StructField("_entry", StringType()), StructField("_exit", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        reached: dict[str, list[str]] = {}  # entries by the state that they have led to
+        out = []
+        for key, rows in _by_block(batches, group):
+            if rows is None:
+                out += [(*key, entry, state) for state, entries in reached.items() for entry in entries]
+                reached = {}
+                if len(out) > 4096:
+                    yield _state_rows(arrow, out)
+                    out = []
+                continue
+            marks = rows.pop("_mark")
+            entries = rows.pop("_entry")
+            first = marks.index(1) if 1 in marks else len(marks)
+            for entry in entries[:first]:
+                reached[entry] = [entry]
+            if first == len(marks):
+                continue
+            rest, led = {c: v[first:] for c, v in rows.items()}, {}
+            for state, came in reached.items():
+                led.setdefault(json.dumps(fold(json.loads(state), rest, False)[1]), []).extend(came)
+            reached = led
+        yield _state_rows(arrow, out)
+
+    return heads.unionByName(rows).repartition(shuffle_width(blocked), *group).sortWithinPartitions(*group, "_mark", *order).select(
+        *group, "_entry", "_mark", *columns).mapInArrow(run, schema)
+
+
+def _walked(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _block, _entry, _missing``: the entry of every block as far as the maps lead, and the first that its map lacks."""
     group = [*keys, "_block"]
-    exit_schema = StructType([*[blocked.schema[g] for g in group], StructField("_exit", StringType())])
-
-    def exits(todo: DataFrame) -> DataFrame:
-        rows = blocked.join(todo.select(*group), group, "left_semi")
-        return _streamed(rows, todo.withColumn("_final", F.lit(False)), keys, order, fold, exit_schema, exits=True)
-
-    links = checkpointed(links)
-    linked = links.filter(F.col("_prev").isNotNull())
-    fresh = F.lit(None).cast("string").alias("_entry")
-    # The last block's exit is never read, so only blocks with a successor are folded here.
-    sources = linked.select(*keys, F.col("_prev").alias("_block"), fresh)
-    known = checkpointed(exits(sources).select(*group, "_exit", fresh))
-    while True:
-        entered = linked.join(
-            known.select(*keys, F.col("_block").alias("_prev"), F.col("_exit").alias("_entry")),
-            [*keys, "_prev"], "left",
-        ).select(*group, "_entry")
-        seen = known.select(*group, F.col("_entry").alias("_used"))
-        changed = checkpointed(
-            entered.join(seen, group).filter(~F.col("_entry").eqNullSafe(F.col("_used"))).select(*group, "_entry"))
-        if changed.isEmpty():
-            return links.select(*group, "_final").join(entered, group, "left")
-        redone = exits(changed).join(changed, group)
-        known = checkpointed(
-            known.join(changed.select(*group), group, "left_anti").select(*group, "_exit", "_entry")
-            .unionByName(redone.select(*group, "_exit", "_entry")))
+    kinds = {f.name: f.dataType.simpleString() for f in maps.schema.fields}
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    grouped = maps.withColumn("_group", F.floor(F.col("_block") / BLOCKS_PER_GROUP).cast("bigint"))
+
+    def chain(table: pa.Table, place: str) -> list[tuple[int, dict[str, str]]]:
+        out: dict[int, dict[str, str]] = {}
+        for at, entry, exit_ in zip(*(table.column(c).to_pylist() for c in (place, "_entry", "_exit")), strict=True):
+            out.setdefault(at, {})[entry] = exit_
+        return sorted(out.items())
+
+    def named(table: pa.Table, columns: dict[str, list]) -> pa.Table:
+        size = len(next(iter(columns.values())))
+        ident = {k: pa.array([table.column(k)[0].as_py()] * size, table.schema.field(k).type) for k in keys}
+        return pa.table({**ident, **columns})
+
+    def compose(table: pa.Table) -> pa.Table:
+        steps = chain(table, "_block")
+        ends = []
+        for state in (starts := list(steps[0][1])):
+            for _, step in steps:
+                state = step.get(state)
+                if state is None:
+                    break
+            ends.append(state)
+        return named(table, {"_group": [table.column("_group")[0].as_py()] * len(starts), "_entry": starts, "_exit": pa.array(ends, pa.string())})
+
+    def enter(table: pa.Table) -> pa.Table:
+        state, places, entries = FRESH, [], []
+        for place, step in chain(table, "_group"):
+            places.append(place)
+            entries.append(state)
+            state = step.get(state)
+            if state is None:
+                break
+        return named(table, {"_group": pa.array(places, pa.int64()), "_first": pa.array(entries, pa.string())})
+
+    def descend(own: pa.Table, given: pa.Table) -> pa.Table:
+        if not own.num_rows or not given.num_rows:
+            source = own if own.num_rows else given
+            return pa.table({**{k: pa.array([], source.schema.field(k).type) for k in keys}, "_block": pa.array([], pa.int64()),
+                             "_entry": pa.array([], pa.string()), "_missing": pa.array([], pa.bool_())})
+        state, places, entries, missing = given.column("_first")[0].as_py(), [], [], []
+        for place, step in chain(own, "_block"):
+            places.append(place)
+            entries.append(state)
+            missing.append(state not in step)
+            if missing[-1]:
+                break
+            state = step[state]
+        return named(own, {"_block": pa.array(places, pa.int64()), "_entry": pa.array(entries, pa.string()), "_missing": pa.array(missing, pa.bool_())})
+
+    composed = grouped.groupBy(*keys, "_group").applyInArrow(compose, f"{head}, _group bigint, _entry string, _exit string")
+    entered = composed.groupBy(*keys).applyInArrow(enter, f"{head}, _group bigint, _first string")
+    return grouped.groupBy(*keys, "_group").cogroup(entered.groupBy(*keys, "_group")).applyInArrow(
+        descend, f"{head}, _block bigint, _entry string, _missing boolean")
 
 
 def _streamed(
     blocked: DataFrame, entries: DataFrame | None, keys: list[str], order: list[str], fold: Fold,
-    schema: StructType, *, exits: bool, reads: list[str] | None = None, added: list[str] | None = None,
+    schema: StructType, *, reads: list[str] | None = None, added: list[str] | None = None,
 ) -> DataFrame:
     """Fold the sorted rows of every block. A known entry state travels as an extra row ahead of its block."""
     group = [*keys, "_block"]
@@ -316,16 +463,11 @@ def _streamed(
         def step(ends):
             nonlocal state
             made, state = fold(state, waiting, ends and final)
-            if not exits:
-                count = len(next(iter(made.values())))
-                for name, value in zip(keys, key):
-                    out[name].extend([value] * count)
-                for name, values in made.items():
-                    out[name].extend(values)
-            elif ends:
-                for name, value in zip(group, key):
-                    out[name].append(value)
-                out["_exit"].append(json.dumps(state))
+            count = len(next(iter(made.values())))
+            for name, value in zip(keys, key):
+                out[name].extend([value] * count)
+            for name, values in made.items():
+                out[name].extend(values)
 
         for batch in batches:
             data = {name: batch.column(name).to_pylist() for name in batch.schema.names}

@@ -84,3 +84,45 @@ def test_limited_cues_over_block_borders(spark):
         for row in cu.cues_limited(nested, limits).collect():
             assert row["text"] == "[s]: " + " ".join(w["word"] for w in row["words"])
             assert all(len(line.replace(" ", "")) <= limits.width for line in row["text"][5:].split("\n"))
+
+
+def periodic_regions(blocks, phase=0):
+    """Regions of equal length end to end: where a chunk opens depends on all rows before, and no block forgets it."""
+    return [(1, 10 * i + phase, 10 * i + 10 + phase) for i in range(blocks * 9)]
+
+
+def rounds_of(monkeypatch):
+    from speechloom.plans import blocks
+
+    made, walk = [], blocks._walked
+    monkeypatch.setattr(blocks, "_walked", lambda *a: made.append(1) or walk(*a))
+    return made
+
+
+def test_blocks_that_never_forget_settle_in_few_rounds(monkeypatch, spark):
+    """64 adjoining blocks of a period that does not divide them, and a second key."""
+    rounds = rounds_of(monkeypatch)
+    rows = periodic_regions(64) + [(2, 7 * i, 7 * i + 5) for i in range(200)]
+    regions = spark.createDataFrame(rows, "recording_id bigint, start_us bigint, end_us bigint")
+    got = rows_of(rg.pack_chunks(regions, 40, block_us=90))
+    assert 1 <= len(rounds) <= 8
+    assert got == rows_of(rg.pack_chunks(regions, 40, block_us=1 << 40))
+
+
+def test_groups_of_blocks_are_composed(monkeypatch, spark):
+    from speechloom.plans import blocks
+
+    monkeypatch.setattr(blocks, "BLOCKS_PER_GROUP", 4)
+    rounds = rounds_of(monkeypatch)
+    regions = spark.createDataFrame(periodic_regions(30, 3), "recording_id bigint, start_us bigint, end_us bigint")
+    assert rows_of(rg.pack_chunks(regions, 70, block_us=90)) == rows_of(rg.pack_chunks(regions, 70, block_us=1 << 40))
+    assert len(rounds) <= 8
+
+
+def test_states_outside_the_maps_are_added(monkeypatch, spark):
+    """With no guesses but the block's own beginning, further rounds still settle every block."""
+    from speechloom.plans import blocks
+
+    monkeypatch.setattr(blocks, "TAIL_ROWS", 1)
+    regions = spark.createDataFrame(periodic_regions(6), "recording_id bigint, start_us bigint, end_us bigint")
+    assert rows_of(rg.pack_chunks(regions, 70, block_us=90)) == rows_of(rg.pack_chunks(regions, 70, block_us=1 << 40))

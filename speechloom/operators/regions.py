@@ -104,6 +104,23 @@ def drop_short(regions: DataFrame, min_us: int) -> DataFrame:
     return regions.filter(F.col("end_us") - F.col("start_us") >= min_us)
 
 
+def speech_regions(
+    frames: DataFrame, params: Hysteresis, order: list[str] = FRAME_ORDER, block_us: int = BLOCK_US, *, max_us: int | None = None,
+) -> DataFrame:
+    """Regions of frames as a whole chain: thresholds, padding or cuts at ``max_us``, merging of what then overlaps or lies within
+    ``min_off_us``, and removal of what is shorter than ``min_on_us``.
+
+    Regions are merged only where padding or a minimum gap asks for it, so that cut pieces stay apart.
+    """
+    if max_us is None:
+        regions = hysteresis(frames, params, order, block_us)
+    else:
+        regions = min_cut(frames, params, max_us, order)
+    if params.pad_onset or params.pad_offset or params.min_off_us:
+        regions = fill_gaps(regions, params.min_off_us, block_us=block_us)
+    return drop_short(regions, params.min_on_us) if params.min_on_us else regions
+
+
 def timeline(regions: DataFrame, block_us: int = BLOCK_US) -> DataFrame:
     """All classes of a recording as one ordered list of distinct intervals with an unknown speaker."""
     distinct = regions.filter(F.col("end_us") > F.col("start_us")).select(
@@ -243,9 +260,8 @@ def score_with(blocks: DataFrame, scorer: Scorer, schema: str) -> DataFrame:
 def chunks_from(
     detected: DataFrame, chunk_us: int, params: Hysteresis | None = None, *, cut: bool = True,
 ) -> DataFrame:
-    """Chunks from what a detector yields: frame scores (thresholded and cut first) or ready regions."""
+    """Chunks from what a detector yields: frame scores (made to regions first, and cut at the chunk size) or ready regions."""
     if "score" not in detected.columns:
         return pack_chunks(detected, chunk_us)
-    params = params or Hysteresis()
-    regions = min_cut(detected, params, chunk_us) if cut else hysteresis(detected, params)
+    regions = speech_regions(detected, params or Hysteresis(), max_us=chunk_us if cut else None)
     return pack_chunks(timeline(regions), chunk_us)

@@ -7,16 +7,24 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Hysteresis:
-    """Onset/offset thresholds with optional padding (microseconds) around every region."""
+    """Onset/offset thresholds with optional padding (microseconds) around every region.
+
+    ``min_off_us`` closes gaps up to that length, ``min_on_us`` then drops shorter regions; ``hysteresis`` itself does
+    neither, ``speech_regions`` does both.
+    """
 
     onset: float = 0.5
     offset: float | None = None
     pad_onset: int = 0
     pad_offset: int = 0
+    min_on_us: int = 0
+    min_off_us: int = 0
 
     def __post_init__(self) -> None:
         if self.offset is not None and self.offset > self.onset:
             raise ValueError("offset must not exceed onset")
+        if self.min_on_us < 0 or self.min_off_us < 0:
+            raise ValueError("minimum durations must not be negative")
 
     @property
     def low(self) -> float:

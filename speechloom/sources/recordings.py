@@ -14,7 +14,7 @@ def recording_id(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``recording_id, path, content``: one row per file."""
+    """``recording_id, path, content``: one row per file below the path; an empty file holds no recording and gives none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(recording_id(F.col("path")).alias("recording_id"), "path", "content")
 

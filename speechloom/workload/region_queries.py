@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from speechloom.operators import regions as rg
 from speechloom.params import Hysteresis
 from speechloom.sources import corpus
-from speechloom.workload.registry import query
+from speechloom.workload.registry import TABLES, query
 
 LEVELS = Hysteresis(onset=60.0, offset=30.0)
 CHUNK_US = 172_800_000_000
@@ -117,6 +117,27 @@ def flat_chunks(chunks):
         F.array_join(members, ",").alias("members"))
 
 
+# The whole chain from a detector's frames: thresholds, padding, merging, short regions dropped, packing.
+CHAIN = Hysteresis(0.6, 0.3, pad_onset=3_000_000_000, pad_offset=2_000_000_000, min_on_us=MIN_US, min_off_us=COLLAR_US)
+TABLES["speech"] = (("raw_regions",), f"""
+    WITH padded AS (SELECT recording_id, class, start_us - 3000000000 AS s, end_us + 2000000000 AS e FROM raw_regions),
+    reach AS (SELECT *, max(e) OVER (PARTITION BY recording_id, class ORDER BY s, e
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM padded),
+    islands AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + {COLLAR_US} THEN 1 ELSE 0 END) OVER (
+        PARTITION BY recording_id, class ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM reach),
+    merged AS (SELECT recording_id, class, min(s) AS start_us, max(e) AS end_us FROM islands GROUP BY recording_id, class, i),
+    d AS (SELECT DISTINCT recording_id, start_us, end_us FROM merged WHERE end_us - start_us >= {MIN_US})
+    SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, end_us) AS rn FROM d""")
+
+
+@query("speech_chunks", PACK_SQL.replace("all_regions", "speech"), using=("speech",))
+def speech_chunks(spark, sf_dir):
+    """A detector run in batches, and chunks from its frame scores."""
+    frames = corpus.score_frames(spark, sf_dir).withColumnRenamed("score", "value")
+    scores = rg.score_with(frames, _level_detector, "recording_id bigint, class string, t_us bigint, event_id bigint, score double")
+    return flat_chunks(rg.chunks_from(scores, CHUNK_US, CHAIN, cut=False))
+
+
 def _level_detector(batches):
     """A stand-in region detector: a frame score from every batch of values."""
     for batch in batches:

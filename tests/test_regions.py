@@ -73,3 +73,20 @@ def test_detector_plug_in(spark):
     assert [(c.start_us, c.end_us) for c in rg.chunks_from(found, 30).collect()] == [(0, 14)]
     scored = frames(spark, [0.9, 0.9, 0.1, 0.1, 0.9, 0.1])
     assert [(c.start_us, c.end_us) for c in rg.chunks_from(scored, 30).collect()] == [(0, 5)]
+
+
+def test_the_whole_chain_of_regions(spark):
+    """Padded regions that meet are one, gaps up to the minimum close, short regions go last; cut pieces stay apart."""
+    scores = [0, 9, 9, 0, 0, 9, 0, 0, 0, 0, 0, 0, 9, 0, 0, 0, 0, 0, 0, 9, 9, 9, 9, 9, 9, 0]
+    frames = spark.createDataFrame([(1, "c", 10 * i, i, s / 9) for i, s in enumerate(scores)],
+                                   "recording_id bigint, class string, t_us bigint, event_id bigint, score double")
+    ends = lambda params, **more: [(r.start_us, r.end_us) for r in rg.speech_regions(frames, params, **more).orderBy("start_us").collect()]
+    assert ends(Hysteresis()) == [(10, 30), (50, 60), (120, 130), (190, 250)]
+    assert ends(Hysteresis(pad_onset=10, pad_offset=10)) == [(0, 70), (110, 140), (180, 260)]
+    assert ends(Hysteresis(min_off_us=20)) == [(10, 60), (120, 130), (190, 250)]
+    assert ends(Hysteresis(min_off_us=20, min_on_us=20)) == [(10, 60), (190, 250)]
+    assert ends(Hysteresis(min_on_us=20)) == [(10, 30), (190, 250)]
+    cut = ends(Hysteresis(), max_us=30)
+    assert cut[:3] == [(10, 30), (50, 60), (120, 130)] and len(cut) > 4 and cut[-1][1] == 250
+    chunks = rg.chunks_from(frames, 100, Hysteresis(min_off_us=20, min_on_us=20), cut=False).orderBy("chunk_idx").collect()
+    assert [(c.start_us, c.end_us, len(c.segments)) for c in chunks] == [(10, 60, 1), (190, 250, 1)]

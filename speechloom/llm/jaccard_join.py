@@ -24,6 +24,7 @@ difference (a parity sketch), and verifies what is left. Copies are never expand
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import distinct_slices, flat, in_rows, key_runs, mixed, ragged, sliced, words_of, worker_cache
+from speechloom.llm.batches import flat, in_rows, key_runs, mixed, ragged, seeded, sliced, words_of
 from speechloom.llm.graphs import components
 from speechloom.llm.grouped import with_group_values
 from speechloom.llm.names import clashes, named, with_new_names
@@ -45,7 +46,6 @@ SEEN = 1 << 20
 TILE = 512
 STAR = 1024
 MIN_BITS = 7
-WORDS = 1 << 16  # words whose digests a worker keeps
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
         np.uint64(0x27D4EB2F165667C5), np.uint64(0xD6E8FEB86659FD93)]
 
@@ -61,65 +61,73 @@ def uppers() -> np.ndarray:
 UPPERS = uppers()
 
 
-def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Two independent 64-bit halves of a digest of each word; words are told apart by their bytes."""
-    cache = worker_cache()
-    known, table = cache.get("words") or ({}, np.zeros((1 << 16, 2), np.uint64))
-    if len(known) > WORDS:
-        known = {}
-    rows, at = ragged(ends - starts)
-    codes, words = distinct_slices(data[starts[rows] + at], np.cumsum(ends - starts) - (ends - starts))
-    words = words.to_pylist()
-    new = [w for w in words if w not in known]
-    while len(known) + len(new) > len(table):
-        table = np.concatenate([table, np.zeros_like(table)])
-    if new:
-        raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in new])
-        table[len(known): len(known) + len(new)] = np.frombuffer(raw, "<u8").reshape(-1, 2)
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-    cache["words"] = known, table
-    return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))][codes]
-
-
-def shingle_lanes(texts: pa.Array, both: bool = True) -> tuple[list[np.ndarray], list[int]]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of each word: chains of mixings over eight bytes at a time, keyed, so that texts cannot be
+    made to share them without the key."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every byte on
+    size = ends - starts
+    lanes = [mixed(size.astype(np.uint64) * odd ^ seeded(key + i)) for i, odd in enumerate(_ODD[:2])]
+    rows, at = np.arange(len(size)), 0
+    while len(rows):
+        left = size[rows] - at
+        part = eight[starts[rows] + at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        lanes[0][rows] = mixed(lanes[0][rows] ^ part)
+        lanes[1][rows] = mixed((lanes[1][rows] + part) * _ODD[2])
+        rows, at = rows[left > 8], at + 8
+    return lanes
+
+
+def shingle_lanes(texts: pa.Array, both: bool = True, key: int = 0) -> tuple[list[np.ndarray], list[int]]:
     """Hashes of all shingles in one or two independent lanes, and where each text's begin.
 
-    The first lane is a chain of mixings, the second a sum, over different halves of the words' digests.
+    The first lane is a chain of mixings, the second a sum, over different hashes of the words.
     """
     data, offsets = flat(texts)
     lower = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
     starts, ends, first = words_of(lower, offsets)
-    word = word_digests(lower, starts, ends)
+    word = word_hashes(lower, starts, ends, key)
     count = np.diff(first)
     many = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
     rows, at = ragged(many)
     begin, left = first[:-1][rows] + at, np.minimum(count[rows], SHINGLE)
+    whole = bool((left == SHINGLE).all())
     lanes = []
     for lane in range(2 if both else 1):
-        padded = np.append(word[:, lane], np.zeros(SHINGLE, np.uint64))
+        padded = np.append(word[lane], np.zeros(SHINGLE, np.uint64))
         gram = left.astype(np.uint64)
         for j, odd in enumerate(_ODD):
-            part = np.where(j < left, padded[begin + j], np.uint64(j + 1))
+            part = padded[begin + j]
+            if not whole:
+                part = np.where(j < left, part, np.uint64(j + 1))
             gram = gram + part * odd if lane else (gram ^ part ^ gram >> np.uint64(29)) * odd
         lanes.append(mixed(gram))
     return lanes, np.concatenate([[0], np.cumsum(many)]).tolist()
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (first lane) of the distinct shingles of every text, sorted within each text, and their number."""
     (gram,), bounds = shingle_lanes(texts, both=False)
-    sets = [np.unique(gram[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    sets = [distinct(gram[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return (np.concatenate(sets) if sets else gram), np.array([len(s) for s in sets], np.int64)
 
 
-def named_sets(texts: pa.Array, renames: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def named_sets(texts: pa.Array, renames: dict | None = None, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``shingle_sets`` with the two halves of a name: a digest over both lanes; 0 for empty sets."""
-    lanes, bounds = shingle_lanes(texts)
+    lanes, bounds = shingle_lanes(texts, key=key)
     sets, digests = [], []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        sets.append(np.unique(lanes[0][a:b]))
+        sets.append(distinct(lanes[0][a:b]))
         digest = hashlib.blake2b(sets[-1].tobytes(), digest_size=16)
-        digest.update(np.unique(lanes[1][a:b]).tobytes())
+        digest.update(distinct(lanes[1][a:b]).tobytes())
         digests.append(digest.digest())
     sizes = np.array([len(s) for s in sets], np.int64)
     name, second = named(b"".join(digests), renames)
@@ -226,12 +234,12 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-def set_table(docs: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, key: int) -> DataFrame:
     """``doc_id, n_shingles, name, name2, sketch`` of every text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
-            hashes, sizes, name, second = named_sets(batch.column("_text"))
+            hashes, sizes, name, second = named_sets(batch.column("_text"), key=key)
             bits = sketches(hashes, sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(name), pa.array(second), pa.array(bits, pa.binary())],
@@ -240,7 +248,7 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, name bigint, name2 bigint, sketch binary")
 
 
-def signature_blocks(docs: DataFrame, buckets: int, renames: dict) -> DataFrame:
+def signature_blocks(docs: DataFrame, buckets: int, renames: dict, key: int = 0) -> DataFrame:
     """``bucket, block``: packed (signature, name, whether others in the task have it) rows; a negative bucket of its own holds each
     block of (signature, name, centre) rows of those others, which need no further grouping."""
 
@@ -273,7 +281,7 @@ def signature_blocks(docs: DataFrame, buckets: int, renames: dict) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
         for batch in sliced(batches, "_text"):
-            hashes, sizes, names, _ = named_sets(batch.column("_text"), renames)
+            hashes, sizes, names, _ = named_sets(batch.column("_text"), renames, key)
             fresh = np.array([not (x in seen or seen.add(x)) for x in names.tolist()], bool) & (sizes > 0)
             if len(seen) > SEEN:
                 seen.clear()
@@ -333,7 +341,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: int) -> DataFrame:
     """The pairs (``a, b``, names) that link, by exact comparison of the shingles of one document of each set.
 
     Only documents that a pair asks for travel, compressed. All partners of a set meet it in streams of at most
@@ -362,18 +370,18 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        key, base = None, None
+        met, base = None, None
         for batch in in_rows(batches):
             texts = pa.array([expand(p) if p else b"" for p in batch.column("packed").to_pylist()], pa.binary()).cast(pa.string())
             a, tile, b = (batch.column(c).to_pylist() for c in ("a", "tile", "b"))
             found, at = [], 0
             for part in sliced([pa.record_batch({"t": texts})], "t"):
-                lanes, bounds = shingle_lanes(part.column("t"))
+                lanes, bounds = shingle_lanes(part.column("t"), key=key)
                 for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = [np.unique(x[start:end]) for x in lanes]
+                    own = [distinct(x[start:end]) for x in lanes]
                     if b[at] is None:
-                        key, base = (a[at], tile[at]), own
-                    elif key == (a[at], tile[at]):
+                        met, base = (a[at], tile[at]), own
+                    elif met == (a[at], tile[at]):
                         both, either = common(base, own)
                         if 100 * both >= 75 * either:
                             found.append((a[at], b[at]))
@@ -442,7 +450,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     with inner_tables(docs.sparkSession) as kept:
         docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("_text"))
-        info = checkpointed(set_table(docs))
+        key = secrets.randbits(60)  # hashes of this run
+        info = checkpointed(set_table(docs, key))
         docs = docs.where("doc_id is not null")
         sets = _sets(info)
         if renames := clashes(sets, info.where("n_shingles > 0")):
@@ -450,17 +459,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             sets = _sets(info)
         total = sets.agg(F.sum("n_shingles")).first()[0] or 0
         buckets = max(1, -(-int(total) // (2 * FLUSH)))
-        members = checkpointed(signature_blocks(docs, buckets, renames).groupBy("bucket").applyInArrow(
+        members = checkpointed(signature_blocks(docs, buckets, renames, key).groupBy("bucket").applyInArrow(
             _members, "sig bigint, name bigint, centre bigint, more boolean"))
         bounds = sets.select("name", "n_shingles", "sketch")
         reps = sets.select("name", "rep")
         stars = checkpointed(members.where("name <> centre").select(F.col("centre").alias("a"), F.col("name").alias("b")).distinct())
-        links = verified(checkpointed(near_pairs(stars, bounds)), reps, docs)
+        links = verified(checkpointed(near_pairs(stars, bounds)), reps, docs, key)
         parts = components(links).withColumnRenamed("node", "name")
         # What a star has decided needs no second look.
         rest = checkpointed(across(members, parts, bounds).join(stars, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = links.union(verified(rest, reps, docs))
+            links = links.union(verified(rest, reps, docs, key))
             parts = components(links).withColumnRenamed("node", "name")
         placed = sets.select("name", "rep", "_rows").join(parts, "name", "left").select(
             "name", "rep", "_rows", F.coalesce("component", "name").alias("part"))

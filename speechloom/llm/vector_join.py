@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from speechloom.llm.batches import key_runs
 from speechloom.llm.graphs import components
-from speechloom.plans.blocks import checkpointed
+from speechloom.llm.grouped import with_group_values
+from speechloom.plans.blocks import checkpointed, inner_tables
 
 COSINE = 0.98
 BLOCK_DIMS = 8
@@ -91,7 +92,7 @@ def cells_of(unique: DataFrame, cosine: float) -> DataFrame:
                              picked.column("weight"), picked.column("vector")], names=["cell", "home", "id", "weight", "vector"])
 
     return unique.select("label", "id", "weight", "vector").mapInArrow(
-        place, "cell array<bigint>, home boolean, id bigint, weight bigint, vector array<float>")
+        place, f"cell array<bigint>, home boolean, id bigint, weight bigint, vector {dict(unique.dtypes)['vector']}")
 
 
 def _root(parent: np.ndarray, i: int) -> int:
@@ -144,23 +145,40 @@ def cell_links(rows: pa.Table, cosine: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on]), pa.array(roots)], names=["id", "links", "parent"])
 
 
+def _labelled(vectors: DataFrame) -> DataFrame:
+    """``vec_id, label, vector``: labels of any type as whole numbers, equal ones alike; components stay float or double."""
+    kinds = dict(vectors.dtypes)
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), F.col("embedding").cast(
+        "array<double>" if kinds["embedding"] == "array<double>" else "array<float>").alias("vector"))
+    if kinds["label"] in ("tinyint", "smallint", "int", "bigint"):
+        return rows.withColumn("label", F.col("label").cast("bigint"))
+    codes = checkpointed(rows.where("label is not null").groupBy("label").agg(F.count("*").alias("_n")))
+    codes = checkpointed(codes.withColumn("_code", F.monotonically_increasing_id()))
+    return with_group_values(rows, codes, ["label"], "_n", how="left").select("vec_id", F.col("_code").alias("label"), "vector")
+
+
 def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
     Vectors of one label link when their cosine is at least ``cosine``. Null labels, null or zero vectors and vectors with null or
     non-finite components link with nothing, and so do vectors of different length. A null id has no links, a null component and is kept.
-    Repeated rows are one vector. Other columns are not read; an empty table gives no rows.
+    Repeated rows are one vector. Components may be float or double, labels of any type that has equality. Other columns are not read; an empty
+    table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"),
-                          F.col("embedding").cast("array<float>").alias("vector"))
+    with inner_tables(vectors.sparkSession) as kept:
+        return kept(_linked(vectors, cosine))
+
+
+def _linked(vectors: DataFrame, cosine: float) -> DataFrame:
+    rows = _labelled(vectors)
     sound = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()
              & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
              & F.exists("vector", lambda x: x != 0))
-    rows = rows.withColumn("name", F.when(F.coalesce(sound, F.lit(False)), F.sha2(F.concat_ws(
-        ",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256)))
+    rows = checkpointed(rows.withColumn("name", F.when(F.coalesce(sound, F.lit(False)), F.sha2(F.concat_ws(
+        ",", F.col("label").cast("string"), F.col("vector").cast("array<string>")), 256))))
     unique = checkpointed(rows.where("name is not null").groupBy("name").agg(
-        F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("weight"), F.first("label").alias("label"),
-        F.first("vector").alias("vector")))
+        F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("weight"), F.count("*").alias("_rows"),
+        F.first("label").alias("label"), F.first("vector").alias("vector")))
     placed = cells_of(unique, cosine).withColumn("key", F.xxhash64("cell"))
     # The sizes of cells come from keys alone; only full cells are cut.
     full = placed.groupBy("key").agg(F.count("*").alias("_n")).where(f"_n > {TILE}").select(
@@ -186,9 +204,12 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = checkpointed(met.mapInArrow(compare, "id bigint, links bigint, parent bigint"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("id").alias("a"), F.col("parent").alias("b"))).withColumnRenamed("node", "id")
-    named = unique.select("name", "id", "weight").join(links, "id", "left").join(parts, "id", "left").select(
-        "name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    return rows.select("vec_id", "name").join(named, "name", "left").select(
+    named = checkpointed(unique.select("name", "id", "weight", "_rows").join(links, "id", "left").join(parts, "id", "left").select(
+        "name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"), "_rows"))
+    narrow = rows.select("vec_id", "name")
+    alone = narrow.where("name is null").select("vec_id", F.lit(None).cast("bigint").alias("links"), F.lit(None).cast("bigint").alias("component"))
+    found = with_group_values(narrow.where("name is not null"), named, ["name"], "_rows").select("vec_id", "links", "component")
+    return found.union(alone).select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce("component", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -230,8 +230,9 @@ def _judged(rows: pd.DataFrame, voice: Voice | None, table: CharTable | None) ->
     tokens = [table.tokens(t or "") for t in rows["text"]]
     late = (rows["start_ms"] >= rows["audio_ms"]).fillna(False).to_numpy(dtype=bool)
     none = np.array([not ids for ids, _ in tokens], dtype=bool)
-    return rows.assign(token_ids=[x[0] for x in tokens], token_cdx=[x[1] for x in tokens], fail_reason=np.where(
-        none, "no_characters", np.where(late, "beyond_audio", None)))
+    unset = rows[["start_ms", "end_ms"]].isna().any(axis=1).to_numpy(dtype=bool)
+    return rows.assign(token_ids=[x[0] for x in tokens], token_cdx=[x[1] for x in tokens], fail_reason=np.select(
+        [none, unset, late], ["no_characters", "no_times", "beyond_audio"], None))
 
 
 def _by_size(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:

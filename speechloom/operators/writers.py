@@ -109,7 +109,7 @@ def _timed_json(name: str, names: list[str]) -> Callable[[Column], Column]:
 def json_lines(nested: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
     """One JSON document per recording, spread over lines: a document is never held whole by a task.
 
-    Unknown values have no key. A ``chars`` column adds the aligned characters, ``embeddings`` (recording_id, speaker, embedding) adds ``speaker_embeddings``.
+    Unknown values have no key. ``avg_logprob`` and ``chars`` columns add a segment's log-probability and aligned characters, ``embeddings`` (recording_id, speaker, embedding) adds ``speaker_embeddings``.
     """
     word_json = _timed_json("word", nested.schema["words"].dataType.elementType.names)
     words = F.array_join(F.transform("words", word_json), ", ")
@@ -117,10 +117,11 @@ def json_lines(nested: DataFrame, embeddings: DataFrame | None = None) -> DataFr
     if "chars" in nested.columns:
         char_json = _timed_json("char", nested.schema["chars"].dataType.elementType.names)
         chars = [F.concat(F.lit('"chars": ['), F.array_join(F.transform("chars", char_json), ", "), F.lit("]"))]
+    rated = [_field("avg_logprob", F.col("avg_logprob").cast("string"))] if "avg_logprob" in nested.columns else []
     segment = _object(
         _field("start", seconds_text(F.col("start_ms"))), _field("end", seconds_text(F.col("end_ms"))),
         _text_field("text", F.col("text")), F.concat(F.lit('"words": ['), words, F.lit("]")),
-        *chars, _text_field("speaker", F.col("speaker")))
+        *rated, *chars, _text_field("speaker", F.col("speaker")))
     flat = nested.select("recording_id", "segment_idx", F.posexplode("words").alias("pos", "_w"))
     word_rows = flat.select("recording_id", "segment_idx", "pos", word_json(F.col("_w")).alias("doc"))
     parts = [

@@ -244,18 +244,18 @@ def test_languages_side_by_side(spark):
 
     voices = {"en": voice(["<pad>", *"abcdefghijklmnopqrstuvwxyz", "|"], 0), "zh": voice([*"你好吗", "[pad]"], 1)}
     rows = [("r", 0, "en", "hi there. you", 0, 2600, 9000, -0.5), ("r", 1, "zh", "你好x吗", 2600, 3500, 9000, -0.25), ("r", 2, "fr", "oui", 3500, 4000, 9000, None),
-            ("r", 3, None, "no", 4000, 5000, 9000, -1.0), ("r", 4, "en", None, 5000, 6000, 9000, -2.0)]
+            ("r", 3, None, "no", 4000, 5000, 9000, -1.0), ("r", 4, "en", None, 5000, 6000, 9000, -2.0), ("r", 5, "en", "hi", None, 6500, 9000, -3.0)]
     table = spark.createDataFrame(rows, "recording_id string, segment_idx bigint, lang string, text string, start_ms bigint, end_ms bigint, "
                                         "audio_ms bigint, avg_logprob double").repartition(3)
     sentences, words = al.align_corpus(table, voices, chars=True)
     got = {(s.segment_idx, s.part): s for s in sentences.collect()}
     assert [(k, s.fail_reason, s.avg_logprob) for k, s in sorted(got.items())] == [
-        ((0, 0), None, -0.5), ((0, 1), None, -0.5), ((1, 0), None, -0.25), ((2, 0), "no_model", None), ((3, 0), "no_model", -1.0), ((4, 0), "no_characters", -2.0)]
+        ((0, 0), None, -0.5), ((0, 1), None, -0.5), ((1, 0), None, -0.25), ((2, 0), "no_model", None), ((3, 0), "no_model", -1.0), ((4, 0), "no_characters", -2.0), ((5, 0), "no_times", -3.0)]
     assert [c.char for c in got[0, 1].chars] == list("you") and all(c.start_ms is not None for c in got[0, 1].chars)
     assert [(c.char, c.start_ms) for c in got[1, 0].chars] == [("你", 2700), ("好", 2900), ("x", 3100), ("吗", 3300)]
     assert got[2, 0].chars == [] and got[4, 0].text is None
     assert [w.word for w in words.filter("segment_idx = 1").orderBy("word_idx").collect()] == list("你好x吗")
     nested = al.aligned_segments(sentences, words)
     doc = json.loads("".join(r.line for r in wr.json_lines(nested.withColumn("lang", F.lit("en"))).orderBy("ord").collect()))
-    assert [s.get("avg_logprob") for s in doc["segments"]] == [-0.5, -0.5, -0.25, None, -1.0, -2.0]
+    assert [s.get("avg_logprob") for s in doc["segments"]] == [-0.5, -0.5, -0.25, None, -1.0, -2.0, -3.0]
     assert [c["char"] for c in doc["segments"][2]["chars"]] == list("你好x吗")

@@ -44,7 +44,7 @@ FEW = 64  # instances of smaller sets cut a partition into three parts
 FLUSH = 1 << 20
 SEEN = 1 << 20
 TILE = 512
-STAR = 1024
+STAR = 256
 MIN_BITS = 7
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
         np.uint64(0x27D4EB2F165667C5), np.uint64(0xD6E8FEB86659FD93)]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
-
 from speechloom.llm import language_id as li, mixing, piece_sampling as ps, quality_rules as qr, token_counts as tc, token_store as ts, vector_join as vj
 from speechloom.llm.workload import byte_tokenizer, piece_model
 

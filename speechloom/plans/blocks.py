@@ -7,6 +7,7 @@ state over, and only those summary rows are scanned per recording.
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
@@ -182,6 +183,16 @@ def dropped(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def let_shuffles_go(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    It learns of them when the driver collects its garbage, which a driver with little to do may not do for an hour; called
+    between the heavy steps of an operator, it keeps the files of one step from lying beside those of the next.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def inner_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A scope whose ``checkpointed`` tables are deleted at its end, also when it fails.

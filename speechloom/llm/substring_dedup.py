@@ -26,7 +26,7 @@ from speechloom.llm.batches import RangeHash, distinct_slices, flat, in_rows, mi
 from speechloom.llm.grouped import with_group_values
 from speechloom.llm.names import clashes, named, with_new_names
 from speechloom.llm.suffix_arrays import permuted_lcp, suffix_array
-from speechloom.plans.blocks import checkpointed, inner_tables
+from speechloom.plans.blocks import checkpointed, inner_tables, let_shuffles_go
 
 LENGTH = 50
 GRAM = 16
@@ -375,11 +375,13 @@ def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = int(reps.agg(F.sum("size")).first()[0] or 0)
     buckets = max(1, total // (18 * FLUSH))
     shared = checkpointed(shared_anchors(anchor_blocks(docs, buckets, renames), buckets))
+    let_shuffles_go(docs.sparkSession)
     grams = shared.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
     shards = max(1, int(grams) // 8 * 68 // SHARD_BYTES)
     asked = shared.join(reps, "name").select(
         F.col("rep").alias("doc_id"), "name", "grams")
     texts = checkpointed(packed_texts(docs, renames).join(asked, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]))
+    let_shuffles_go(docs.sparkSession)
     ranges = segment_blocks(texts, shards).groupBy("shard").applyInArrow(_ranges, "name bigint, start bigint, stop bigint")
     ranges = ranges.groupBy("name").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     cut = texts.select("name", "packed").join(ranges, "name")
@@ -470,6 +472,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
             F.col("doc_id").alias("_doc"), F.col("sha256").alias("_was"),
             F.when(F.col("doc_id") > F.col("rep"), F.lit("")).otherwise(F.col("left")).alias("_left"))
         changed = kept(changed.dropDuplicates(["_doc", "_was"]))
+        del info, cut
+    let_shuffles_go(docs.sparkSession)
     # The row travels as one struct, so that none of its columns can meet one of the join's.
     rows = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"))
     out = rows.join(changed, (F.col("row.doc_id") == F.col("_doc")) & (F.sha2(F.col("row.text"), 256) == F.col("_was")), "left")

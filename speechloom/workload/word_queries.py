@@ -126,9 +126,7 @@ def sentence_spans(spark, sf_dir):
 @query("char_sentence", "SELECT recording_id, segment_idx, cdx, char, sentence_idx FROM sentence_chars",
        using=("sentence_chars",))
 def char_sentence(spark, sf_dir):
-    segments = corpus.utterances(spark, sf_dir)
-    chars = segments.select(*wd.SEGMENT, F.posexplode(characters(F.col("text"))).alias("cdx", "char"))
-    return wd.char_sentences(chars, wd.spans(segments))
+    return wd.sentence_chars(corpus.utterances(spark, sf_dir))
 
 
 @query("word_rollup", "SELECT * FROM rolled_words", using=("rolled_words",))

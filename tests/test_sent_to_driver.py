@@ -26,6 +26,6 @@ def broadcast_generates(df) -> int:
     return found
 
 
-@pytest.mark.parametrize("name", ["char_sentence"])
+@pytest.mark.parametrize("name", ["char_sentence", "frame_to_time"])
 def test_written_out_rows_are_not_broadcast(spark, name):
     assert broadcast_generates(entry.queries()[name](spark, SF_DIR)) == 0

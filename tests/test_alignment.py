@@ -222,6 +222,32 @@ def test_batched_paths_are_those_of_the_whole_matrix(monkeypatch, seed):
             assert list(zip(got.token.tolist(), got.frame.tolist(), got.prob.tolist())) == want
 
 
+@pytest.mark.parametrize("window", [5, 8, 16])
+def test_paths_in_a_window_are_those_of_the_whole_matrix(monkeypatch, window):
+    """Clear emissions are settled in the window; flat ones are found out and searched whole."""
+    from speechloom.operators import paths
+
+    r = np.random.default_rng(window)
+    monkeypatch.setattr(paths, "WINDOWS", (window,))
+    segments = []
+    for clear in (True, False) * 10:
+        count = int(r.integers(1, 40))
+        logp = (r.integers(-40, 0, (3 * count + 2, 6)) / 8).astype(np.float32)
+        tokens, blank = r.integers(0, 5, count), 5
+        if clear:
+            logp[:] = -20.0
+            logp[:, blank] = -0.5
+            logp[3 * np.arange(count) + 1, tokens] = -0.25
+            logp[3 * np.arange(count) + 1, blank] = -30.0
+        segments.append(paths.Segment(logp, tokens, blank))
+    segments.append(paths.Segment(np.full((90, 6), -np.inf, np.float32), r.integers(0, 5, 30), 5))
+    windowed = paths._windowed(segments, window)
+    assert all(p is not None for p in windowed[:20:2]) and any(p is None for p in windowed[1:20:2])
+    for s, got in zip(segments[:-1], paths.best_paths(segments)[:-1], strict=True):
+        assert list(zip(got.token.tolist(), got.frame.tolist(), got.prob.tolist())) == plain_path(s.logp, s.tokens, s.blank)
+    assert windowed[-1] is None
+
+
 def test_languages_side_by_side(spark):
     """Each language has its own characters and blank; what no voice speaks is passed through with its log-probability."""
     def voice(signs, kind):

@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from speechloom.functions.text import cue_text, joiner, speaker_prefix, strip, underline
 from speechloom.params import CueLimits
-from speechloom.plans.blocks import Scan, blocked_scan, chained_annotation, index_block
+from speechloom.plans.blocks import Scan, blocked_scan, chained_annotation, index_block, shuffle_width
 
 SEGMENT = ["recording_id", "segment_idx"]
 SEGMENTS_PER_BLOCK = 4096
@@ -58,13 +58,14 @@ def _laid(words: Column, width: int) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("done"))
 
     def add(acc: Column, w: Column) -> Column:
-        word, fresh = w["word"], strip(w["word"])
+        word, fresh = w["word"], w["fresh"]
         fits = (acc["n"] > 0) & (acc["n"] + F.length(word) <= width)
         opened = F.when(acc["n"] > 0, F.concat(F.lit("\n"), fresh)).otherwise(fresh)
         return F.struct(F.when(fits, acc["n"] + F.length(word)).otherwise(F.length(fresh)).alias("n"),
                         F.array_append(acc["done"], shown(w, F.when(fits, word).otherwise(opened))).alias("done"))
 
-    return F.aggregate(words, start, add, lambda acc: acc["done"])
+    stripped = F.transform(words, lambda w: F.struct(w["word"], strip(w["word"]).alias("fresh"), w["start_ms"], w["end_ms"]))
+    return F.aggregate(stripped, start, add, lambda acc: acc["done"])
 
 
 def _body(words: Column, lang: Column) -> Column:
@@ -140,7 +141,8 @@ def transcript_cues(nested: DataFrame, limits: CueLimits = CueLimits(), highligh
     """
     decided = nested.groupBy("recording_id").agg(
         F.min_by(F.col("words").isNotNull(), "segment_idx").alias("_worded"))
-    placed = nested.join(decided, "recording_id")
+    # Underlining writes every cue out once per word: rows go to all tasks, where coalescing would weigh those before it.
+    placed = nested.join(decided, "recording_id").repartition(shuffle_width(nested), *SEGMENT)
     made = cues(placed.filter("_worded").drop("_worded"), limits)
     kept = ["recording_id", "cue_idx", "step", "start_ms", "end_ms", "text"]
     made = highlight_cues(made) if highlight else made.withColumn("step", F.lit(0))
@@ -193,7 +195,8 @@ def highlight_cues(cues: DataFrame) -> DataFrame:
         w["i"].alias("i"), w["s"].alias("s"), w["e"].alias("e"), last.alias("last"))), lambda x: x["i"].isNotNull())
     exploded = cues.select(*keep, "start_ms", "end_ms", "text", "words", prefix.alias("_prefix"),
                            glue.alias("_glue"), F.posexplode_outer(spoken).alias("_k", "_t"))
-    words = F.transform("words", lambda w, i: F.when(i == F.col("_t.i"), underline(w["word"])).otherwise(w["word"]))
+    shown, i = F.col("words.word"), F.col("_t.i")
+    words = F.concat(F.slice(shown, F.lit(1), i), F.array(underline(F.get(shown, i))), F.slice(shown, i + 2, F.size(shown)))
     lit_text = F.concat("_prefix", F.when(F.col("_glue") == "", F.array_join(words, "")).otherwise(
         F.array_join(words, " ")))
     k = F.col("_k")

@@ -141,8 +141,10 @@ def transcript_cues(nested: DataFrame, limits: CueLimits = CueLimits(), highligh
     """
     decided = nested.groupBy("recording_id").agg(
         F.min_by(F.col("words").isNotNull(), "segment_idx").alias("_worded"))
-    # Underlining writes every cue out once per word: rows go to all tasks, where coalescing would weigh those before it.
-    placed = nested.join(decided, "recording_id").repartition(shuffle_width(nested), *SEGMENT)
+    placed = nested.join(decided, "recording_id")
+    if highlight:
+        # Underlining writes every cue out once per word: rows go to all tasks, where coalescing would weigh those before it.
+        placed = placed.repartition(shuffle_width(nested), *SEGMENT)
     made = cues(placed.filter("_worded").drop("_worded"), limits)
     kept = ["recording_id", "cue_idx", "step", "start_ms", "end_ms", "text"]
     made = highlight_cues(made) if highlight else made.withColumn("step", F.lit(0))
@@ -197,15 +199,16 @@ def highlight_cues(cues: DataFrame) -> DataFrame:
                            glue.alias("_glue"), F.posexplode_outer(spoken).alias("_k", "_t"))
     shown, i = F.col("words.word"), F.col("_t.i")
     words = F.concat(F.slice(shown, F.lit(1), i), F.array(underline(F.get(shown, i))), F.slice(shown, i + 2, F.size(shown)))
-    lit_text = F.concat("_prefix", F.when(F.col("_glue") == "", F.array_join(words, "")).otherwise(
-        F.array_join(words, " ")))
+    # A column of its own: inside of the explode below it would be interpreted.
+    exploded = exploded.withColumn("_lit", F.concat("_prefix", F.when(F.col("_glue") == "", F.array_join(words, "")).otherwise(
+        F.array_join(words, " "))))
     k = F.col("_k")
     gap = F.when(F.col("_t.last") != F.col("_t.s"), F.struct(
         (2 * k).alias("step"), F.col("_t.last").alias("start_ms"), F.col("_t.s").alias("end_ms"), F.col("text")))
     word = F.struct((2 * k + 1).alias("step"), F.col("_t.s").alias("start_ms"), F.col("_t.e").alias("end_ms"),
-                    lit_text.alias("text"))
+                    F.col("_lit").alias("text"))
     plain = F.struct(F.lit(0).alias("step"), "start_ms", "end_ms", "text")
-    parts = F.when(k.isNull(), F.array(plain)).otherwise(F.array_compact(F.array(gap, word)))
+    parts = F.when(k.isNull(), F.array(plain)).when(gap.isNull(), F.array(word)).otherwise(F.array(gap, word))
     return exploded.select(*keep, F.explode(parts).alias("_p")).select(*keep, "_p.*")
 
 

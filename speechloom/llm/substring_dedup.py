@@ -382,7 +382,8 @@ def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("rep").alias("doc_id"), "name", "grams")
     texts = checkpointed(packed_texts(docs, renames).join(asked, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]))
     let_shuffles_go(docs.sparkSession)
-    ranges = segment_blocks(texts, shards).groupBy("shard").applyInArrow(_ranges, "name bigint, start bigint, stop bigint")
+    # A table of its own, so that the segments are gone before the texts are shuffled.
+    ranges = checkpointed(segment_blocks(texts, shards).groupBy("shard").applyInArrow(_ranges, "name bigint, start bigint, stop bigint"))
     ranges = ranges.groupBy("name").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     cut = texts.select("name", "packed").join(ranges, "name")
     # Names with many copies are few and broadcast.

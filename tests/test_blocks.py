@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import Window, functions as F
 
 from speechloom.operators import cues as cu, regions as rg
 from speechloom.params import CueLimits, Hysteresis
-from speechloom.plans.blocks import Scan, blocked_scan
+from speechloom.plans.blocks import Scan, blocked_scan, checkpointed
 
 
 def rows_of(df):
@@ -126,3 +127,15 @@ def test_states_outside_the_maps_are_added(monkeypatch, spark):
     monkeypatch.setattr(blocks, "TAIL_ROWS", 1)
     regions = spark.createDataFrame(periodic_regions(6), "recording_id bigint, start_us bigint, end_us bigint")
     assert rows_of(rg.pack_chunks(regions, 70, block_us=90)) == rows_of(rg.pack_chunks(regions, 70, block_us=1 << 40))
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f for d in folders for _, _, names in os.walk(str(d)) for f in names if f.startswith("shuffle_")}
+    before = files()
+    rows = spark.range(2000).repartition(7, "id").groupBy((F.col("id") % 5).alias("k")).count()
+    table = checkpointed(rows.join(spark.range(5).withColumnRenamed("id", "k").repartition(3, "k"), "k"))
+    assert not files() - before
+    assert rows_of(table) == [(400, k) for k in range(5)]
+    rows.collect()
+    assert files() - before  # only what is written as a table ends with its write

@@ -159,6 +159,11 @@ def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of the ranges that begin at ``starts``, laid end to end."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def binary_array(data: np.ndarray | bytes, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """An Arrow array of slices of one buffer."""
     kind = kind or pa.binary()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from speechloom.llm.batches import RangeHash, distinct_slices, flat, in_rows, mixed, ragged, sliced
+from speechloom.llm.batches import distinct_slices, flat, in_rows, mixed, ragged, sliced, spread
 from speechloom.llm.grouped import with_group_values
 from speechloom.llm.names import clashes, named, with_new_names
 from speechloom.llm.suffix_arrays import permuted_lcp, suffix_array
@@ -31,18 +31,28 @@ from speechloom.plans.blocks import checkpointed, inner_tables, let_shuffles_go
 LENGTH = 50
 GRAM = 16
 FLUSH = 1 << 19
-SLICE = 1 << 20
+SLICE = 1 << 18
 SEEN = 1 << 20
 SEGMENT_FLUSH = 8 << 20
 SHARD_BYTES = 3 << 18
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``GRAM`` bytes at each position that has so many; equal for equal bytes in every batch.
+
+    It deals work only: grams that differ may share one.
+    """
+    n = len(data) - GRAM + 1
+    words = np.ndarray(n + 8, "<u8", np.ascontiguousarray(data), strides=(1,))
+    return mixed(words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8:] * np.uint64(0xD6E8FEB86659FD93))
+
+
 def segments_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last window of every segment, its 48-bit anchor, and its text."""
     none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if len(data) < LENGTH:
         return none
-    hashes = RangeHash(data, seed=GRAM).grams(GRAM)
+    hashes = gram_hashes(data)
     low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     width, reach = LENGTH - GRAM + 1, 1
     while 2 * reach <= width:
@@ -50,17 +60,17 @@ def segments_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         reach *= 2
     if reach < width:
         low = np.minimum(low[: len(low) - (width - reach)], low[width - reach:])
-    anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    sizes = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-    text, at = ragged(sizes)
-    if not len(text):
-        return none
-    window = offsets[:-1][text] + at
-    own = anchor[window]
-    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1])))
-    last = np.append(first[1:], len(own)) - 1
+    # Windows that begin less than their length in front of a text's end are no windows, so texts are apart.
+    inside = np.ones(len(low), bool)
+    cross = (offsets[1:-1, None] - np.arange(1, LENGTH)).ravel()
+    inside[cross[(cross >= 0) & (cross < len(low))]] = False
+    new, end = inside.copy(), inside.copy()
+    new[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
+    end[:-1] &= new[1:] | ~inside[1:]
+    first = np.flatnonzero(new)
     # Anchors have small hashes by their choice; another mixing makes their names even, so that they can deal the work.
-    return window[first], window[last], mixed(hashes[own[first]] ^ np.uint64(1)) >> np.uint64(16), text[first]
+    gram = mixed(hashes[(low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)] ^ np.uint64(1)) >> np.uint64(16)
+    return first, np.flatnonzero(end), gram, np.searchsorted(offsets, first, "right") - 1
 
 
 def text_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -253,11 +263,10 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
             cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(todo) else np.zeros(0, np.int64)
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(todo)], strict=False):
                 at = todo[a:b]
-                rows, off = ragged(length[at])
                 keys.append(int(shard[a]))
                 blocks.append(b"".join([
                     np.array([len(at)], "<i8").tobytes(), doc[at].astype("<i8").tobytes(), name[at].astype("<i8").tobytes(),
-                    start[at].astype("<u4").tobytes(), length[at].astype("u1").tobytes(), squeeze(body[begin[at][rows] + off].tobytes())]))
+                    start[at].astype("<u4").tobytes(), length[at].astype("u1").tobytes(), squeeze(body[spread(begin[at], length[at])].tobytes())]))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
         for batch in in_rows(batches):
@@ -266,19 +275,18 @@ def segment_blocks(texts: DataFrame, shards: int) -> DataFrame:
             for part in sliced([whole], "t", SLICE):
                 data, offsets = flat(part.column("t"))
                 first, last, gram, text = segments_of(data, offsets)
-                bounds = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()
-                on = np.zeros(len(text), bool)
-                for i, grams in enumerate(part.column("grams").to_pylist()):
-                    asked = np.frombuffer(grams, "<u8")
-                    on[bounds[i]: bounds[i + 1]] = np.isin(gram[bounds[i]: bounds[i + 1]], asked)
+                # A slice has far fewer than 2^16 texts, so a text and its 48-bit anchor are one number.
+                asked, cut = flat(part.column("grams"))
+                asked = np.sort(asked.copy().view("<u8") | (ragged(np.diff(cut) // 8)[0] << 48).view(np.uint64))
+                wanted = gram | (text << 48).view(np.uint64)
+                on = np.zeros(len(text), bool) if not len(asked) else asked[np.minimum(np.searchsorted(asked, wanted), len(asked) - 1)] == wanted
                 first, last, gram, text = first[on], last[on], gram[on], text[on]
                 if not len(first):
                     continue
                 end = last + LENGTH
-                rows, off = ragged(end - first)
                 held.append((gram, part.column("doc").to_numpy()[text], part.column("name").to_numpy()[text],
-                             first - offsets[text], end - first, data[first[rows] + off]))
-                size += len(rows)
+                             first - offsets[text], end - first, data[spread(first, end - first)]))
+                size += len(held[-1][5])
                 if size >= SEGMENT_FLUSH:
                     yield flushed()
         if size:

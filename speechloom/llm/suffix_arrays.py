@@ -13,9 +13,9 @@ def _grouped(chars: np.ndarray, values: np.ndarray, queues: list[list[np.ndarray
         return
     order = np.argsort(chars, kind="stable")
     chars, values = chars[order], values[order]
-    cut = np.flatnonzero(chars[1:] != chars[:-1]) + 1
-    for part, char in zip(np.split(values, cut), chars[np.concatenate([[0], cut])].tolist(), strict=True):
-        queues[char].append(part)
+    cut = [0, *(np.flatnonzero(chars[1:] != chars[:-1]) + 1).tolist(), len(values)]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        queues[chars[a]].append(values[a:b])
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -78,9 +78,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     # The type of a suffix is that of the next change of character to its right.
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = text[change] < text[change + 1]
-    nxt = np.searchsorted(change, np.arange(n - 1))
-    small = np.append(rises[nxt], True)  # the last two characters differ, so there is always a change
-    del change, rises, nxt
+    # The last two characters differ, so there is always a change.
+    small = np.append(np.repeat(rises, np.diff(change, prepend=-1)), True)
+    del change, rises
     first = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(first):
         first = np.array([n - 1], np.int32)
@@ -107,18 +107,24 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     np.multiply.accumulate(inverse, out=inverse)
     print_ = mixed((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))[sub]
     del power, sums, inverse
+    # A name is the rank of the first of its equals; only those that have equals are sorted on.
+    head = np.append(True, print_[1:] != print_[:-1])
     names = np.empty(len(first), np.int64)
-    names[sub] = np.cumsum(np.append(0, print_[1:] != print_[:-1]))
+    names[sub] = np.maximum.accumulate(np.where(head, np.arange(len(sub)), 0))
+    equal = np.flatnonzero(~(head & np.append(head[1:], True)))
     span = 1
-    while int(names.max()) + 1 < len(names) and 2 * span < depth + 2:
-        pair = names * (len(names) + 1)
-        pair[:-span] += names[span:] + 1
-        rank = np.argsort(pair, kind="stable")
-        ranked = pair[rank]
-        names = np.empty_like(names)
-        names[rank] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
+    while len(equal) and 2 * span < depth + 2:
+        items = sub[equal]
+        beyond = items + span
+        pair = names[items] * (len(names) + 1) + np.where(beyond < len(names), names[np.minimum(beyond, len(names) - 1)] + 1, 0)
+        rank = np.argsort(pair)
+        items, pair = items[rank], pair[rank]
+        head = np.append(True, pair[1:] != pair[:-1])
+        sub[equal] = items
+        names[items] = np.maximum.accumulate(np.where(head, equal, 0))
+        equal = equal[~(head & np.append(head[1:], True))]
         span *= 2
-    return _induce(text, small, heads(first[np.argsort(names, kind="stable")]), size)
+    return _induce(text, small, heads(first[sub]), size)
 
 
 def permuted_lcp(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:

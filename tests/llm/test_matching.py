@@ -128,6 +128,42 @@ def test_suffix_array(n, k):
         assert sa.suffix_array(text, n + 2).tolist() == sorted(range(n + 1), key=lambda i: raw[i:])
 
 
+def test_suffix_array_sorts_on_only_what_is_equal(monkeypatch):
+    text = np.append(np.random.default_rng(5).integers(1, 20, 20_000), 0).astype(np.int16)
+    sizes, plain = [], np.argsort
+
+    def counted(a, *args, **more):
+        sizes.append(len(a) if a.dtype == np.int64 else 0)
+        return plain(a, *args, **more)
+
+    monkeypatch.setattr(sa.np, "argsort", counted)
+    order = sa.suffix_array(text, 50)
+    assert sum(sizes) < 10_000
+    raw = text.astype(np.uint8).tobytes()
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: raw[i: i + 60])
+
+
+def test_segments():
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab é") for _ in range(n)).encode() for n in (0, 49, 50, 300, 0, 51, 700, 10, 64, 0)] + [b"ab" * 90]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    hashes = sd.gram_hashes(data)
+    assert len({*hashes.tolist()}) == len({data[i: i + sd.GRAM].tobytes() for i in range(len(hashes))})
+    want = []
+    for t, text in enumerate(texts):
+        base = offsets[t]
+        places = [min(range(i, i + sd.LENGTH - sd.GRAM + 1), key=lambda j: (int(hashes[base + j]) >> 32, j)) for i in range(len(text) - sd.LENGTH + 1)]
+        cuts = [i for i in range(len(places)) if not i or places[i] != places[i - 1]]
+        want += [(base + a, base + b - 1, t) for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True)] if places else []
+    first, last, gram, text = sd.segments_of(data, offsets)
+    assert list(zip(first.tolist(), last.tolist(), text.tolist(), strict=True)) == want
+    # Equal windows have equal anchors, wherever they stand.
+    known = {}
+    for a, b, g in zip(first.tolist(), last.tolist(), gram.tolist(), strict=True):
+        for i in range(a, b + 1):
+            assert known.setdefault(data[i: i + sd.LENGTH].tobytes(), g) == g
+
+
 def test_common_prefixes():
     data = np.random.default_rng(1).integers(97, 100, 400).astype(np.uint8)
     order = sa.suffix_array(np.append(data.astype(np.int64), 0), 500)

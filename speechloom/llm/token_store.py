@@ -17,13 +17,14 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from speechloom.llm.batches import distinct_slices, flat, ragged, sliced, worker_cache
+from speechloom.llm.batches import distinct_slices, flat, sliced, spread, worker_cache
 from speechloom.plans.blocks import checkpointed, dropped, inner_tables, shared_folder
 
 END_ID = 0
@@ -33,17 +34,22 @@ LANES = 4096
 MAGIC = b"SLTB"
 _HEAD = "<4sIQI"
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
-MAX_UNITS = 400_000
-JOINT_UNITS = 256
+SLICE = 8 << 20
+MAX_UNITS = 800_000
+JOINT_UNITS = 64
 TABLE_SCHEMA = "magic string, scale int, width int, ids array<int>, frequencies array<bigint>"
 BLOCKS_SCHEMA = "part int, block int, first_token bigint, n_docs bigint, n_tokens bigint, payload binary"
 
+_SOLID, _WORDLY = 1, 2
+
 
 class Encoder:
     """The tokenizers library with a memory: the ids of each stretch of text between blanks are asked for once.
 
-    The piece pattern of byte-level tokenizers never joins a sign to a blank behind it, so a text may be cut in front
-    of every blank that follows a visible character, and ids of the cuts laid end to end are ids of the text.
+    The piece pattern of byte-level tokenizers never joins a sign to white space behind it, nor a letter or digit to
+    punctuation behind it. So a text may be cut in front of white space that follows a visible character, and in front
+    of a mark that follows an ASCII letter or digit; ids of the cuts laid end to end are ids of the text. An apostrophe, which
+    may open a contraction, and what stands in added tokens are left joined.
     """
 
     def __init__(self, path: str):
@@ -59,6 +65,19 @@ class Encoder:
             self.width[number] = len(word)
         for number, token in self.library.get_added_tokens_decoder().items():
             self.width[number] = len(token.content.encode())
+        added = "".join(token.content for token in self.library.get_added_tokens_decoder().values())
+        # Kinds of bytes: white space and marks lie two bits above what they are cut from.
+        kinds = np.zeros(256, np.uint8)
+        kinds[0x21: 0x7F] = _SOLID
+        for c in range(0x21, 0x7F):
+            if chr(c).isalnum():
+                kinds[c] |= _WORDLY
+            elif chr(c) not in "'" + added:
+                kinds[c] |= _WORDLY << 2
+        kinds[[0x20, *range(0x09, 0x0E)]] = _SOLID << 2
+        kinds[0x80: 0xC0] = _SOLID << 4
+        kinds[0xC3: 0xE0] = _SOLID << 5
+        self.kinds = kinds.tobytes()
         self.clear()
 
     def clear(self) -> None:
@@ -71,45 +90,47 @@ class Encoder:
             self.clear()
         cut = np.zeros(len(data), bool)
         if len(data) > 1:
+            kind = np.frombuffer(data.tobytes().translate(self.kinds), np.uint8)
             # Two-byte characters behind the first two leads are never white space; a longer one is left joined.
-            solid = (data > 0x20) & (data < 0x7F)
-            solid[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
-            cut[1:] = (data[1:] == 0x20) & solid[:-1]
+            before = kind[:-1] & (_SOLID | _WORDLY)
+            before[1:] |= (kind[1:-1] >> 4) & (kind[:-2] >> 5) & _SOLID
+            cut[1:] = (kind[1:] >> 2) & before != 0
         sizes = np.diff(offsets)
         cut[offsets[:-1][sizes > 0]] = True
         starts = np.flatnonzero(cut)
         codes, units = distinct_slices(data, starts)
-        place = self._places(units.to_pylist())[codes]
-        lengths = self.begins[place + 1] - self.begins[place]
-        rows, at = ragged(lengths)
-        ids = self.ids[self.begins[place][rows] + at]
+        place = self._places(units.to_numpy(zero_copy_only=False).tolist())
+        begins, lengths = self.begins[place][codes], (self.begins[place + 1] - self.begins[place])[codes]
+        ids = self.ids[spread(begins, lengths)]
         running = np.concatenate([[0], np.cumsum(lengths)])
         of_text = np.searchsorted(starts, offsets)
         return ids, running[of_text[1:]] - running[of_text[:-1]]
 
     def _places(self, units: list[bytes]) -> np.ndarray:
         known = self.known
-        new = [u for u in units if u not in known]
-        if new:
-            # Cuts that a blank opens and a visible sign closes may stand together in one request.
-            plain = [u[0] == 0x20 and 0x20 < u[-1] < 0x7F for u in new]
-            joint = [u for u, p in zip(new, plain, strict=True) if p]
-            alone = [u for u, p in zip(new, plain, strict=True) if not p]
-            texts = [b"".join(joint[i: i + JOINT_UNITS]).decode() for i in range(0, len(joint), JOINT_UNITS)]
-            texts += [u.decode() for u in alone]
-            new = joint + alone
+        place = np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+        fresh_at = np.flatnonzero(place < 0)
+        if len(fresh_at):
+            # Cuts that white space opens and a visible sign closes may stand together in one request.
+            new = [units[i] for i in fresh_at.tolist()]
+            plain = np.array([(u[0] == 0x20 or 0x09 <= u[0] <= 0x0D) and 0x20 < u[-1] < 0x7F for u in new], bool)
+            order = np.argsort(~plain, kind="stable")
+            new, split = [new[i] for i in order.tolist()], int(plain.sum())
+            texts = [b"".join(new[i: min(i + JOINT_UNITS, split)]).decode() for i in range(0, split, JOINT_UNITS)]
+            texts += [u.decode() for u in new[split:]]
             got = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-            fresh = np.fromiter((i for ids in got for i in ids), np.uint32)
+            fresh = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
             # Tokens cover the bytes one after the other, so lengths tell which cut each belongs to.
             covered = np.concatenate([[0], np.cumsum(self.width[fresh])])
-            lengths = np.diff(np.searchsorted(covered, np.concatenate([[0], np.cumsum([len(u) for u in new])])))
+            lengths = np.diff(np.searchsorted(covered, np.concatenate([[0], np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])))
             while self.used + len(fresh) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used: self.used + len(fresh)] = fresh
             self.begins = np.concatenate([self.begins, self.used + np.cumsum(lengths)])
             self.used += len(fresh)
+            place[fresh_at[order]] = np.arange(len(known), len(known) + len(new))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        return place
 
 
 def encoder(path: str) -> Encoder:
@@ -123,8 +144,7 @@ def with_ends(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """The ids with ``END_ID`` behind each document, and where each document starts."""
     starts = np.concatenate([[0], np.cumsum(counts + 1)])
     out = np.full(int(starts[-1]), END_ID, ids.dtype)
-    rows, at = ragged(counts)
-    out[starts[:-1][rows] + at] = ids
+    out[spread(starts[:-1], counts)] = ids
     return out, starts
 
 
@@ -241,7 +261,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         row = TaskContext.get().partitionId() << 40
-        for batch in sliced(batches, "_text", 4 << 20):
+        for batch in sliced(batches, "_text", SLICE):
             data, offsets = flat(batch.column("_text"))
             ids, starts = with_ends(*encoder(path).encode(data, offsets))
             kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
@@ -271,11 +291,20 @@ def id_counts(coded: DataFrame) -> np.ndarray:
     """How often each id occurs in all documents; bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for _, ids in _cells(batches):
-            got = np.bincount(ids, minlength=len(total))
+        total, held, size = np.zeros(1, np.int64), [], 0
+
+        def added() -> np.ndarray:
+            got = np.bincount(np.concatenate(held), minlength=len(total))
             got[: len(total)] += total
-            total = got
+            return got
+
+        for _, ids in _cells(batches):
+            held.append(ids)
+            size += len(ids)
+            if size >= BLOCK_IDS:
+                total, held, size = added(), [], 0
+        if held:
+            total = added()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

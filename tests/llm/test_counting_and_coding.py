@@ -144,3 +144,31 @@ def test_sampling_follows_the_path_weights(word):
     for path, weight in weights.items():
         p = weight / total
         assert abs(seen[path] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def test_marks_and_lines_are_cut_from_words():
+    r = random.Random(9)
+    bits = ["word", "Word", "don't", "'ll", "x's", "3.14", "555-2524", "a.b.c", "é.", "é", "u\u0301.", "a\u0301.", "\u0301,", "\u00a0", "\u2003", "\x85", "\u200b",
+            "<|endoftext|>", "<|endoftext", "|>", "&&&", "***", "...", "日本。", "日", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", " ", "  ", "$5", "_a_", "½.", "²,", "\x00."]
+    texts = ["", None] + ["".join(r.choice(bits) for _ in range(r.randrange(1, 30))) for _ in range(3000)]
+    data, offsets = flat(pa.array(texts, pa.string()))
+    encoder = ts.Encoder(workload.byte_tokenizer())
+    ids, counts = encoder.encode(data, offsets)
+    want = [x.ids for x in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    # Words are asked for once, whatever stands behind them.
+    words = [f" word{chr(97 + i)}" for i in range(20)]
+    data, offsets = flat(pa.array(["".join(w + end for w in words) for end in ("", ".", ",", "!", "?", ";", "\n", ".\n", "...")], pa.string()))
+    encoder.clear()
+    encoder.encode(data, offsets)
+    assert len(encoder.known) < 50
+
+
+def test_ids_are_counted_over_many_batches(monkeypatch, spark, sf_dir):
+    monkeypatch.setattr(ts, "BLOCK_IDS", 500)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60)
+    texts = [x.text for x in docs.collect()]
+    library = ts.Encoder(workload.byte_tokenizer()).library
+    want = collections.Counter(i for x in texts for i in [*library.encode(x or "", add_special_tokens=False).ids, ts.END_ID])
+    got = ts.id_counts(ts.tokenized(docs, workload.byte_tokenizer()))
+    assert {i: n for i, n in enumerate(got.tolist()) if n} == dict(want)

@@ -66,9 +66,10 @@ def longest_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[
 def gram_table(grams: DataFrame, order: int) -> DataFrame:
     """``gram, accepted, rejected``: smoothed probabilities of the last character of each n-gram given those before.
 
-    A row of ``grams`` stands for ``_times`` equal ones.
+    A row of ``grams`` stands for ``_times`` equal ones, without that column for itself.
     """
-    times = lambda known: F.coalesce(F.sum(F.when(F.col("known") == F.lit(known), F.col("_times"))), F.lit(0).cast("bigint"))
+    rows_of = F.col("_times") if "_times" in grams.columns else F.lit(1).cast("bigint")
+    times = lambda known: F.coalesce(F.sum(F.when(F.col("known") == F.lit(known), rows_of)), F.lit(0).cast("bigint"))
     counts = checkpointed(grams.groupBy("gram").agg(times(True).alias("a"), times(False).alias("r")))
     below = None
     for k in range(order + 1):

@@ -28,9 +28,10 @@ from speechloom.llm.batches import distinct_slices, flat, ragged, sliced, worker
 from speechloom.llm.grouped import with_group_values
 from speechloom.plans.blocks import checkpointed, inner_tables, shuffle_width
 
-BLOCK_BYTES = 2 << 20
+# A block becomes one row, of about half its bytes for common texts: small rows spare the heap, small blocks the arrays of a worker.
+BLOCK_BYTES = 512 << 10
 LANE_BYTES = 1024
-MAX_UNITS = 400_000
+MAX_UNITS = 200_000
 _SPACE = "▁"
 
 
@@ -80,7 +81,10 @@ class PieceModel:
 
 
 class Memory:
-    """Ids and byte lengths of every distinct unit met by a worker, and whether its tokens join to the unit."""
+    """Ids and byte lengths of distinct units met by a worker, and whether its tokens join to the unit.
+
+    It holds ``MAX_UNITS`` at most, or those of the last call where these are more, since it stays with the worker between tasks.
+    """
 
     def __init__(self, model: ByteModel | PieceModel):
         self.model = model
@@ -93,8 +97,12 @@ class Memory:
         self.exact = np.zeros(0, bool)
 
     def places(self, units: list[bytes]) -> np.ndarray:
+        """Where each of the distinct ``units`` stands."""
+        new = [u for u in units if u not in self.known]
+        if new and len(self.known) + len(new) > MAX_UNITS:
+            self.clear()
+            new = units
         known = self.known
-        new = [u for u in units if u not in known]
         if new:
             got = self.model.encode([u.decode() for u in new])
             fresh = np.fromiter((i for ids in got for i in ids), np.int32)
@@ -147,8 +155,6 @@ def tokenized(data: np.ndarray, offsets: np.ndarray, memories: list[Memory]) ->
     of_text = np.searchsorted(starts, offsets)
     out = []
     for memory in memories:
-        if len(memory.known) > MAX_UNITS:
-            memory.clear()
         place = memory.places(units)[codes]
         lengths = memory.begins[place + 1] - memory.begins[place]
         rows, at = ragged(lengths)

@@ -86,3 +86,20 @@ def test_lanes_of_any_length_give_the_same_links(lane_bytes):
     a, b = a[a > 0], b[b > 0]
     got_a, got_b = ta.lockstep(a, b, *ta.lanes_of(offsets, lane_bytes))
     assert a[got_a].tolist() == b[got_b].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+def test_a_block_is_a_small_row_and_a_worker_holds_few_units(spark, monkeypatch):
+    letters = np.random.default_rng(5).integers(0x61, 0x7B, (64, 64 << 10)).astype(np.uint8)
+    df = spark.createDataFrame([(i, bytes(row).decode()) for i, row in enumerate(letters)], "doc_id bigint, text string").coalesce(1)
+    rows = ta.aligned_blocks(df, byte_tokenizer(), piece_model()).selectExpr("length(places) + 16 * size(pairs) as n").collect()
+    assert max(r.n for r in rows) < 1 << 20  # random letters make the largest rows, twice as large before
+
+    monkeypatch.setattr(ta, "MAX_UNITS", 100)
+    memory = ta.Memory(ta.ByteModel(byte_tokenizer()))
+    for i in range(5):
+        units = [b" w%d" % n for n in range(30 * i, 30 * i + 60)]
+        got = memory.places(units)
+        assert len(memory.known) <= 100
+        assert [memory.ids[memory.begins[p]: memory.begins[p + 1]].tolist() for p in got] == memory.model.encode([u.decode() for u in units])
+    memory.places([b" w%d" % n for n in range(300)])
+    assert len(memory.known) == 300

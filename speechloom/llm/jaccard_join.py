@@ -17,8 +17,14 @@ reach it. Sets with too few solid partitions emit all, empty subsets included. N
 
 *Candidates.* Signatures are shuffled in compact blocks. Within a signature every set is paired with the smallest only; of
 equal signatures within a task one travels. After these pairs are verified and joined to components, a second pass compares
-the remaining pairs of a signature, those across components, in tiles of bounded size with an exact lower bound of the
-difference (a parity sketch), and verifies what is left. Copies are never expanded into all pairs.
+the remaining pairs of a signature, those across components, with an exact lower bound of the difference (a parity sketch),
+and verifies what is left. Copies are never expanded into all pairs.
+
+*Wide signatures.* A phrase that very many texts hold is a signature of them all. Sets of a signature with more than ``WIDE``
+members meet again by their rarest elements instead: in any order that all sets share, the first common element of two linked sets
+lies among the first quarter of each, and one, since at least three quarters of the larger set are common and none of them comes
+before. The order is by how often an element (its slot of a table of fixed size) occurs in these sets, rare ones first, so a phrase
+is in hardly any quarter. Elements that more than ``WIDE`` sets still share are compared in tiles.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ FLUSH = 1 << 20
 SEEN = 1 << 20
 TILE = 512
 STAR = 256
+WIDE = 256
+SLOT_BITS, SLOT_ROWS = 16, 64
 MIN_BITS = 7
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
         np.uint64(0x27D4EB2F165667C5), np.uint64(0xD6E8FEB86659FD93)]
@@ -394,23 +402,108 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: int) -> Da
     return checkpointed(met.mapInArrow(compare, "a bigint, b bigint"))
 
 
-def across(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+def wide_sets(names: DataFrame, reps: DataFrame, docs: DataFrame, renames: dict, key: int) -> DataFrame:
+    """``name, hashes``: the elements of the sets in ``names``."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "_text"):
+            hashes, sizes, name, _ = named_sets(batch.column("_text"), renames, key)
+            ends = np.cumsum(sizes)
+            same = np.flatnonzero(name == batch.column("name").to_numpy())  # other rows of the same id may have another text
+            packed = [hashes[ends[i] - sizes[i]: ends[i]].tobytes() for i in same.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(name[same]), pa.array(packed, pa.binary())], names=["name", "hashes"])
+
+    wanted = names.join(reps, "name").select("name", F.col("rep").alias("doc_id"))
+    return checkpointed(docs.join(wanted, "doc_id").select("name", "_text").mapInArrow(emit, "name bigint, hashes binary"))
+
+
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(hashes ^ _ODD[1]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(elements: DataFrame) -> np.ndarray:
+    """How many elements of all sets fall into each slot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in in_rows(batches):
+            data, _ = flat(batch.column("hashes"))
+            held += np.bincount(slot_of(data.view("<u8")), minlength=1 << SLOT_BITS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(SLOT_ROWS), pa.int32()), pa.array([x.tobytes() for x in np.split(held, SLOT_ROWS)], pa.binary())], names=["at", "held"])
+
+    def total(table: pa.Table) -> pa.Table:
+        held = sum(np.frombuffer(x.as_py(), "<i8") for x in table.column("held"))
+        return pa.table({"at": table.column("at").slice(0, 1), "held": pa.array([held.tobytes()], pa.binary())})
+
+    kind = "at int, held binary"
+    rows = elements.mapInArrow(count, kind).groupBy("at").applyInArrow(total, kind).orderBy("at").collect()
+    return np.frombuffer(b"".join(bytes(r["held"]) for r in rows), "<i8") if rows else np.zeros(1 << SLOT_BITS, np.int64)
+
+
+def rarest(hashes: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest quarter of each set and one element more, and the set of each."""
+    rows, at = ragged(sizes)
+    order = np.lexsort((hashes, often[slot_of(hashes)], rows))
+    first = at <= (sizes // 4)[rows]
+    return hashes[order][first], rows[first]
+
+
+def element_blocks(elements: DataFrame, buckets: int, often: np.ndarray) -> DataFrame:
+    """``bucket, block`` of the rarest elements of each set, in the form of ``signature_blocks``."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_rows(batches, 4096):
+            data, offsets = flat(batch.column("hashes"))
+            element, owner = rarest(data.view("<u8"), np.diff(offsets) // 8, often)
+            element, name = element >> np.uint64(16), batch.column("name").to_numpy()[owner]
+            bucket = ((element >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            element, name, bucket = element[order], name[order], bucket[order]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+            six = element.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            blocks = [six[a:b].tobytes() + name[a:b].astype("<i8").tobytes() + b"\1" * (b - a)
+                      for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(element)], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut.astype(np.int64)].astype(np.int64)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    return elements.mapInArrow(emit, "bucket bigint, block binary")
+
+
+def across(members: DataFrame, parts: DataFrame, sets: DataFrame, docs: DataFrame, reps: DataFrame, renames: dict, key: int) -> DataFrame:
     """Pairs of sets that share a signature with at least a third, lie in different components and may link."""
-    placed = members.where("more").select("sig", "name").join(parts, "name", "left").select(
-        "sig", "name", F.coalesce("component", "name").alias("part"))
-    many = placed.groupBy("sig").agg(
-        F.count("*").alias("_n"), F.min("name").alias("_centre"), F.min("part").alias("_low"), F.max("part").alias("_high")).where(
-        "_n > 2 and _low < _high").select("sig", "_centre")
-    mixed_ = checkpointed(placed.join(many, "sig"))
-    # Signatures with the same smallest member share most of their pairs. They are dealt together, so that a pair is
-    # reported once for all of them.
-    dealt = mixed_.select("sig", "name", "part", F.col("_centre").alias("family"))
+
+    def groups(rows: DataFrame, least: int) -> DataFrame:
+        """``sig, name, part, family, _n`` of the groups with so many members that lie in several components."""
+        placed = rows.select("sig", "name").join(parts, "name", "left").select("sig", "name", F.coalesce("component", "name").alias("part"))
+        many = placed.groupBy("sig").agg(
+            F.count("*").alias("_n"), F.min("name").alias("family"), F.min("part").alias("_low"), F.max("part").alias("_high")).where(
+            (F.col("_n") >= least) & (F.col("_low") < F.col("_high"))).select("sig", "family", "_n")
+        return checkpointed(placed.join(many, "sig").select("sig", "name", "part", "family", "_n"))
+
+    mixed_ = groups(members.where("more"), 3)
+    narrow = mixed_.where(F.col("_n") <= WIDE)
+    wide = checkpointed(mixed_.where(F.col("_n") > WIDE).select("name").distinct())
+    large = None
+    if total := wide.join(sets, "name").agg(F.sum("n_shingles")).first()[0]:
+        elements = wide_sets(wide, reps, docs, renames, key)
+        buckets = max(1, -(-int(total) // (4 * FLUSH)))
+        met = groups(element_blocks(elements, buckets, slot_counts(elements)).groupBy("bucket").applyInArrow(
+            _members, "sig bigint, name bigint, centre bigint, more boolean"), 2)
+        narrow, large = narrow.union(met.where(F.col("_n") <= WIDE)), met.where(F.col("_n") > WIDE)
+    # Groups with the same smallest member share most of their pairs. They are dealt together, so that a pair is
+    # reported once for all of them; those of a family with many names are dealt by themselves.
+    dealt = narrow.drop("_n")
     tiles = checkpointed(dealt.groupBy("family").agg(
         F.ceil(F.approx_count_distinct("name") / TILE).cast("int").alias("_tiles"), F.count("*").alias("_rows")))
-    own = F.pmod(F.xxhash64("name"), F.col("_tiles").cast("bigint")).cast("int")
-    tiled = with_group_values(dealt, tiles, ["family"], "_rows").join(sets, "name").withColumn("own", own).select(
-        "sig", "name", "part", "family", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("other"))
-    tiled = tiled.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    share = lambda c: F.pmod(F.xxhash64(c), F.col("_tiles").cast("bigint")).cast("int")
+    columns = ["sig", "name", "part", "family", "n_shingles", "sketch", "own", "low", "high"]
+    tiled = with_group_values(dealt, tiles, ["family"], "_rows").withColumn("own", share("sig")).withColumns(
+        {"low": F.col("own"), "high": F.col("own")}).join(sets, "name").select(columns)
+    if large is not None:
+        cut = large.withColumn("_tiles", F.ceil(F.col("_n") / TILE).cast("int")).withColumns({"family": F.col("sig"), "own": share("name")})
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumns(
+            {"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        tiled = tiled.union(cut.join(sets, "name").select(columns))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, seen = None, set()
@@ -467,7 +560,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = verified(checkpointed(near_pairs(stars, bounds)), reps, docs, key)
         parts = components(links).withColumnRenamed("node", "name")
         # What a star has decided needs no second look.
-        rest = checkpointed(across(members, parts, bounds).join(stars, ["a", "b"], "left_anti"))
+        rest = checkpointed(across(members, parts, bounds, docs, reps, renames, key).join(stars, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.union(verified(rest, reps, docs, key))
             parts = components(links).withColumnRenamed("node", "name")

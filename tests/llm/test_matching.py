@@ -82,6 +82,48 @@ def test_jaccard_join_of_odd_rows(spark, docs, texts, no_docs):
         "(2, 0, 2)", "(3, 2, 3)", "(3, 2, 3)", "(None, 2, None)"]
 
 
+def test_sets_of_wide_signatures_meet_by_rare_elements(spark, monkeypatch):
+    monkeypatch.setattr(jj, "WIDE", 3)
+    monkeypatch.setattr(jj, "TILE", 2)
+    texts = near_copies(3)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.near_duplicates(rows).collect()}
+    assert got == jaccard_truth(texts)
+
+
+def test_a_common_phrase_does_not_pair_all_texts_that_hold_it(spark, monkeypatch, tmp_path):
+    plain = jj.may_link
+
+    def counted(i, j, n, marks):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(i)))
+        return plain(i, j, n, marks)
+
+    monkeypatch.setattr(jj, "may_link", counted)
+    monkeypatch.setattr(jj, "WIDE", 16, raising=False)
+    phrase = " ".join(f"p{i}" for i in range(30))
+    texts = {d: f"{phrase} " + " ".join(f"x{d}y{i}" for i in range(50 + d % 3)) for d in range(700)}
+    texts |= {700 + d: texts[d] + " more" for d in range(20)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.near_duplicates(rows).collect()}
+    assert got == jaccard_truth(texts)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) < 30 * len(texts)
+
+
+def test_rarest_elements_of_linked_sets_meet():
+    """Random pairs at the very edge of the threshold, under random orders."""
+    rng = np.random.default_rng(6)
+    for _ in range(1500):
+        union = int(rng.integers(1, 200))
+        common = -(-75 * union // 100)
+        pool = rng.integers(0, 2**63, union, dtype=np.uint64)
+        cut = common + int(rng.integers(0, union - common + 1))
+        a, b = np.unique(pool[:cut]), np.unique(np.concatenate([pool[:common], pool[cut:]]))
+        element, owner = jj.rarest(np.concatenate([a, b]), np.array([len(a), len(b)]), rng.integers(0, 9, 1 << jj.SLOT_BITS))
+        assert set(element[owner == 0].tolist()) & set(element[owner == 1].tolist())
+
+
 def test_signatures_are_shared_by_all_linked_sets():
     """Random pairs at the very edge of the threshold, of all sizes up to 400."""
     rng = np.random.default_rng(4)

@@ -500,7 +500,8 @@ def across(members: DataFrame, parts: DataFrame, sets: DataFrame, docs: DataFram
     tiled = with_group_values(dealt, tiles, ["family"], "_rows").withColumn("own", share("sig")).withColumns(
         {"low": F.col("own"), "high": F.col("own")}).join(sets, "name").select(columns)
     if large is not None:
-        cut = large.withColumn("_tiles", F.ceil(F.col("_n") / TILE).cast("int")).withColumns({"family": F.col("sig"), "own": share("name")})
+        most = large.groupBy("family").agg(F.ceil(F.max("_n") / TILE).cast("int").alias("_tiles"))
+        cut = large.join(most, "family").withColumn("own", share("name"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumns(
             {"low": F.least("own", "other"), "high": F.greatest("own", "other")})
         tiled = tiled.union(cut.join(sets, "name").select(columns))
